@@ -14,9 +14,11 @@ At the similarity s a symbol differs with the probability 1 - s, so the chance t
 pair is beyond 15 of 32 is under 3e-6 at s = 0.85 and about 1e-4 at s = 0.8.
 
 Groups of near copies would give all pairs within a bucket. Instead, the members of a bucket
-are first compared with its smallest member and joined into components; then only pairs of
-members in different components are left, and all of those are compared. No link between
-components is lost, and none is sought where both ends are known to be connected.
+are first compared with its smallest member, and those within the threshold are joined into
+clusters; then only pairs of members in different clusters are left, and all of those are
+compared. So every pair that shares a key and is within the threshold ends in one cluster.
+Within a cluster, blocks of full sets meet in pairs of blocks, and a task returns no more than
+a spanning forest of the links it confirms there.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_slices
@@ -134,44 +137,118 @@ def _keys(sig: DataFrame) -> DataFrame:
     return sig.select(F.explode(F.array(*keys)).alias("key"), "doc_id")
 
 
-def _overlap(percent: int):
-    def make():
-        def run(cols: dict) -> dict:
-            out: dict[str, list] = {"u": [], "v": []}
-            for a, b, x, y in zip(cols["u"], cols["v"], cols["set_u"], cols["set_v"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    out["u"].append(a)
-                    out["v"].append(b)
-            return out
+def spanning_links(ids: list[int], sets: list[np.ndarray], side: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links that join what all links among the sets join; with two sides only links across, unless all are on one.
 
-        return run
+    Intersections are counted by products of 0/1 matrices over slices of the shingles that
+    two sets share at least.
+    """
+    m = len(ids)
+    top = list(range(m))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    size = np.array([len(s) for s in sets], np.int64)
+    if m <= 12:
+        both = np.zeros((m, m), np.int64)
+        for i in range(m):
+            for j in range(i + 1, m):
+                x, y = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
+                if 100 * len(x) >= percent * len(y):
+                    both[i, j] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+    else:
+        flat = np.concatenate(sets)
+        rows = np.repeat(np.arange(m), size)
+        order = np.argsort(flat, kind="stable")
+        flat, rows = flat[order], rows[order]
+        new = np.concatenate(([True], flat[1:] != flat[:-1]))
+        number = np.cumsum(new) - 1
+        shared = np.bincount(number)[number] > 1
+        rows, number = rows[shared], number[shared]
+        number = np.cumsum(np.concatenate(([0], (number[1:] != number[:-1]).astype(np.int64)))) if len(number) else number
+        sums = np.zeros((m, m), np.float32)
+        width = 4096
+        for c in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+            i, j = np.searchsorted(number, (c, c + width))
+            part = np.zeros((m, width), np.float32)
+            part[rows[i:j], number[i:j] - c] = 1
+            sums += part @ part.T
+        both = np.triu(sums.astype(np.int64), 1)
+    hit = (both > 0) & (100 * both >= percent * (size[:, None] + size[None] - both))
+    sides = np.array(side)
+    if sides.any() and not sides.all():
+        hit &= sides[:, None] != sides[None]
+    out = []
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        a, b = root(int(i)), root(int(j))
+        if a != b:
+            top[b] = a
+            out.append((ids[int(i)], ids[int(j)]))
+    return out
 
-    return make
 
+#: Shingles in a block of a cluster, about.
+BLOCK_SHINGLES = 131_072
+
+
+def _linked(grouped: DataFrame, percent: int) -> DataFrame:
+    """(task, id, side, set), sorted by task within partitions -> confirmed links (u, v) that span each task."""
+
+    def run(batches):
+        held: tuple[list, list, list] = ([], [], [])
+        now = None
+
+        def done() -> pa.RecordBatch:
+            got = spanning_links(*held, percent) if len(held[0]) > 1 else []
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([v for _, v in got], pa.int64())], names=["u", "v"])
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Of ``pairs`` (u, v) those whose full sets are similar enough. Only their documents are read into sets."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    ids = scratch.save(ids)
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        for batch in batches:
+            for task, i, side, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if task != now:
+                    yield done()
+                    now = task
+                for x, v in zip(held, (i, np.frombuffer(s, np.uint64), side), strict=True):
+                    x.append(v)
+        yield done()
+
+    return grouped.mapInArrow(run, "u long, v long")
+
+
+def _confirm(clusters: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links on full sets within ``clusters`` (id, cluster). Only their documents are read into sets."""
+    few = clusters.count() <= BROADCAST_IDS
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(clusters) if few else clusters, "id")
 
     def make():
         known = _Words()
-        return lambda cols: {"id": cols["id"], "set": [shingle_set(t, words, known).tobytes() for t in cols["text"]]}
 
-    sets = scratch.save(map_slices(wanted, "id long, set binary", make))
-    both = (
-        pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u")
-        .join(sets.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v")
-        .select("u", "v", "set_u", "set_v")
-    )
-    out = scratch.save(map_slices(both, "u long, v long", _overlap(percent), text="set_u", chars=2_000_000))
-    scratch.drop(ids, sets)
+        def run(cols: dict) -> dict:
+            sets = [shingle_set(t, words, known) for t in cols["text"]]
+            return {"id": cols["id"], "cluster": cols["cluster"], "n": list(map(len, sets)), "set": [s.tobytes() for s in sets]}
+
+        return run
+
+    sets = scratch.save(map_slices(wanted, "id long, cluster long, n long, set binary", make).where("n > 0"))
+    # Blocks of a cluster in the order of set sizes: pairs of blocks whose sizes allow no link are left out.
+    w = Window.partitionBy("cluster").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sets.select("id", "cluster", "n").withColumn("block", F.floor(F.coalesce(F.sum("n").over(w), F.lit(0)) / BLOCK_SHINGLES))
+    placed = scratch.save(placed)
+    blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    tasks = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.most") * 100 >= F.col("y.least") * percent))
+    tasks = tasks.select(F.col("x.cluster").alias("c"), F.col("x.block").alias("b0"), F.col("y.block").alias("b1"))
+    tasks = scratch.save(tasks.withColumn("task", F.xxhash64("c", "b0", "b1")))
+    sides = tasks.select("c", F.col("b0").alias("b"), "task", F.lit(False).alias("side")).unionByName(tasks.where("b0 < b1").select("c", F.col("b1").alias("b"), "task", F.lit(True).alias("side")))
+    dealt = placed.select("id", "cluster", "block").join(sides, (F.col("cluster") == F.col("c")) & (F.col("block") == F.col("b"))).select("id", "task", "side")
+    rows = dealt.join(sets.select("id", "set"), "id").select("task", "id", "side", "set")
+    out = scratch.save(_linked(rows.repartition("task").sortWithinPartitions("task"), percent))
+    scratch.drop(sets, placed, tasks)
     return out
 
 
@@ -201,13 +278,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     hot = scratch.save(keys.join(full, "key"))
     pairs = hot.where("doc_id > head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct()
     a, b = sig.alias("a"), sig.alias("b")
-    first = scratch.save(
-        pairs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_near("a", "b", percent)).select("u", "v").distinct()
-    )
-    links = _confirm(first, docs, words, percent, scratch)
-    found = scratch.save(connected_components(links, scratch))
+    near = pairs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_near("a", "b", percent)).select("u", "v")
+    found = scratch.save(connected_components(near, scratch))
 
-    # What is left: members of one bucket that are in different components.
+    # What is left: members of one bucket that are in different clusters.
     left = hot.select("key", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     members = scratch.save(left.join(split, "key").join(sig, "doc_id"))
@@ -222,19 +296,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     a = members.select(F.col("key").alias("ka"), F.col("comp").alias("ca"), F.col("doc_id"), "n_shingles", *_SIG).alias("a")
     b = members.select(F.col("key").alias("kb"), F.col("comp").alias("cb"), F.col("doc_id"), "n_shingles", *_SIG).alias("b")
-    second = scratch.save(
+    # Links between clusters, not their members' pairs, are what joins them.
+    more = scratch.save(
         across.join(a, (F.col("key") == F.col("ka")) & (F.col("cx") == F.col("ca")))
         .join(b, (F.col("key") == F.col("kb")) & (F.col("cy") == F.col("cb")) & _near("a", "b", percent))
-        .select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v"))
+        .select(F.col("cx").alias("u"), F.col("cy").alias("v"))
         .distinct()
-        .join(first, ["u", "v"], "left_anti")
     )
     scratch.drop(hot, members)
-    if not second.isEmpty():
-        more = _confirm(second, docs, words, percent, scratch)
-        if not more.isEmpty():
-            star = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            found = scratch.save(connected_components(star.unionByName(more), scratch))
+    if not more.isEmpty():
+        star = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = scratch.save(connected_components(star.unionByName(more), scratch))
+    links = _confirm(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")), docs, words, percent, scratch)
+    found = scratch.save(connected_components(links, scratch))
 
     reps = classes.select("h0", "h1", F.col("n_shingles").alias("n_"), "rep")
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select("h0", "h1", "n_", F.coalesce("component", "rep").alias("component_id"))
