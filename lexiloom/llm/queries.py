@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annsearch, htmltext, langid, neardup, pieces, pii, sharding, urlblock
+import corpus_pipeline
+
+from . import annsearch, decontam, htmltext, langid, neardup, pieces, pii, secrets, sharding, urlblock
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.fit(spark))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -30,6 +36,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -49,14 +59,17 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_secret_scan,
         op2_language_id,
         op3_sentencepiece,
         op4_html_extraction,
         op5_pii,
+        op6_decontamination,
         op7_minhash_near_dedup,
         op8_sharding,
         op9_url_filter,
         op10_nearest_neighbours,
     )
 }
-ORACLES: dict[str, str] = {"op9_url_filter": urlblock.ORACLE}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLES: dict[str, str] = {"op6_decontamination": decontam.ORACLE, "op9_url_filter": urlblock.ORACLE}
