@@ -1,11 +1,603 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries over the driver's tables, and DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scans
+from ..functions import text as X
+from ..operators import evaluation as E
+from ..operators import grounding as G
+from ..operators import matching as M
+from ..operators import quality as Q
+from ..operators import rules as R
+from ..operators import spans as S
+from ..sources import files, models
+from . import fixtures
+from . import tables as T
 
 FLAGSHIP = "phrase_exact_match"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- pieces of SQL ---------------------------------------------------------------------------
+
+_PLAIN = r"""trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), '''', ''),
+ '([0-9])\.([0-9])', '\1<dot>\2', 'g'), '([a-z0-9])/([a-z0-9])', '\1<sl>\2', 'g'), '([a-z0-9]):([a-z0-9])', '\1<co>\2', 'g'), '[^a-z0-9%+<>]+', ' ', 'g'),
+ '<dot>', '.'), '<sl>', '/'), '<co>', ':'), '[<> ]+', ' ', 'g'))"""
+
+
+def plain(col: str) -> str:
+    """normalize_ascii in SQL."""
+    return _PLAIN.format(col)
+
+
+def toks(col: str) -> str:
+    return f"list_filter(string_split({plain(col)}, ' '), lambda x: x <> '')"
+
+
+def docs_toks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as words of the ASCII normalisation, in the JVM alone."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.words(X.normalize_ascii(F.col("text"))).alias("toks"))
+
+
+DT = f"dt as (select doc_id as id, {toks('text')} as toks from documents)"
+
+
+def gram(n: int, t: str = "toks") -> str:
+    return f"array_to_string({t}[i + 1 : i + {n}], ' ')"
+
+
+# --- C, E: scalars and generators ------------------------------------------------------------
+
+
+@query(f"select p_partkey as id, {plain('p_name')} as norm from part union all select c_custkey as id, {plain('c_name')} as norm from customer")
+def text_normalize_ascii(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.normalize_ascii(F.col("p_name")).alias("norm"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), X.normalize_ascii(F.col("c_name")).alias("norm"))
+    return p.unionByName(c)
+
+
+@query(r"""
+select doc_id, length(regexp_replace(text, '[^\x{0900}-\x{097F}]', '', 'g')) as dev, length(regexp_replace(text, '[^\x{0980}-\x{09FF}]', '', 'g')) as ben,
+  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as lat,
+  length(regexp_replace(regexp_replace(text, '[A-Za-z\x{0900}-\x{09FF}]', '', 'g'), '[^\p{L}]', '', 'g')) as other,
+  case when regexp_matches(text, '[\x{0980}-\x{09FF}]') then 'bn' when regexp_matches(text, '[\x{0900}-\x{097F}]') then 'hi' else 'en' end as script_lang
+from documents""")
+def script_profile(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in X.script_counts(F.col("text")).items()])
+    return d.withColumn("script_lang", X.infer_language(F.col("dev"), F.col("ben")))
+
+
+@query(f"""
+with {DT}, g as (select {gram(2)} as gram from (select toks, unnest(range(0, len(toks) - 1)) as i from dt))
+select gram, count(*) as n from g group by gram order by n desc, gram limit 20""")
+def token_ngrams_topk(spark, sf_dir):
+    return M.ngrams(docs_toks(spark, sf_dir), 2, 2).groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "gram").limit(20)
+
+
+def members(toks: str, words: list[str]) -> Column:
+    """How many of an array's words are in a list."""
+    return F.size(F.filter(toks, lambda t: t.isin(*words)))
+
+
+@query(f"""
+with {DT}, w as (select id, unnest(toks) as t from dt), f(lang, word) as (values {T.values((k, w) for k, ws in T.FUNCTION_WORDS.items() for w in ws)})
+select d.lang, count(*) as words, count(f.word) as function_words from w join documents d on d.doc_id = w.id left join f on f.lang = d.lang and f.word = w.t group by d.lang""")
+def function_word_rate(spark, sf_dir):
+    d = docs_toks(spark, sf_dir).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    hit = F.lit(None)
+    for lang, ws in T.FUNCTION_WORDS.items():
+        hit = F.when(F.col("lang") == lang, members("toks", ws)).otherwise(hit)
+    return d.select("lang", F.size("toks").alias("n"), hit.alias("h")).where("n > 0").groupBy("lang").agg(F.sum("n").alias("words"), F.sum("h").alias("function_words"))
+
+
+@query(f"""
+with {DT}, w as (select id, unnest(toks) as t, unnest(range(0, len(toks))) as i from dt),
+r as (select id, t, i - row_number() over (partition by id, t order by i) as island from w), n as (select id, count(*) as n from r group by id, t, island)
+select dt.id as doc_id, len(dt.toks) as words, coalesce(case when len(dt.toks) >= 8 then (select sum(n - 1) from n where n.id = dt.id and n.n >= 4) end, 0)::bigint as looped from dt""")
+def loop_ratio_unigram(spark, sf_dir):
+    d = docs_toks(spark, sf_dir)
+    return d.select(F.col("id").alias("doc_id"), F.size("toks").cast("long").alias("words"), Q.unigram_loop(F.col("toks")).cast("long").alias("looped"))
+
+
+KEYWORD_SQL = f"""
+with {DT}, e(category, key, form) as (values {T.values(T.KEYWORDS)}),
+g as (select id, unnest(toks) as gram from dt union all select id, {gram(2)} as gram from (select id, toks, unnest(range(0, len(toks) - 1)) as i from dt)),
+per as (select id, category, key, form, count(*) as n from g join e on g.gram = e.form group by all),
+named as (select id, category, key, max(n) as n from per group by all),
+t as (select id, toks, unnest(toks) as t, unnest(range(0, len(toks))) as i from dt),
+k as (select id, case when regexp_full_match(t, '[0-9]+/[0-9]+') then 'fraction' when regexp_full_match(t, '[0-9]+:[0-9]+') then 'ratio' when regexp_full_match(t, '[0-9]+(\\.[0-9]+)?%') then 'percent'
+  when regexp_full_match(t, '[0-9]+(\\.[0-9]+)?') then case when toks[i + 2] = 'mmhg' then 'pressure' when toks[i + 2] in ('mm','mg','ml','d','diopter','dioptre','diopters') then 'unit' else 'digits' end end as key from t),
+told as (select id, case key when 'digits' then 'number' else 'measurement' end as category, key, count(*) as n from k where key is not null group by all),
+hits as (select * from named union all select * from told)
+"""
+
+
+@query(KEYWORD_SQL + "select id as doc_id, category, key, n from hits")
+def keyword_counts(spark, sf_dir):
+    e = T.table(spark, T.KEYWORDS, "category, key, form")
+    return Q.keyword_hits(docs_toks(spark, sf_dir), e).withColumnRenamed("id", "doc_id")
+
+
+@query(KEYWORD_SQL + "select h.id as doc_id, sum(n)::bigint as total, len(any_value(dt.toks))::bigint as words, count(distinct category) as categories from hits h join dt on dt.id = h.id group by h.id")
+def keyword_report(spark, sf_dir):
+    d = docs_toks(spark, sf_dir)
+    h = Q.keyword_hits(d, T.table(spark, T.KEYWORDS, "category, key, form"))
+    r = h.groupBy("id").agg(F.sum("n").alias("total"), F.countDistinct("category").alias("categories"))
+    return r.join(d.select("id", F.size("toks").cast("long").alias("words")), "id").withColumnRenamed("id", "doc_id")
+
+
+@query(f"""
+with c as (select conv_id, role, {toks('text')} as toks from conversations where role in ('user', 'assistant')), e(category, key, form) as (values {T.values(k for k in T.KEYWORDS if " " not in k[2])}),
+h as (select distinct conv_id, role, category || ':' || key as k from (select conv_id, role, unnest(toks) as t from c) join e on t = form),
+u as (select conv_id, list(k) filter (role = 'user') as a, list(k) filter (role = 'assistant') as b from h group by conv_id)
+select conv_id, len(list_intersect(a, b)) as shared, len(list_distinct(list_concat(a, b))) as either from u where a is not null and b is not null and len(list_distinct(list_concat(a, b))) >= 3""")
+def keyword_jaccard(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").select("conv_id", "role", F.explode(X.words(X.normalize_ascii(F.col("text")))).alias("t"))
+    e = T.table(spark, [k for k in T.KEYWORDS if " " not in k[2]], "category, key, form")
+    h = c.join(e, F.col("t") == F.col("form")).groupBy(F.col("conv_id").alias("id"), "role").agg(F.collect_set(F.concat_ws(":", "category", "key")).alias("keys"))
+    a = Q.agreement(h.where("role = 'user'"), h.where("role = 'assistant'"))
+    return a.select(F.col("id").alias("conv_id"), F.col("both").cast("long").alias("shared"), F.col("either").cast("long").alias("either"))
+
+
+_EVERY = ", ".join(f"'{w}'" for w in sorted({w for ws in T.FUNCTION_WORDS.values() for w in ws}))
+
+
+@query(f"""
+with {DT}, w as (select id, unnest(toks) as t, unnest(range(0, len(toks))) as i from dt),
+r as (select id, t, i - row_number() over (partition by id, t order by i) as island from w), n as (select id, count(*) as n from r group by id, t, island),
+l as (select id, sum(n - 1) as looped from n where n.n >= 4 group by id),
+c as (select dt.id, len(toks) as words, len(list_filter(toks, lambda x: x in ({_EVERY}))) as fw, case when len(toks) >= 8 then coalesce(l.looped, 0) else 0 end as looped from dt left join l using (id)),
+s as (select id, words, case when words >= 15 then least(1000, fw * 1000 // words * 4) end as fit, greatest(0, 1000 - 3 * (looped * 1000 // greatest(words, 1))) as rep from c),
+m as (select id, words, (coalesce(fit * 2, 0) + rep) // (case when fit is null then 1 else 3 end) as mean, least(coalesce(fit, 1000), rep) + 300 as weakest from s),
+z as (select id, case when words < 8 then 0 else least(mean, weakest) end as score from m)
+select z.id as doc_id, score::bigint as score, case when score >= 750 then 'high' when score >= 550 then 'medium' when score >= 350 then 'low' else 'unusable' end as tier,
+  case when score >= 550 then 600 else 500 end as candidate_min, l.quality from z left join labels l on l.doc_id = z.id""")
+def quality_score_tier(spark, sf_dir):
+    every = sorted({w for ws in T.FUNCTION_WORDS.values() for w in ws})
+    d = docs_toks(spark, sf_dir).select("id", F.size("toks").cast("long").alias("words"), F.size(F.filter("toks", lambda t: t.isin(*every))).cast("long").alias("fw"), Q.unigram_loop(F.col("toks")).cast("long").alias("looped"))
+    fit = F.when(F.col("words") >= 15, F.least(F.lit(1000), F.expr("fw * 1000 div words * 4")))
+    d = d.select("id", "words", fit.alias("fit"), F.greatest(F.lit(0), 1000 - 3 * F.expr("looped * 1000 div greatest(words, 1)")).alias("rep"))
+    mean = F.expr("(coalesce(fit * 2, 0) + rep) div (case when fit is null then 1 else 3 end)")
+    score = F.when(F.col("words") < 8, 0).otherwise(F.least(mean, F.least(F.coalesce("fit", F.lit(1000)), F.col("rep")) + 300)).cast("long")
+    d = d.select(F.col("id").alias("doc_id"), score.alias("score")).withColumn("tier", Q.tier_of(F.col("score") / 1000))
+    p = Q.policies(spark).select("tier", F.round(F.col("candidate_min") * 1000).cast("int").alias("candidate_min"))
+    return d.join(F.broadcast(p), "tier").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+
+# --- G, H, I, J: matching --------------------------------------------------------------------
+
+
+def bench_phrases(spark, sf_dir, n: int = 4) -> DataFrame:
+    b = read(spark, sf_dir, "benchmark").select("item_id", X.words(X.normalize_ascii(F.col("text"))).alias("t")).where(F.size("t") >= n)
+    return b.select(F.col("item_id").alias("term"), F.array_join(F.slice("t", 1, n), " ").alias("norm"), F.lit(n).alias("n"))
+
+
+@query(f"""
+with {DT}, p as (select item_id, array_to_string(t[1:4], ' ') as norm from (select item_id, {toks('text')} as t from benchmark) where len(t) >= 4),
+g as (select id, {gram(4)} as gram from (select id, toks, unnest(range(0, len(toks) - 3)) as i from dt))
+select id as doc_id, item_id as term, norm, count(*) as n from g join p on g.gram = p.norm group by all""")
+def phrase_exact_match(spark, sf_dir):
+    m = M.exact_matches(docs_toks(spark, sf_dir), bench_phrases(spark, sf_dir))
+    return m.select(F.col("id").alias("doc_id"), "term", "norm", F.col("count").alias("n"))
+
+
+@query(f"""
+with a(raw) as (values {T.values(T.ABBREVIATIONS)}), t as (select distinct doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9/:+]+')) as tok from documents)
+select doc_id, raw from t join a on tok = raw""")
+def abbr_match_case(spark, sf_dir):
+    a = T.table(spark, T.ABBREVIATIONS, "raw").withColumn("term", F.col("raw"))
+    return M.abbreviation_matches(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), a).select(F.col("id").alias("doc_id"), "raw")
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(M.STOP))
+
+
+@query(f"""
+with {DT}, nd as (select item_id, list_distinct(list_filter(t, lambda x: length(x) > 2 and x not in ({_STOP}))) as c from (select item_id, {toks('text')} as t from benchmark)),
+need as (select * from nd where len(c) >= 3),
+pr as (select h.id, n.item_id, len(any_value(n.c)) as k, count(*) as n from (select distinct id, unnest(toks) as w from dt) h join (select item_id, c, unnest(c) as w from need) n using (w) group by h.id, n.item_id),
+c as (select pr.id, pr.item_id, pr.k, list_max(list_transform(range(0, len(dt.toks), 2), lambda i: len(list_intersect(dt.toks[i + 1 : i + greatest(3 * pr.k, 12)], need.c)))) as best
+  from pr join dt using (id) join need using (item_id) where pr.n * 10 >= pr.k * 6)
+select id as doc_id, item_id as term, k, best from c where best * 10 >= k * 6""")
+def overlap_coverage(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term"), X.words(X.normalize_ascii(F.col("text"))).alias("t"))
+    need = b.select("term", F.array_distinct(F.filter("t", lambda x: (F.length(x) > 2) & ~x.isin(*sorted(M.STOP)))).alias("content")).where(F.size("content") >= 3)
+    m = M.overlap_matches(docs_toks(spark, sf_dir), need)
+    return m.select(F.col("id").alias("doc_id"), "term", F.col("k").cast("long").alias("k"), F.col("best").cast("long").alias("best"))
+
+
+def _sound_sql(s: str) -> str:
+    """phonetic_key without look-ahead and back-references."""
+    x = f"replace(replace(replace(replace(replace({s}, 'ph', 'f'), 'x', 'ks'), 'ck', 'k'), 'ch', '#'), 'c', 'k')"
+    x = f"replace(replace(replace(replace(replace(replace({x}, '#', 'ch'), 'q', 'k'), 'w', 'v'), 'v', 'b'), 'z', 'j'), ' ', '')"
+    x = f"regexp_replace({x}, '([kgcjtdpb])h', '\\1', 'g')"
+    x = f"replace(replace(replace(replace(replace(replace({x}, 'ee', 'i'), 'ii', 'i'), 'oo', 'u'), 'uu', 'u'), 'aa', 'a'), 'y', 'i')"
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        x = f"regexp_replace({x}, '{c}+', '{c}', 'g')"
+    return x
+
+
+@query(f"""
+with n as (select distinct {plain('p_name')} as norm from part), j as (select norm, replace(norm, ' ', '') as s, len(string_split(norm, ' ')) as k from n),
+p as (select *, {_sound_sql('s')} as key, case when length(s) >= 12 then 3 when length(s) >= 8 then 2 else 1 end as m from j),
+c as (select a.norm as heard, b.norm as form, a.s as x, b.s as y, b.m, least(levenshtein(a.s, b.s), levenshtein(a.key, b.key)) as d
+  from p a join p b on a.norm <> b.norm and length(b.s) >= 6 and b.k <= 4 and abs(length(a.s) - length(b.s)) <= b.m + 2 and a.k between greatest(1, b.k - 1) and least(5, b.k + 2)
+    and (a.s[1] = b.s[1] or a.key[1] = b.key[1] or (length(b.s) >= 9 and right(a.s, 3) = right(b.s, 3))))
+select heard, form, d::int as d from c where d <= m""")
+def fuzzy_blocked_match(spark, sf_dir):
+    n = read(spark, sf_dir, "part").select(X.normalize_ascii(F.col("p_name")).alias("norm")).distinct().withColumn("s", F.replace("norm", F.lit(" "), F.lit("")))
+    n = n.withColumn("n_toks", F.size(F.split("norm", " ")))
+    m = M.fuzzy_pairs(n.select(F.col("norm").alias("span"), "s", "n_toks"), n.select(F.col("norm").alias("form"), F.col("s").alias("joined"), "n_toks", F.lit(True).alias("is_name")))
+    return m.where("not rescued and h_span <> form").select(F.col("h_span").alias("heard"), "form", F.col("d").cast("int").alias("d"))
+
+
+_SPANS = f"""
+{DT}, bt as (select item_id, {toks('text')} as t from benchmark),
+ph as (select item_id, n, array_to_string(t[n : 2 * n - 1], ' ') as norm from bt, (select unnest([2, 3, 4, 5]) as n) where len(t) >= 2 * n - 1),
+gr as (select id, i, n, array_to_string(toks[i + 1 : i + n], ' ') as gram from (select id, toks, unnest(range(0, len(toks) - 1)) as i from dt), (select unnest([2, 3, 4, 5]) as n) where i + n <= len(toks)),
+sp as (select distinct gr.id, ph.norm, gr.i as s, gr.i + gr.n as e from gr join ph on gr.gram = ph.norm)"""
+
+
+def bench_spans(spark, sf_dir) -> DataFrame:
+    """Spans (id, heard, start, end) of word runs of the benchmark: for n of 2 to 5, its n words from the n-th on."""
+    t = read(spark, sf_dir, "benchmark").select(X.words(X.normalize_ascii(F.col("text"))).alias("t"))
+    ph = t.withColumn("n", F.explode(F.array(*[F.lit(n) for n in (2, 3, 4, 5)]))).where("size(t) >= 2 * n - 1").select("n", F.array_join(F.slice("t", F.col("n"), F.col("n")), " ").alias("heard")).distinct()
+    g = M.ngrams(docs_toks(spark, sf_dir), 2, 5)
+    return g.join(ph.select("heard"), F.col("gram") == F.col("heard")).select("id", "heard", F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end")).distinct()
+
+
+@query(f"with {_SPANS} select id as doc_id, norm as heard, s::int as \"start\", e::int as \"end\" from sp a where not exists (select 1 from sp b where b.id = a.id and b.s <= a.s and b.e >= a.e and b.e - b.s > a.e - a.s)")
+def span_longest_wins(spark, sf_dir):
+    s = bench_spans(spark, sf_dir).withColumn("ord", F.lit(0))
+    return S.longest_wins(s, ["id"]).select(F.col("id").alias("doc_id"), "heard", "start", "end")
+
+
+@query(f"""
+with {_SPANS}, m as (select id, norm, count(*) as n, max(len(string_split(norm, ' '))) as score from sp group by id, norm)
+select id as doc_id, norm as heard, n from m a where not exists (select 1 from m b where b.id = a.id and b.score >= a.score and length(b.norm) > length(a.norm) and contains(b.norm, a.norm))""")
+def match_suppress_contained(spark, sf_dir):
+    m = bench_spans(spark, sf_dir).groupBy("id", "heard").agg(F.count("*").alias("n")).withColumn("score", F.size(F.split("heard", " ")).cast("double")).withColumn("kind", F.lit("fuzzy"))
+    return M.suppress_contained(m).select(F.col("id").alias("doc_id"), "heard", "n")
+
+
+@query("""
+with s as (select p_brand, p_partkey, p_retailprice from part where p_retailprice >= 500), c as (select count(*) as n, count(distinct p_brand) as cats from s),
+r as (select s.*, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as k, greatest(3, 60 // (2 * cats)) as fl, n from s, c),
+f as (select *, k <= fl as kept, sum((k <= fl)::int) over () as kn from r), g as (select *, row_number() over (partition by kept order by p_retailprice desc, p_partkey) as rk from f)
+select p_brand as category, p_partkey as term from g where n <= 60 or kept or rk <= 60 - kn""")
+def candidate_floor_topk(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.lit(0).alias("id"), F.col("p_brand").alias("category"), F.col("p_partkey").alias("term"), F.col("p_retailprice").alias("score"))
+    return M.select_candidates(p, 60, 500.0, [F.col("score").desc(), "term"]).select("category", "term")
+
+
+@query(f"""
+with {DT}, b as (select item_id, {toks('text')} as t from benchmark), m as (
+  select dt.id, b.item_id, 100 as score, 1 as ord, dt.toks[1] as w from dt join b on dt.toks[1] = b.t[1] union all select dt.id, b.item_id, 95, 2, dt.toks[2] from dt join b on dt.toks[2] = b.t[1]),
+r as (select *, row_number() over (partition by id, item_id order by score desc, ord) as k from m)
+select id as doc_id, item_id as term, score::double / 100 as score, w as heard from r where k = 1""")
+def best_match_per_term(spark, sf_dir):
+    d = docs_toks(spark, sf_dir)
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term"), F.get(X.words(X.normalize_ascii(F.col("text"))), F.lit(0)).alias("w0"))
+    first = d.select("id", F.explode(F.array(*[F.struct(F.get("toks", F.lit(i)).alias("w"), F.lit(s).alias("score"), F.lit(o).alias("ord")) for i, s, o in ((0, 1.0, 1), (1, 0.95, 2))])).alias("x")).select("id", "x.*")
+    m = first.join(b, F.col("w") == F.col("w0")).withColumn("count", F.lit(1))
+    return M.best_per_term(m).select(F.col("id").alias("doc_id"), "term", "score", F.col("w").alias("heard"))
+
+
+# --- E4, F7, G7: denial and answers ----------------------------------------------------------
+
+_NEG = """
+cl as (select conv_id, turn, unnest(string_split_regex(lower(text), '[?!.,;:\\n]+')) as c, unnest(range(0, len(string_split_regex(lower(text), '[?!.,;:\\n]+')))) as clause from conversations),
+tk as (select conv_id, turn, clause, list_filter(string_split_regex(c, '[\\s"()]+'), lambda x: x <> '') as t from cl),
+ng as (select conv_id, turn, clause, t, unnest(range(0, len(t))) as pos from tk),
+nn as (select *, t[pos + 2 : pos + 5] as a from ng where t[pos + 1] in ('no','without','denies','deny','denied','never','negative') and (pos = 0 or t[pos] not in ('can''t','cant','cannot','unable','couldn''t','couldnt'))),
+sp as (select conv_id, turn, clause::int as clause, at::int as pos, a[1 : coalesce(list_min(list_filter([list_position(a, 'but'), list_position(a, 'however'), list_position(a, 'except')], lambda p: p > 0)) - 1, 4)] as p from nn),
+neg as (select conv_id, turn, clause, pos, array_to_string(p, ' ') as phrase from sp where len(p) > 0)"""
+
+
+def turn_negations(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", S.english_negations(F.col("text")).alias("n"))
+    return c.select("conv_id", "turn", F.inline("n"))
+
+
+@query(f"with {_NEG} select * from neg")
+def negation_english(spark, sf_dir):
+    return turn_negations(spark, sf_dir)
+
+
+@query(f"""
+with {_NEG}, hit as (select conv_id, turn, clause::int as clause, t[pos + 1] as w, at::int as pos from ng where t[pos + 1] in (select * from (values {T.values(sorted(set(T.FUNCTION_WORDS['en'])))})))
+select conv_id, turn, clause, pos, w from hit h where not exists (select 1 from neg n where n.conv_id = h.conv_id and n.turn = h.turn and n.clause = h.clause and h.pos >= n.pos + 1 and h.pos + 1 <= n.pos + 1 + len(string_split(n.phrase, ' ')))""")
+def span_negation_anti(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), r"[?!.,;:\n]+")).alias("clause", "c"))
+    h = c.select("conv_id", "turn", "clause", F.posexplode(F.array_remove(F.split("c", r"[\s\"()]+"), "")).alias("pos", "w")).where(F.col("w").isin(*sorted(set(T.FUNCTION_WORDS["en"]))))
+    hits = h.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1)
+    n = turn_negations(spark, sf_dir).select("conv_id", "turn", "clause", (F.col("pos") + 1).alias("start"), (F.col("pos") + 1 + F.size(F.split("phrase", " "))).alias("end"))
+    return S.outside(hits, n, ["conv_id", "turn", "clause"]).select("conv_id", "turn", "clause", "pos", "w")
+
+
+@query("""
+select user_id, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) as answer, (count(distinct event_type) > 1) as conflict from events where event_type in ('purchase', 'click') group by user_id""")
+def last_answer_wins(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("event_type in ('purchase', 'click')")
+    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("answer"), (F.countDistinct("event_type") > 1).alias("conflict"))
+
+
+@query(f"""
+with w as (select distinct conv_id, role, unnest({toks('text')}) as w from conversations where role in ('user', 'assistant'))
+select conv_id, count(*) as only_user from w u where role = 'user' and not exists (select 1 from w a where a.role = 'assistant' and a.conv_id = u.conv_id and a.w = u.w) group by conv_id""")
+def doctor_line_exclusion(spark, sf_dir):
+    w = read(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").select("conv_id", "role", F.explode(F.array_distinct(X.words(X.normalize_ascii(F.col("text"))))).alias("w")).distinct()
+    return w.where("role = 'user'").drop("role").join(w.where("role = 'assistant'").drop("role"), ["conv_id", "w"], "left_anti").groupBy("conv_id").agg(F.count("*").alias("only_user"))
+
+
+# --- A10, D11, I6 ----------------------------------------------------------------------------
+
+
+@query("""
+with e as (select *, sum((event_type = 'view')::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as word_id from events)
+select user_id, word_id::bigint as word_id, count(*) as n, min(value) as p from e group by user_id, word_id""")
+def running_word_groups(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = read(spark, sf_dir, "events").withColumn("word_id", F.sum((F.col("event_type") == "view").cast("int")).over(w))
+    return e.groupBy("user_id", "word_id").agg(F.count("*").alias("n"), F.min("value").alias("p"))
+
+
+@query("""
+with e as (select user_id, floor(value * 100)::bigint as v, length(event_type) as w from events where value is not null)
+select user_id, sum(v * w)::bigint as num, sum(w)::bigint as den, sum(case when v < 1000 then w else 0 end)::bigint as low from e group by user_id""")
+def weighted_confidence(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("value is not null").select("user_id", F.floor(F.col("value") * 100).alias("v"), F.length("event_type").cast("long").alias("w"))
+    return e.groupBy("user_id").agg(F.sum(F.col("v") * F.col("w")).alias("num"), F.sum("w").alias("den"), F.sum(F.when(F.col("v") < 1000, F.col("w")).otherwise(0)).alias("low"))
+
+
+# --- G11 and on: grounding -------------------------------------------------------------------
+
+
+@query(f"""
+with names as (select p_partkey as id, {plain('p_name')} as norm, p_brand as category from part),
+it as (select l_orderkey * 10 + l_linenumber as rid, l_partkey as kb_id, {plain('p_name')} as norm, case when l_linenumber % 3 = 0 then 'Brand#11' else p_brand end as category from lineitem join part on p_partkey = l_partkey),
+c as (select rid, 1 as p, kb_id as term, 'id' as how from it join names on names.id = it.kb_id and names.category = it.category union all
+  select rid, 2, names.id, 'name' from it join names on names.norm = it.norm and names.category = it.category union all
+  select rid, 3, names.id, 'head' from it join names on string_split(names.norm, ' ')[1] = string_split(it.norm, ' ')[1] and names.category = it.category where length(string_split(it.norm, ' ')[1]) >= 5),
+b as (select rid, min(struct_pack(p := p, o := case when p = 1 then 0 else term end, term := term, how := how)) as x from c group by rid)
+select coalesce(b.x.how, 'none') as how, count(*) as n, sum(coalesce(b.x.term, 0))::bigint as checksum from it left join b using (rid) group by 1""")
+def id_grounding_cascade(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    names = p.select(F.col("p_partkey").alias("id"), X.normalize_ascii(F.col("p_name")).alias("norm"), F.col("p_brand").alias("category"), F.col("p_partkey").alias("ord"))
+    it = read(spark, sf_dir, "lineitem")
+    it = it.join(p, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rid"), F.col("l_partkey").alias("kb_id"), F.col("p_name").alias("name"), F.when(F.col("l_linenumber") % 3 == 0, "Brand#11").otherwise(F.col("p_brand")).alias("category"))
+    r = G.resolve(it, names)
+    return r.groupBy(F.coalesce("how", F.lit("none")).alias("how")).agg(F.count("*").alias("n"), F.sum(F.coalesce("term", F.lit(0))).alias("checksum"))
+
+
+@query(f"""
+with {DT}, r(risk) as (values {T.values(T.RISK_WORDS)}), h as (select distinct id, unnest(toks) as w from dt), c as (select distinct unnest(toks) as w from dt join labels on labels.doc_id = dt.id where labels.toxic = 1)
+select id as doc_id, risk from h join r on h.w = r.risk where risk in (select w from c)""")
+def risk_cross_check(spark, sf_dir):
+    d = docs_toks(spark, sf_dir)
+    r = T.table(spark, T.RISK_WORDS, "risk")
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    h = d.select("id", F.explode(F.array_distinct("toks")).alias("risk")).join(r, "risk")
+    seen = h.join(toxic, "id", "left_semi").select("risk").distinct()
+    return h.join(seen, "risk", "left_semi").select(F.col("id").alias("doc_id"), "risk")
+
+
+_EV = r"""list_filter(string_split_regex(lower({0}), '[\s,।.?!;:()"''“”‘’\-–—/]+'), lambda t: length(t) >= 2)"""
+
+
+@query(f"""
+with ev as (select item_id, len({_EV.format('text')}) as n, unnest(list_transform({_EV.format('text')}, lambda t: case when length(t) >= 4 then left(t, 4) else t end)) as k from benchmark),
+tr as (select distinct doc_id, unnest(list_transform({_EV.format('text')}, lambda t: case when length(t) >= 4 then left(t, 4) else t end)) as k from documents)
+select doc_id, item_id, count(*) as hit, any_value(n) as words from ev join tr using (k) group by doc_id, item_id having count(*) * 10 >= any_value(n) * 6""")
+def evidence_supported(spark, sf_dir):
+    key = lambda c: F.transform(R.evidence_tokens(c), R.evidence_key)
+    ev = read(spark, sf_dir, "benchmark").select("item_id", key(F.col("text")).alias("ks")).select("item_id", F.size("ks").cast("long").alias("words"), F.explode("ks").alias("k"))
+    ev = ev.groupBy("item_id", "words", "k").agg(F.count("*").alias("times"))
+    tr = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(key(F.col("text")))).alias("k"))
+    m = tr.join(ev, "k").groupBy("doc_id", "item_id", "words").agg(F.sum("times").alias("hit"))
+    return m.where("hit * 10 >= words * 6").select("doc_id", "item_id", "hit", "words")
+
+
+@query("""
+with k as (select l_orderkey, l_linenumber, case when l_linenumber = 1 then '' else l_returnflag || '|' || l_linestatus end as key from lineitem),
+r as (select *, row_number() over (partition by l_orderkey, key order by l_linenumber) as n from k) select l_orderkey, l_linenumber, key from r where n = 1 or key = ''""")
+def dedupe_first_wins(spark, sf_dir):
+    k = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat_ws("|", "l_returnflag", "l_linestatus")).alias("key"))
+    n = F.row_number().over(Window.partitionBy("l_orderkey", "key").orderBy("l_linenumber"))
+    return k.withColumn("n", n).where("n = 1 or key = ''").drop("n")
+
+
+def copy_pairs(spark, sf_dir) -> DataFrame:
+    """ASCII documents that begin alike, each against the first of them: (doc_id, ref_id, hyp, ref)."""
+    d = read(spark, sf_dir, "documents").where(F.col("text").rlike(X.ASCII) & (F.length("text") >= 60)).select("doc_id", "text", F.left("text", F.lit(60)).alias("k"))
+    first = d.groupBy("k").agg(F.min("doc_id").alias("ref_id"), F.count("*").alias("n")).where("n > 1")
+    m = d.join(first, "k").where("doc_id <> ref_id").select("doc_id", "ref_id", F.col("text").alias("hyp"))
+    return m.join(d.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("ref")), "ref_id").where("hyp <> ref")
+
+
+_COPIES = """
+d as (select doc_id, text, left(text, 60) as k from documents where regexp_full_match(text, '[\\x00-\\x7F]*', 's') and length(text) >= 60),
+f as (select k, min(doc_id) as ref_id from d group by k having count(*) > 1),
+p as (select d.doc_id, f.ref_id, d.text as hyp, r.text as ref from d join f using (k) join d r on r.doc_id = f.ref_id where d.doc_id <> f.ref_id and d.text <> r.text)"""
+
+
+@query(f"with {_COPIES}, c as (select doc_id, ref_id, regexp_replace(lower(hyp), '[^a-z0-9]+', '', 'g') as h, regexp_replace(lower(ref), '[^a-z0-9]+', '', 'g') as r from p) select doc_id, ref_id, levenshtein(h, r)::int as errors, length(r)::int as chars from c")
+def cer_chars(spark, sf_dir):
+    p = copy_pairs(spark, sf_dir).select("doc_id", "ref_id", X.char_seq(F.col("hyp")).alias("h"), X.char_seq(F.col("ref")).alias("r"))
+    return p.select("doc_id", "ref_id", F.levenshtein("h", "r").alias("errors"), F.length("r").alias("chars"))
+
+
+@query()
+def wer_words(spark, sf_dir):
+    p = copy_pairs(spark, sf_dir).select("doc_id", "ref_id", X.words(X.normalize_native_ascii(F.col("hyp"))).alias("hyp_words"), X.words(X.normalize_native_ascii(F.col("ref"))).alias("ref_words"))
+    c = E.error_counts(p).withColumn("words", F.size("ref_words")).withColumn("distance", scans.word_distance("ref_words", "hyp_words"))
+    return c.select("doc_id", "ref_id", "subs", "dels", "inss", "words", "distance")
+
+
+# --- H10 and on: evaluation ------------------------------------------------------------------
+
+_HITS = "h as (select d.source, d.lang, d.doc_id, l.quality, l.toxic, (d.n_chars >= 600)::int as pred from documents d join labels l using (doc_id))"
+
+
+def predicted(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", (F.col("n_chars") >= 600).cast("int").alias("pred"))
+    return d.join(read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(f"""
+with {_HITS}, s as (select source, sum(pred) filter (quality = 1) as hit, count(*) filter (quality = 1) as facts, sum(pred) filter (toxic = 1) as bad from h group by source)
+select source, hit::bigint as hit, facts, coalesce(bad, 0)::bigint as violations, hit * 1000 >= facts * 900 as recall_gate, coalesce(bad, 0) = 0 as forbidden_gate from s""")
+def fact_recall_gates(spark, sf_dir):
+    h = predicted(spark, sf_dir)
+    s = h.groupBy("source").agg(F.sum(F.when(F.col("quality") == 1, F.col("pred"))).alias("hit"), F.count(F.when(F.col("quality") == 1, 1)).alias("facts"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("pred"))), F.lit(0)).alias("violations"))
+    return s.withColumn("recall_gate", E.ratio_gate(F.col("hit"), F.col("facts"), 0.9)).withColumn("forbidden_gate", F.col("violations") == 0)
+
+
+@query(f"with {_HITS} select lang, source, grouping(lang, source)::int as level, count(*) as n, sum(quality)::bigint as good from h group by grouping sets ((lang), (source), ())")
+def slice_grouping_sets(spark, sf_dir):
+    predicted(spark, sf_dir).createOrReplaceTempView("_slices")
+    return spark.sql("select lang, source, cast(grouping_id(lang, source) as int) as level, count(*) as n, sum(quality) as good from _slices group by grouping sets ((lang), (source), ())")
+
+
+@query(f"with {_HITS} select lang, count(*) filter (pred = 1 and quality = 1) as tp, count(*) filter (pred = 1 and quality = 0) as fp, count(*) filter (pred = 0 and quality = 1) as fn from h group by lang")
+def prf_scores(spark, sf_dir):
+    c = lambda p, q: F.count(F.when((F.col("pred") == p) & (F.col("quality") == q), 1))
+    return predicted(spark, sf_dir).groupBy("lang").agg(c(1, 1).alias("tp"), c(1, 0).alias("fp"), c(0, 1).alias("fn"))
+
+
+@query("""
+with n as (select count(*) as n, greatest(1, floor(0.1 * count(*) + 0.5)::int) as want from documents), k as (select n, want, ceil(n / want)::int as k from n),
+r as (select doc_id, row_number() over (order by doc_id) - 1 as i from documents)
+select doc_id, case when i % k = 0 and i // k < want then 'valid' else 'train' end as part from r, k""")
+def train_valid_split(spark, sf_dir):
+    return E.train_valid(read(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "part")
+
+
+@query(f"""
+with n as (select distinct {plain('p_name')} as w from part), r as (select w, sum(length(w) + 2) over (order by w rows unbounded preceding) as used from n) select w, used::bigint as used from r where used <= 600""")
+def hotword_budget(spark, sf_dir):
+    n = read(spark, sf_dir, "part").select(X.normalize_ascii(F.col("p_name")).alias("w")).distinct()
+    w = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)  # over distinct names: a vocabulary
+    return n.withColumn("used", F.sum(F.length("w") + 2).over(w)).where("used <= 600")
+
+
+@query("""
+with e as (select user_id, event_type, count(distinct extract(day from ts) % 2) as runs from events group by user_id, event_type)
+select user_id, count(*) filter (runs = 2) as in_all, count(*) as in_any from e group by user_id""")
+def set_stability(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.countDistinct(F.dayofmonth("ts") % 2).alias("runs"))
+    return e.groupBy("user_id").agg(F.count(F.when(F.col("runs") == 2, 1)).alias("in_all"), F.count("*").alias("in_any"))
+
+
+@query("""
+with c as (select c_custkey, any_value(c_mktsegment) as seg, any_value(c_nationkey) as nat, list(distinct o_orderstatus) as terms from customer join orders on o_custkey = c_custkey group by c_custkey),
+a as (select * from c where c_custkey % 40 = 0)
+select c.c_custkey as visit, a.c_custkey as example, 3 + len(list_intersect(c.terms, a.terms)) + (c.nat = a.nat)::int as score from c join a on a.seg = c.seg where a.c_custkey <> c.c_custkey""")
+def example_similarity(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("visit")).agg(F.collect_set("o_orderstatus").alias("terms"))
+    c = read(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("visit")).select("visit", F.array("c_mktsegment").alias("dx"), "terms", F.col("c_nationkey").alias("language"))
+    s = G.example_scores(c, c.where("visit % 40 = 0").withColumnRenamed("visit", "example"))  # every 40th customer plays an approved record
+    return s.where("visit <> example").withColumn("score", F.col("score").cast("long"))
+
+
+@query("select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title from pages")
+def html_title_extract(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+
+
+@query("select lang, sum(length(text))::bigint as chars, sum(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')))::bigint as lines from documents group by lang")
+def line_split_counts(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("lang", F.length("text").alias("c"), F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("n"))
+    return d.groupBy("lang").agg(F.sum("c").alias("chars"), F.sum("n").alias("lines"))
+
+
+@query("""
+with w(phrase, n) as (select * from (values ('once daily', 1), ('twice daily', 2), ('three times a day', 3), ('every two hours', 12), ('hourly', 24)))
+select o_orderkey, phrase, n::int as per_day from orders, w where w.n = case o_orderkey % 5 when 0 then 1 when 1 then 2 when 2 then 3 when 3 then 12 else 24 end""")
+def doses_per_day(spark, sf_dir):
+    table = F.array(*[F.lit(x) for x in ("once daily", "twice daily", "three times a day", "every two hours", "hourly")])
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.get(table, (F.col("o_orderkey") % 5).cast("int")).alias("phrase"))
+    return o.withColumn("per_day", X.written_per_day(F.col("phrase")))
+
+
+# --- rows only: own fixtures -----------------------------------------------------------------
+
+
+@query()
+def transliterate_indic(spark, sf_dir):
+    return T.table(spark, fixtures.NATIVE_WORDS, "word, expected").withColumn("roman", X.transliterate_udf("word"))
+
+
+@query()
+def decode_numbers(spark, sf_dir):
+    return T.table(spark, fixtures.NUMBER_LINES, "line").withColumn("found", scans.find_numbers("line")).withColumn("all_values", scans.all_numbers("line"))
+
+
+@query()
+def align_words(spark, sf_dir):
+    d = T.table(spark, fixtures.PAIRS, "ref, hyp")
+    return d.withColumn("al", scans.alignment(X.words(X.normalize_native(F.col("ref"))), X.words(X.normalize_native(F.col("hyp")))))
+
+
+@query()
+def repair_json(spark, sf_dir):
+    return T.table(spark, fixtures.ANSWERS, "raw").withColumn("json", scans.loose_json("raw"))
+
+
+@query()
+def loop_ratio_phrases(spark, sf_dir):
+    return docs_toks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.size("toks").alias("words"), scans.loop_words("toks").alias("looped"))
+
+
+@query()
+def negation_indic(spark, sf_dir):
+    return T.table(spark, fixtures.DENIALS, "line").withColumn("spans", scans.negations("line"))
+
+
+@query()
+def record_rules(spark, sf_dir):
+    items, _ = R.post_process(*fixtures.draft(spark))
+    return items
+
+
+@query()
+def record_audit(spark, sf_dir):
+    _, audit = R.post_process(*fixtures.draft(spark))
+    return audit
+
+
+@query()
+def vocabulary_forms(spark, sf_dir):
+    return M.forms(fixtures.terms(spark))
+
+
+@query()
+def recorded_model_answers(spark, sf_dir):
+    prompts = T.table(spark, fixtures.PROMPTS, "visit, prompt")
+    return models.coerce(models.ask(prompts, "mock"))
+
+
+@query()
+def recorded_words(spark, sf_dir):
+    t = T.table(spark, fixtures.TOKENS, "id, pos, text, p").select("id", F.col("pos").cast("int").alias("pos"), "text", F.col("p").cast("double").alias("p"))
+    return files.words_of_tokens(t)
