@@ -1,0 +1,469 @@
+"""Each operator and pipeline stage against brute force, and over nulls, empty, long, tied and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from lexiloom.llm import annsearch, decontam, htmltext, langid, neardup, pieces, pii, queries, secrets, sharding, trees, urlblock
+from lexiloom.llm.components import connected_components
+from lexiloom.llm.scratch import Scratch
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, th string, item_ids string, rid string, salt int"
+
+
+def make(spark, rows):
+    """Documents with clashing extra columns."""
+    return spark.createDataFrame([(i, t, lang, "src", len(t or ""), "x", "x", "x", 1) for i, t, lang in rows], DOCS)
+
+
+LONG = " ".join(f"word{i} other{i % 7}" for i in range(6_000))
+ODD = [(1, None, None), (2, "", None), (3, "   \n", "en"), (4, "12 34 !!", "en"), (None, "a text without an id", "en"), (5, LONG, "en"), (6, LONG, "en"), (6, LONG, "en"), (7, "x" * 50_000, None), (8, "émile 日本語 😀", "fr")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return make(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        top[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
+    assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+# --- 1
+
+
+def test_secrets(spark):
+    hexa = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, f'deploy with token = "{hexa}" now', None), (2, "order 4785380592391139 shipped", None), (3, "api_key = your_token_here", None), (4, f"commit {hexa} fixed it", None), *[(i and i + 10, t, lang) for i, t, lang in ODD]]
+    d = secrets.scan(make(spark, rows), secrets.fit(spark))
+    got = d.collect()
+    by = {(r.doc_id, r.secret): r for r in got}
+    assert by[1, hexa].is_secret and rows[0][1][by[1, hexa].start : by[1, hexa].end] == hexa
+    assert not by[2, "4785380592391139"].is_secret
+    assert not by[3, "your_token_here"].is_secret and not by[4, hexa].is_secret
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_secret_places_are_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {(r.doc_id, r.start, r.end) for r in secrets.candidates(docs).collect()}
+    pattern = re.compile(secrets.PATTERN)
+    assert got == {(r.doc_id, m.start(), m.end()) for r in docs.collect() for m in pattern.finditer(r.text)}
+
+
+def test_trees_as_columns(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 3))
+    y = (x[:, 0] + x[:, 1] > 1).astype(float)
+    fs = trees.forest(x, y, 5, 4)
+    p = np.mean([t.apply(x) for t in fs], axis=0)
+    assert ((p > 0.5) == (y > 0)).mean() > 0.9
+    d = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    got = d.select(*[t.column(["a", "b", "c"]).alias(f"t{i}") for i, t in enumerate(fs)]).collect()
+    assert np.allclose([np.mean(r) for r in got], p)
+
+
+# --- 2
+
+
+def test_language(spark, odd, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    crf = langid.fit(docs)
+    rows = {r.doc_id: r for r in docs.collect()}
+    got = langid.predict(docs, crf).collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert sum(rows[r.doc_id].lang == r.lang_pred for r in held) / len(held) >= 0.95
+    out = langid.predict(odd, crf).collect()
+    assert {r.lang_pred for r in out if r.doc_id in (1, 2, 3, 4)} == {"und"} and all(0 <= r.score <= 1 for r in out)
+    assert len(out) == len(ODD) and langid.predict(empty, crf).count() == 0
+    assert langid.predict(odd, langid.fit(empty)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_switched_text_is_labelled_by_word(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    crf = langid.fit(docs)
+    by = {r.lang: r.text for r in docs.where("n_chars > 600").collect()}
+    two = " ".join(by["en"].split()[:40] + by["es"].split()[:40])
+    share = langid.label_texts([two], crf)[2][0]
+    assert 0.35 < share["en"] < 0.65 and 0.35 < share["es"] < 0.65
+
+
+def test_marginals_are_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    emit, moves, starts = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    size = np.array([4, 2])
+    got = langid.marginals(emit, moves, starts, size)
+    both = langid.forward_backward(emit, moves, starts, size)[0]
+    for n in range(2):
+        want = np.zeros((4, 3))
+        for path in itertools.product(range(3), repeat=size[n]):
+            s = starts[path[0]] + sum(emit[n, i, p] for i, p in enumerate(path)) + sum(moves[a, b] for a, b in itertools.pairwise(path))
+            for i, p in enumerate(path):
+                want[i, p] += np.exp(s)
+        want[: size[n]] /= want[: size[n]].sum(axis=1, keepdims=True)
+        assert np.allclose(got[n], want) and np.allclose(both[n], want)
+
+
+# --- 3
+
+
+def test_pieces_are_the_library(spark, odd, empty):
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    rng = random.Random(5)
+    texts = [t or "" for _, t, _ in ODD] + ["".join(rng.choice("abthein  \n.é日😀'0x<>") for _ in range(rng.randint(0, 50))) for _ in range(400)]
+    enc = pieces.Encoder(pieces.read_model())
+    got = enc.encode(texts)
+    assert got == sp.encode(texts)
+    assert [enc.decode(x) for x in got] == texts
+    out = pieces.encode(odd)
+    assert {r.doc_id: r.n_tokens for r in out.where("doc_id in (1, 2)").collect()} == {1: 0, 2: 0}
+    assert out.where("not lossless").count() == 0 and out.count() == len(ODD) and pieces.encode(empty).count() == 0
+    back = pieces.decode(out.where("doc_id = 5")).first()
+    assert back.text == LONG
+
+
+def test_unigram_path_is_the_best():
+    m = pieces.Model(["<unk>", "▁", "a", "b", "ab", "▁a", "ba"], [0, -1, -2, -2, -2.5, -2.2, -4], [2, 1, 1, 1, 1, 1, 1], kind=pieces.UNIGRAM, squeeze=False)
+    assert pieces.Encoder(m).encode(["aab"]) == [[5, 4]]
+
+
+# --- 4
+
+
+PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><div class="cookie-notice">Cookies!</div><nav><a>menu</a></nav>
+<article><h1>Title &amp; more</h1><p><b>One
+  two&nbsp;three<br>four<p>Five</p><ul><li>a<li>b</ul><div class="ad">Buy</div><form><input></form><div id="comments"><p>first!</p></div></article><aside>side</aside><footer>&copy; f</footer></body></html>"""
+
+
+def test_html(spark):
+    assert htmltext.main_text(PAGE, frozenset()) == "Title & more\nOne two three four\nFive\na\nb"
+    assert htmltext.main_text(None, frozenset()) == "" == htmltext.main_text("", frozenset())
+    for bad in ("<a " * 20_000, '<p "' * 20_000, "<b>" * 5_000 + "</i>" * 5_000):
+        htmltext.main_text(bad, frozenset())
+    pages = [(i, f"http://h.example/{i}", f"<body><div class='top'>All of our sites and offers</div><div class='text'><p>Own words number {i} of this page</p></div></body>") for i in range(12)]
+    pages += [(100, None, None), (101, "no host", ""), (102, "http://h.example/1", None), (103, "http://x.example", PAGE), (103, "http://x.example", PAGE)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' as host", "1 as cut", "1 as salt")
+    got = htmltext.extract(d).collect()
+    assert len(got) == len(pages)
+    assert {r.text for r in got if r.page_id < 12} == {f"Own words number {i} of this page" for i in range(12)}
+    assert all(r.n_chars == len(r.text) for r in got) and [r.text for r in got if r.page_id in (100, 101, 102)] == [""] * 3
+    assert htmltext.extract(d.where("false")).count() == 0
+
+
+def test_html_of_generated_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        a = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
+        import html
+
+        parts = re.split(r"</?(?:p|h1)>", a)
+        want[r.page_id] = "\n".join(x for x in (" ".join(html.unescape(re.sub("<[^>]*>", " ", p)).split()) for p in parts) if x)
+    assert {r.page_id: r.text for r in htmltext.extract(pages).collect()} == want
+
+
+# --- 5
+
+
+def _plain_spans(text):
+    out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 12 <= len(d) <= 19 and sum(sum(divmod(2 * n, 10)) if i % 2 else n for i, n in enumerate(reversed(d))) % 10 == 0:
+            out.append((m.start(), m.end(), 2))
+    out += [(m.start(), m.end(), 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out)
+
+
+def test_pii(spark, odd, empty):
+    rng = random.Random(3)
+    for _ in range(4_000):
+        t = "".join(rng.choice("a1.@-+ 0(9)b%") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(t) == _plain_spans(t), t
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.detect(docs).collect():
+        base = _plain_spans(texts[r.doc_id])
+        told = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in base)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[2] == k for x in base) for k in range(4)]
+        assert set(filter(None, told.split(","))) <= set(r.spans.split(","))
+    out = pii.detect(odd).collect()
+    assert len(out) == len(ODD) and pii.detect(empty).count() == 0
+    m = pii.fit()
+    found = lambda t: [(pii.KINDS[k], t[s:e]) for s, e, k in pii.find([t], m)[0][1]]
+    assert found("Call me at (415) 555-1234 today") == [("local_phone", "(415) 555-1234")]
+    assert found("mail bob at example dot com please") == [("written_email", "bob at example dot com")]
+    assert found("at 10:22:33 we met") == []
+    assert pii.redact("mail a@b.de now", pii.base_spans("mail a@b.de now")) == "mail [EMAIL] now"
+
+
+# --- 6
+
+
+def test_masks_are_lossless():
+    import itertools
+
+    for bad in itertools.combinations(range(decontam.WINDOW), decontam.WINDOW - decontam.AGREE):
+        assert any(all(mask[b - o] == "-" for b in bad if o <= b < o + len(mask)) for mask in decontam.MASKS for o in range(decontam.WINDOW - len(mask) + 1))
+
+
+def test_decontamination_is_brute_force(spark, odd, empty):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([20, 13, 15, 8, 5, 3, 0])] + [(90, None), (None, "a b c d e f")]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(vocab) for _ in range(40)]
+        src = items[rng.randrange(6)][1].split()
+        put = [rng.choice(vocab) if rng.random() < 0.12 else x for x in src]
+        at = rng.randrange(20)
+        rows.append((i, " ".join(w[:at] + put + w[at:]), "en"))
+
+    def leak(d, b):
+        d, b = d.split(), b.split()
+        if 5 <= len(b) < 13:
+            return any(d[i : i + len(b)] == b for i in range(len(d) - len(b) + 1))
+        return any(sum(x == y for x, y in zip(d[i : i + 13], b[j : j + 13], strict=True)) >= 11 for i in range(len(d) - 12) for j in range(len(b) - 12))
+
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make(spark, rows)
+    got = {r.doc_id: r.item_ids for r in decontam.scan(docs, bench).collect()}
+    assert got == {i: [j for j, b in items if b is not None and j is not None and leak(t, b)] for i, t, _ in rows}
+    kept = decontam.keep_clean(docs, bench)
+    assert {r.doc_id for r in kept.collect()} == {i for i, x in got.items() if not x} and kept.columns == docs.columns
+    assert decontam.scan(odd, bench).count() == len(ODD) and decontam.scan(empty, bench).count() == 0
+    assert decontam.scan(docs, bench.where("false")).where("contaminated").count() == 0
+
+
+# --- 7
+
+
+def _groups(rows, n, percent):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    top = {i: i for i in sets}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and (both := len(sets[a] & sets[b])) and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                top[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def test_near_duplicates_are_brute_force(spark, odd, empty):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(7)
+    base = [f"t{i}" for i in range(160)]
+    for i in range(40):  # a group of near copies, some beyond the threshold
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(160)] = f"e{rng.random()}"
+        docs.append((10_000 + i, " ".join(w)))
+    docs += [(20_000, "Two words"), (20_001, "two WORDS"), (20_002, ""), (20_003, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for n, percent in ((3, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(d, n, percent).collect()}
+        assert got == _groups(docs, n, percent)
+    out = neardup.near_duplicates(odd).collect()
+    assert len(out) == len(ODD) and {r.component_id for r in out if r.doc_id in (5, 6)} == {5}
+    assert [r.kept for r in out if r.doc_id is None] == [True] and neardup.near_duplicates(empty).count() == 0
+
+
+def test_links_span_blocks(monkeypatch, spark):
+    rng = random.Random(8)
+    sets, ids = [], list(range(60))
+    for _ in ids:
+        sets.append(np.unique(np.array(rng.sample(range(70), 60), np.uint64)))
+    want = {(i, j) for i in ids for j in ids if i < j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+
+    def parts(edges):
+        top = {i: i for i in ids}
+        for a, b in edges:
+            x, y = top[a], top[b]
+            top = {k: min(x, y) if v in (x, y) else v for k, v in top.items()}
+        return top
+
+    assert parts(neardup.spanning_links(ids, sets, [False] * 60, 80)) == parts(want)
+    side = [i >= 30 for i in ids]
+    assert parts(neardup.spanning_links(ids, sets, side, 80)) == parts({(i, j) for i, j in want if side[i] != side[j]})
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 400)
+    docs = []
+    for i in range(30):
+        w = [f"t{k}" for k in range(150)]
+        for _ in range(i % 7):
+            w[rng.randrange(150)] = f"e{rng.random()}"
+        docs.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()}
+    assert got == _groups(docs, 3, 85)
+
+
+# --- 8
+
+
+def test_shards(spark, odd, empty):
+    rows = [(i, f"text {i // 3}" if i < 90 else f"single {i}", None) for i in range(300)] + [(1000 + i, "hot", None) for i in range(150)] + [(i and 5000 + i, t, lang) for i, t, lang in ODD]
+    got = sharding.shard(make(spark, rows), 24).collect()
+    counts = [sum(r.shard == s for r in got) for s in range(24)]
+    assert len(got) == len(rows) and max(counts) - min(counts) <= 1
+    for s in range(24):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
+    text = {i: t for i, t, _ in rows}
+    for r in got:
+        t = (text[r.doc_id] or "").encode()
+        assert r.size == len(t) + 8 and r.text_crc32 == zlib.crc32(t) and r.law == "rows" and r.grown_shard is None
+    homes = {}
+    for r in got:
+        if r.doc_id is not None and r.doc_id < 90:
+            homes.setdefault(r.doc_id // 3, set()).add(r.shard)
+    assert sum(len(h) == 1 for h in homes.values()) >= 28
+    assert len({r.shard for r in got if r.doc_id and 1000 <= r.doc_id < 1150}) <= 18
+    assert sharding.shard(empty, 24).count() == 0
+
+
+# --- 9
+
+
+def test_urls(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://A.example.COM/en/1", None), (2, "http://x.example.com/en/7/a", None), (3, "https://b.org/fr/1", link("http://a.example.com/en/1")), (4, "http://c.org/fr/1", link("/fr/2")),
+        (5, "http://c.org/fr/2", link("http://x.example.com/en/7/a")), (6, None, None), (7, "no scheme", ""), (8, "http://com/en/", None), (9, "http://notcom/en/", None), (10, "http://q.net?x=/de/1#y", None),
+        (11, "http://d.org/fr/9", link("http://b.org/fr/1")), (11, "http://d.org/fr/9", link("http://b.org/fr/1")), (12, "http://a.net/de/8", None), (13, "http://a.example.net/de/8x", None),
+    ]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as node", "'x' as rule")
+    out = urlblock.judge(d, urlblock.rule_table(spark))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()}
+    assert got[1] == ("a.example.com", "/en/1", "com/en/", "block") and got[2][2:] == ("example.com/en/7", "allow")
+    assert got[3][2:] == (None, "block") and got[11][3] == "block" and got[4][3] == "allow" and got[5][3] == "allow"
+    assert got[6] == ("", "", None, "allow") == got[7] and got[8][2] == "com/en/" and got[9][2] is None
+    assert got[10][:2] == ("q.net", "") and got[12][2] == "net/de/" and got[13][2:] == ("example.net/de/8", "block")
+    assert out.count() == len(rows) and urlblock.judge(d.where("false"), urlblock.rule_table(spark)).count() == 0
+    more = spark.createDataFrame([("http://c.org/fr/2", "http://zz.org/es/1")], "src string, dst string")
+    assert {r.page_id: r.verdict for r in urlblock.judge(d, urlblock.rule_table(spark), more).collect()}[4] == "allow"
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+
+
+# --- 10
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 12)).astype(np.float32)
+    x[300:500] = x[300]  # a vector that many rows share
+    rows = [(i, x[i].tolist(), 0) for i in range(900)]
+    rows += [(1000, None, 0), (1100, [0.0] * 12, 0), (1200, [float("nan")] + [1.0] * 11, 0), (1300, [None] + [1.0] * 11, 0), (1400, [float("inf")] + [1.0] * 11, 0), (1500, [1.0, 2.0], 0), (None, [1.0] * 12, 0), (0, x[0].tolist(), 0)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as rep", "1 as e")
+    got = {}
+    for r in annsearch.search(d, every=100, k=10, shard_rows=300).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    y = x.astype(float)
+    hits = total = 0
+    for q in range(0, 900, 100):
+        far = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        want = sorted((f, i) for i, f in enumerate(far) if i != q)[:10]
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, 11)) and all(abs(far[i] - s) < 1e-12 for _, s, i in mine) and mine == sorted(mine, key=lambda m: (m[1], m[2]))
+        hits += len({i for _, i in want} & {m[2] for m in mine})
+        total += 10
+    assert hits / total >= 0.9 and set(got) == set(range(0, 900, 100))
+    assert annsearch.search(d.where("false")).count() == 0
+
+
+# --- the pipeline
+
+
+def test_stages_keep_columns_and_clean_documents(spark, odd, empty):
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns, name
+        assert stage(spark, empty, SF).count() == 0, name
+        if name == "language_id":
+            assert {r.doc_id for r in after.collect()} == {None, 5, 6, 7, 8}
+        if name == "near_dedup":
+            assert sorted((r.doc_id or 0) for r in after.collect()) == [0, 5, 7, 8]
+        docs = Scratch(spark, "t").save(after)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == {None, 5, 7, 8}
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    bench = [(r.item_id, decontam_words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = [(i, t) for i, t in rows.items() if any(c.isalpha() for c in t)]
+    groups = _groups(kept, 5, 80)
+    kept = [(i, t) for i, t in kept if groups[i][1] == i]
+
+    def leaks(words):
+        seen = {" ".join(words[i : i + 4]) for i in range(len(words) - 3)}
+        for _, b in bench:
+            if any(" ".join(b[j : j + 4]) in seen for j in range(len(b) - 3)):
+                for i in range(len(words) - 12):
+                    for j in range(len(b) - 12):
+                        if sum(x == y for x, y in zip(words[i : i + 13], b[j : j + 13], strict=True)) >= 11:
+                            return True
+        return False
+
+    want = {i for i, t in kept if not leaks(decontam_words(t))}
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(got) == want
+    enc, m = pieces.Encoder(pieces.read_model()), pii.fit()
+    some = sorted(want)[:40]
+    texts = [pii.redact(rows[i], pii.find([rows[i]], m)[0][1]) for i in some]
+    assert [got[i] for i in some] == enc.encode(texts)
+
+
+def decontam_words(text):
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    want = con.sql(queries.ORACLES[name])
+    at = [want.columns.index(c) for c in cols]
+    assert sorted(map(repr, ([r[c] for c in cols] for r in df.collect()))) == sorted(map(repr, ([r[i] for i in at] for r in want.fetchall())))
