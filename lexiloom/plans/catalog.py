@@ -310,7 +310,7 @@ cl as (select conv_id, turn, unnest(string_split_regex(lower(text), '[?!.,;:\\n]
 tk as (select conv_id, turn, clause, list_filter(string_split_regex(c, '[\\s"()]+'), lambda x: x <> '') as t from cl),
 ng as (select conv_id, turn, clause, t, unnest(range(0, len(t))) as pos from tk),
 nn as (select *, t[pos + 2 : pos + 5] as a from ng where t[pos + 1] in ('no','without','denies','deny','denied','never','negative') and (pos = 0 or t[pos] not in ('can''t','cant','cannot','unable','couldn''t','couldnt'))),
-sp as (select conv_id, turn, clause::int as clause, at::int as pos, a[1 : coalesce(list_min(list_filter([list_position(a, 'but'), list_position(a, 'however'), list_position(a, 'except')], lambda p: p > 0)) - 1, 4)] as p from nn),
+sp as (select conv_id, turn, clause::int as clause, pos::int as pos, a[1 : coalesce(list_min(list_filter([list_position(a, 'but'), list_position(a, 'however'), list_position(a, 'except')], lambda p: p > 0)) - 1, 4)] as p from nn),
 neg as (select conv_id, turn, clause, pos, array_to_string(p, ' ') as phrase from sp where len(p) > 0)"""
 
 
@@ -325,7 +325,7 @@ def negation_english(spark, sf_dir):
 
 
 @query(f"""
-with {_NEG}, hit as (select conv_id, turn, clause::int as clause, t[pos + 1] as w, at::int as pos from ng where t[pos + 1] in (select * from (values {T.values(sorted(set(T.FUNCTION_WORDS['en'])))})))
+with {_NEG}, hit as (select conv_id, turn, clause::int as clause, t[pos + 1] as w, pos::int as pos from ng where t[pos + 1] in (select * from (values {T.values(sorted(set(T.FUNCTION_WORDS['en'])))})))
 select conv_id, turn, clause, pos, w from hit h where not exists (select 1 from neg n where n.conv_id = h.conv_id and n.turn = h.turn and n.clause = h.clause and h.pos >= n.pos + 1 and h.pos + 1 <= n.pos + 1 + len(string_split(n.phrase, ' ')))""")
 def span_negation_anti(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), r"[?!.,;:\n]+")).alias("clause", "c"))
