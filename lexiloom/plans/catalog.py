@@ -13,10 +13,11 @@ from ..operators import evaluation as E
 from ..operators import grounding as G
 from ..operators import matching as M
 from ..operators import quality as Q
+from ..operators import review
 from ..operators import rules as R
 from ..operators import spans as S
 from ..sources import files, models
-from . import fixtures
+from . import analyze, fixtures
 from . import tables as T
 
 FLAGSHIP = "phrase_exact_match"
@@ -540,6 +541,26 @@ def doses_per_day(spark, sf_dir):
     return o.withColumn("per_day", X.written_per_day(F.col("phrase")))
 
 
+@query("""
+with p as (select source, lang, sum(n_chars) as len, sum((n_chars % 100) * n_chars) as num from documents group by source, lang),
+s as (select source, sum(num)::bigint as num, sum(len)::bigint as den, arg_max(lang, struct_pack(l := len, g := lang)) as language from p group by source)
+select source, num, den, language, case when num / den >= 85 then 'good' when num / den >= 60 then 'fair' when num / den >= 30 then 'poor' else 'unusable' end as grade from s""")
+def review_rollup(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("id"), (F.col("n_chars") % 100).alias("estimate"), F.col("n_chars").alias("length"), F.col("lang").alias("language"))
+    return review.review_rollup(d).withColumnRenamed("id", "source")
+
+
+@query("select p_brand as category, count(*) as n from part group by p_brand")
+def vocabulary_counts(spark, sf_dir):
+    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("select distinct c_nationkey as k from customer except select distinct s_nationkey from supplier where s_acctbal < 0")
+def denied_minus_affirmed(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("k"))
+    return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).distinct().join(s, "k", "left_anti")
+
+
 # --- rows only: own fixtures -----------------------------------------------------------------
 
 
@@ -601,3 +622,27 @@ def recorded_model_answers(spark, sf_dir):
 def recorded_words(spark, sf_dir):
     t = T.table(spark, fixtures.TOKENS, "id, pos, text, p").select("id", F.col("pos").cast("int").alias("pos"), "text", F.col("p").cast("double").alias("p"))
     return files.words_of_tokens(t)
+
+
+@query()
+def hot_words(spark, sf_dir):
+    return review.hotwords(fixtures.terms(spark))
+
+
+def _analysis(spark) -> analyze.Analysis:
+    return analyze.analyze(fixtures.visits(spark), fixtures.terms(spark), T.table(spark, T.KEYWORDS, "category, key, form"), {"en": T.FUNCTION_WORDS["en"]})
+
+
+@query()
+def analyze_quality(spark, sf_dir):
+    return _analysis(spark).quality
+
+
+@query()
+def analyze_matches(spark, sf_dir):
+    return _analysis(spark).matches
+
+
+@query()
+def analyze_candidates(spark, sf_dir):
+    return _analysis(spark).candidates

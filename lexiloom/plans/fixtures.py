@@ -57,3 +57,13 @@ def terms(spark: SparkSession) -> DataFrame:
         ("SYM-001", "symptom", "Watering", ["tearing", "epiphora"], ["chokh diye jol pora khub beshi hoy"], {}),
     ]
     return spark.createDataFrame(rows, "id string, category string, name string, aliases array<string>, colloquial array<string>, details map<string,string>")
+
+
+def visits(spark: SparkSession) -> DataFrame:
+    """Invented conversations: a clean one with a misheard name and a denial, a looping one, one in Bengali."""
+    rows = [
+        ("v1", "I have dry eye in the right eye and watering for three days. The doctor gave me moxi floxacin and MFX drops. There is no epiphora now and the pain is in the left side.", None, "en", 20.0, 0.9, 0.05),
+        ("v2", "drops " * 60, None, "en", 30.0, 0.5, 0.5),
+        ("v3", "চোখ লাল আছে, চোখ দিয়ে জল পড়ে না, মক্সিফ্লক্সাসিন দিন রাতে সকালে একটু ব্যথা আছে ডান চোখে", "The eye is red. Give moxifloxacin at night.", "Bengali", 25.0, 0.8, 0.1),
+    ]
+    return spark.createDataFrame(rows, "visit string, text string, english string, language string, seconds double, confidence double, low_ratio double")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 import __spark_entry__ as entry
 from lexiloom.operators import matching, quality, rules, spans
-from lexiloom.plans import catalog, fixtures
+from lexiloom.plans import analyze, catalog, fixtures, tables
 from lexiloom.sources import files, models
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,15 @@ def test_rules(spark):
     assert {"k1", "k2", "k3", "k5", "k7", "k12", "k15", "k16", "k17", "k18", "k21", "k25"} <= told
 
 
+def test_analysis(spark):
+    got = analyze.analyze(fixtures.visits(spark), fixtures.terms(spark), tables.table(spark, tables.KEYWORDS, "category, key, form"), {"en": tables.FUNCTION_WORDS["en"]})
+    tiers = {r.id: r.tier for r in got.quality.collect()}
+    assert tiers["v1"] == "high" and tiers["v2"] == "unusable"
+    found = {(r.id, r.term): r.kind for r in got.candidates.collect()}
+    assert found["v1", "SYM-001"] == "exact" and ("v1", "MED-001") in found and ("v2", "MED-001") not in found
+    assert {r.phrase for r in got.negations.where("id = 'v1'").collect()} == {"epiphora now and the"}
+
+
 def test_recorded_models(spark):
     words = catalog.QUERIES["recorded_words"](spark, SF).orderBy("word_id").collect()
     assert [(w.w, w.p) for w in words] == [("hello", 0.8), ("world", 0.7)]
