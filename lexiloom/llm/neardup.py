@@ -291,8 +291,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     x, y = groups.alias("x"), groups.alias("y")
     may = (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent)
     may &= (F.col("x.size") > 1) | (F.col("y.size") > 1) | (_symbols_apart("x", "y") <= MAX_DISTANCE)
+    # The cluster with fewer members in the bucket comes first: its members are spread out before the others are met.
+    small = F.col("x.size") <= F.col("y.size")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & may).select(
-        F.col("x.key").alias("key"), F.col("x.comp").alias("cx"), F.col("y.comp").alias("cy")
+        F.col("x.key").alias("key"), F.when(small, F.col("x.comp")).otherwise(F.col("y.comp")).alias("cx"), F.when(small, F.col("y.comp")).otherwise(F.col("x.comp")).alias("cy")
     )
     a = members.select(F.col("key").alias("ka"), F.col("comp").alias("ca"), F.col("doc_id"), "n_shingles", *_SIG).alias("a")
     b = members.select(F.col("key").alias("kb"), F.col("comp").alias("cb"), F.col("doc_id"), "n_shingles", *_SIG).alias("b")
