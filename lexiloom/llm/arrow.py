@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +12,20 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Characters of text in a slice; bounds the temporaries of one call whatever the batch size is.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
+
+
+#: Rows in a batch that goes to a worker, at most: rows can be long.
+BATCH_ROWS = 2_000
+
+
+def give_back() -> None:
+    """Frees what a task held: workers live on, and the next stage needs the memory."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def slices(batch: pa.RecordBatch, text: str | None, chars: int = SLICE_CHARS) -> Iterator[dict[str, list]]:
@@ -37,6 +52,10 @@ def map_slices(
     """``mapInArrow`` with ``make()`` called once a task; its result takes and gives columns as lists or arrays."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(schema, prefers_large_types=False)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -45,5 +64,8 @@ def map_slices(
                 got = fn(cols)
                 if got is not None and len(got[out.names[0]]):
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+                got = cols = None
+        fn = None
+        give_back()
 
     return df.mapInArrow(run, schema)

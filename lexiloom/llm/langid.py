@@ -239,12 +239,10 @@ class _Known(dict):
         return i
 
 
-_cache: dict[int, tuple[_Known, np.ndarray]] = {}
-
-
-def label_texts(texts: list[str | None], crf: Crf) -> tuple[list[str], list[float], list[dict]]:
-    """Of each text: language, its share of the word marginals, and the sums by label."""
-    known, scores = _cache.get(crf.version, (None, None))
+def label_texts(texts: list[str | None], crf: Crf, cache: dict[int, tuple[_Known, np.ndarray]] | None = None) -> tuple[list[str], list[float], list[dict]]:
+    """Of each text: language, its share of the word marginals, and the sums by label. ``cache`` keeps words for later calls."""
+    cache = {} if cache is None else cache
+    known, scores = cache.get(crf.version, (None, None))
     if known is None or len(known) > 300_000:
         known, scores = _Known(), np.zeros((0, len(crf.labels)), np.float32)
     found = [tokens(t) for t in texts]
@@ -254,8 +252,8 @@ def label_texts(texts: list[str | None], crf: Crf) -> tuple[list[str], list[floa
         new[[i for i, w in enumerate(known.new) if not any(c.isalpha() for c in w)]] = np.nan
         scores = np.concatenate([scores, new])
         known.new = []
-    _cache.clear()
-    _cache[crf.version] = (known, scores)
+    cache.clear()
+    cache[crf.version] = (known, scores)
     ids = [x[~np.isnan(scores[x, 0])] if len(x) else x for x in ids]
     sums = np.zeros((len(texts), len(crf.labels)))
     size = np.array([len(x) for x in ids])
@@ -291,12 +289,14 @@ def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     told = spark.sparkContext.broadcast(crf)  # bounded: 2^BITS rows and the lexicon of a bounded sample
 
     def make():
+        cache: dict = {}
+
         def run(cols: dict) -> dict:
             if not told.value.labels:
                 n = len(cols["doc_id"])
                 langs, score, shares = [UNKNOWN] * n, [0.0] * n, [{}] * n
             else:
-                langs, score, shares = label_texts(cols["text"], told.value)
+                langs, score, shares = label_texts(cols["text"], told.value, cache)
             return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "lang_pred": langs, "score": score, "shares": [list(x.items()) for x in shares]}
 
         return run
@@ -314,8 +314,10 @@ def keep_known(docs: DataFrame, crf: Crf) -> DataFrame:
     names = docs.columns
 
     def make():
+        cache: dict = {}
+
         def run(cols: dict) -> dict:
-            langs = label_texts(cols["text"], told.value)[0] if told.value.labels else [UNKNOWN if not any(c.isalpha() for c in t or "") else "" for t in cols["text"]]
+            langs = label_texts(cols["text"], told.value, cache)[0] if told.value.labels else [UNKNOWN if not any(c.isalpha() for c in t or "") else "" for t in cols["text"]]
             keep = [i for i, x in enumerate(langs) if x != UNKNOWN]
             return {c: [cols[c][i] for i in keep] for c in names}
 

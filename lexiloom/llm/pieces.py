@@ -10,6 +10,7 @@ exact because no piece of the model goes on past a word's start (checked when it
 
 from __future__ import annotations
 
+import copy
 import heapq
 import re
 import struct
@@ -348,7 +349,9 @@ def _told(spark, model_path: str):
     def encoder() -> Encoder:
         if model_path not in _encoders:
             _encoders[model_path] = Encoder(model.value)
-        return _encoders[model_path]
+        enc = copy.copy(_encoders[model_path])  # what a task learns goes with it
+        enc.known = {}
+        return enc
 
     return encoder
 
