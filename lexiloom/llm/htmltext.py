@@ -5,9 +5,10 @@ list, table and the like) named by the path of tags and classes above it. For ea
 host, two entropies over its pages say how important it is: content, one minus the mean share
 of pages on which each of its blocks is found again (log c / log m for a block on c of m
 pages), and presentation, the entropy of the sequences of its child tags. Branches with a low
-weighted sum are navigation or boilerplate and are cut from each page, but for those inside an
-article or main element, where a line that other pages share is still the page's own text. What markup alone tells
-(menus, footers, forms, scripts, adverts and comments by tag, role and class) is cut as well.
+weighted sum are navigation or boilerplate and are cut from each page, inside an article or main element
+as well. Weaker evidence (what stands directly in an article or main, or a host of few pages
+that all agree) cuts only where at least as much text is left, as it may be a copy of a page.
+What markup alone tells (menus, footers, forms, scripts, adverts and comments by tag, role and class) is cut as well.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .arrow import map_slices
 from .scratch import Scratch
 
-#: A branch is judged on a host with at least so many pages that have it; cut below the importance.
+#: Cut below the importance, where at least so many pages of a host have the branch; on fewer pages only if it is the same on all.
 MIN_PAGES, MIN_IMPORTANCE, CONTENT_WEIGHT = 8, 0.25, 0.8
 #: Branches that are broadcast; beyond it the join to the pages is shuffled and salted.
 BROADCAST_BRANCHES, SALTS = 100_000, 32
@@ -53,7 +54,7 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond reply replies widget pagination pager toolbar skip".split()
 )
-#: Elements that hold running text; the tree never cuts them one by one.
+#: Elements that hold running text.
 CONTENT = frozenset(("article", "main"))
 
 
@@ -63,7 +64,7 @@ class _Open:
     __slots__ = ("tag", "noise", "main", "branch", "tags")
 
     def __init__(self, tag, noise, main, branch, tags):
-        self.tag, self.noise, self.main, self.branch, self.tags = tag, noise, main, branch, tags
+        self.tag, self.noise, self.main, self.branch, self.tags = tag, noise, main, branch, tags  # main: 0, 1 inside, 2 no branch between
 
 
 def _attributes(text: str) -> tuple[str, str, bool]:
@@ -86,15 +87,15 @@ def _attributes(text: str) -> tuple[str, str, bool]:
     return " ".join(names), role, hidden
 
 
-def blocks(page: str | None) -> list[tuple[str, int, bool, bool, str]]:
-    """Blocks of a page in order: text, branch, noise by markup, inside article or main, and kids of branches.
+def blocks(page: str | None) -> list[tuple[str, int, bool, int, str]]:
+    """Blocks of a page in order: text, branch, noise by markup, inside article or main (2: directly), and kids of branches.
 
     Entries with an empty text carry the child tags of a closed branch instead.
     """
-    out: list[tuple[str, int, bool, bool, str]] = []
+    out: list[tuple[str, int, bool, int, str]] = []
     if not page:
         return out
-    root = _Open("#", False, False, xxhash.xxh3_64_intdigest(b"") >> 1, [])
+    root = _Open("#", False, 0, xxhash.xxh3_64_intdigest(b"") >> 1, [])
     stack, buf = [root], []
     opened: Counter[str] = Counter()
 
@@ -171,7 +172,8 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool, str]]:
                         x.tags.append(tag)
                     break
         opened[tag] += 1
-        stack.append(_Open(tag, noise, up.main or (tag in CONTENT and not noise) or (role == "main" and not noise), branch, tags))
+        main = 2 if not noise and (tag in CONTENT or role == "main") else min(up.main, 1) if tag in BRANCH else up.main
+        stack.append(_Open(tag, noise, main, branch, tags))
     if at < len(page):
         rest = page[at:]
         buf.append(rest if "<" not in rest else re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", rest))
@@ -180,14 +182,21 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool, str]]:
     return out
 
 
-def main_text(page: str | None, cut: frozenset[int] | set[int]) -> str:
-    """The blocks that are left, joined by newlines. With an article or main element only what is in it counts.
+def main_text(page: str | None, cut: frozenset[int] | set[int], weak: frozenset[int] | set[int] = frozenset()) -> str:
+    """The blocks that are left, joined by newlines. Only what is in an article or main element counts if it is most of them.
 
-    ``cut``: branches of low importance on the page's host, outside of articles.
+    ``cut``: branches of low importance on the page's host. ``weak``: those that are cut only where
+    at least as much text is left. A page of which nothing is left keeps its article or main.
     """
-    found = [(t, b, main) for t, b, noise, main, _ in blocks(page) if t and not noise and b not in cut]
-    inside = [t for t, _, main in found if main]
-    return "\n".join(inside if inside else [t for t, _, _ in found])
+    own = [(t, b, main) for t, b, noise, main, _ in blocks(page) if t and not noise]
+    found = [x for x in own if x[1] not in cut] or [x for x in own if x[2]]
+    sure = [x for x in found if x[1] not in weak]
+    size = lambda xs: sum(len(x[0]) for x in xs)
+    if 2 * size(sure) >= size(found):
+        found = sure
+    inside = [x for x in found if x[2]]
+    in_main = size(x for x in sure if x[2])
+    return "\n".join(x[0] for x in (inside if inside and 2 * in_main >= size(sure) else found))
 
 
 def _hash(s: str) -> int:
@@ -195,7 +204,7 @@ def _hash(s: str) -> int:
 
 
 def site_tree(pages: DataFrame) -> DataFrame:
-    """(host, branch, pages, importance) of all branches, over all pages.
+    """(host, branch, pages, n_text, direct, importance) of all branches that are no noise by markup, over all pages.
 
     A worker counts what its pages repeat before anything is shuffled, and the sums are
     pre-aggregated, so a host with a third of all pages is no hot key.
@@ -206,9 +215,10 @@ def site_tree(pages: DataFrame) -> DataFrame:
             seen: Counter[tuple[str, int, int, int]] = Counter()
             for host, page in zip(cols["host"], cols["html"], strict=True):
                 own = set()
-                for text, branch, _, main, tags in blocks(page):
-                    own.add((branch, -1, int(main)))  # the page has the branch
-                    own.add((branch, _hash(text) if text else _hash("#" + tags), int(main) + (2 if text else 4)))
+                for text, branch, noise, main, tags in blocks(page):
+                    if not noise:
+                        own.add((branch, -1, int(main == 2)))  # the page has the branch
+                        own.add((branch, _hash(text) if text else _hash("#" + tags), 2 if text else 4))
                 seen.update((host, *x) for x in own)
             keys = list(seen)
             return {"host": [k[0] for k in keys], "branch": [k[1] for k in keys], "feature": [k[2] for k in keys], "kind": [k[3] for k in keys], "n": list(seen.values())}
@@ -216,12 +226,12 @@ def site_tree(pages: DataFrame) -> DataFrame:
         return run
 
     counts = map_slices(pages.select("host", "html"), "host string, branch long, feature long, kind int, n long", make, text="html", chars=8_000_000)
-    # 0 and 1: pages, 2 and 3: blocks of text, 4 and 5: child tags; odd: inside article or main
+    # 0 and 1: pages, 2: blocks of text, 4: child tags; 1: the branch is an article or main itself
     c = counts.groupBy("host", "branch", "feature", "kind").agg(F.sum("n").alias("n"))
     kind, n = F.expr("kind div 2"), F.col("n").cast("double")
     sums = c.groupBy("host", "branch").agg(
         F.sum(F.when(kind == 0, F.col("n"))).alias("pages"),
-        F.max(F.col("kind") % 2).alias("inside"),
+        F.max(F.col("kind") % 2).alias("direct"),
         F.sum(F.when(kind == 1, F.log(n))).alias("log_text"),
         F.count(F.when(kind == 1, 1)).alias("n_text"),
         F.sum(F.when(kind == 2, n * F.log(n))).alias("log_tags"),
@@ -231,7 +241,7 @@ def site_tree(pages: DataFrame) -> DataFrame:
     content = F.when(F.col("n_text") > 0, 1 - F.col("log_text") / F.col("n_text") / log_m)
     shape = F.when(F.col("n_tags") > 0, (F.log("n_tags") - F.col("log_tags") / F.col("n_tags")) / log_m)
     importance = F.when(F.col("pages") <= 1, 1.0).otherwise(F.coalesce(CONTENT_WEIGHT * content + (1 - CONTENT_WEIGHT) * F.coalesce(shape, F.lit(0.0)), shape, F.lit(1.0)))
-    return sums.select("host", "branch", "pages", "inside", importance.alias("importance"))
+    return sums.select("host", "branch", "pages", "n_text", "direct", importance.alias("importance"))
 
 
 def host_of(url):
@@ -246,20 +256,21 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     scratch = Scratch(pages.sparkSession, "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    low = site_tree(rows).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE) & (F.col("inside") == 0))
-    low = scratch.save(low.select("host", "branch"))
-    cut = low.groupBy("host").agg(F.collect_set("branch").alias("cut"))
+    few = F.col("pages") < MIN_PAGES
+    low = site_tree(rows).where((F.col("n_text") > 0) & (F.col("pages") > 1) & (F.col("importance") < F.when(few, 1e-9).otherwise(MIN_IMPORTANCE)))
+    low = scratch.save(low.select("host", "branch", (few | (F.col("direct") == 1)).alias("weak")))
+    cut = low.groupBy("host").agg(F.collect_set(F.when(~F.col("weak"), F.col("branch"))).alias("cut"), F.collect_set(F.when(F.col("weak"), F.col("branch"))).alias("weak"))
     if low.count() <= BROADCAST_BRANCHES:
         joined = rows.join(F.broadcast(cut), "host", "left")
     else:
-        salted = cut.select("host", "cut", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = cut.select("host", "cut", "weak", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         joined = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(salted, ["host", "salt"], "left")
 
     def make():
         def run(cols: dict) -> dict:
-            texts = [main_text(p, frozenset(c or ())) for p, c in zip(cols["html"], cols["cut"], strict=True)]
+            texts = [main_text(p, frozenset(c or ()), frozenset(w or ())) for p, c, w in zip(cols["html"], cols["cut"], cols["weak"], strict=True)]
             return {"page_id": cols["page_id"], "url": cols["url"], "text": texts, "n_chars": list(map(len, texts))}
 
         return run
 
-    return map_slices(joined.select("page_id", "url", "html", "cut"), "page_id long, url string, text string, n_chars long", make, text="html")
+    return map_slices(joined.select("page_id", "url", "html", "cut", "weak"), "page_id long, url string, text string, n_chars long", make, text="html")

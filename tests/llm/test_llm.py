@@ -191,6 +191,21 @@ def test_html_of_generated_pages(spark):
     assert {r.page_id: r.text for r in htmltext.extract(pages).collect()} == want
 
 
+def test_tree_judges_articles_and_small_hosts(spark):
+    menu, story = "<div class='c1'>The same menu on each page</div>", "<p>Own long words of the page with number {0}, told in some more words</p>".format
+    big = {i: f"<main>{menu}<div class='c2'>{story(i)}</div></main>" for i in range(12)}
+    small = {i: f"<main>{menu}<div class='c2'>{story(i)}</div></main>" for i in range(100, 103)}
+    plain = {i: f"<div class='b'>{story(i)}</div><article>Read this one too</article>" for i in range(200, 203)}
+    alone = {300: f"<div class='b'>{story(300)}</div><article>Read this</article>"}
+    copies = {i: f"<article><div>{story(0)}</div></article>" for i in range(400, 410)} | {i: f"<article>{story(0)}</article>" for i in range(500, 502)}
+    every = big | small | plain | alone | copies
+    d = spark.createDataFrame([(i, f"http://h{i // 100}.example/{i}", f"<body>{x}</body>") for i, x in every.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(d).collect()}
+    text = lambda i: story(i)[3:-4]
+    assert {i: got[i] for i in big | small | plain} == {i: text(i) for i in big | small | plain}
+    assert got[300] == text(300) + "\nRead this" and {got[i] for i in copies} == {text(0)}
+
+
 # --- 5
 
 
