@@ -1,11 +1,13 @@
 """Shards of even size by balanced label propagation.
 
 Documents with equal texts are linked, through their group instead of in pairs. All rows begin
-in shards of exactly even counts. In each round every group that is spread over shards
-proposes the shard that holds most of it, among those with enough room, and quotas accept
-proposals, those that mend most links first, while a shard's linked rows fit its capacity.
-Groups larger than a part of a shard are handled as several. Rows without links fill up what
-is left, so that the counts of any two shards differ by one at most.
+in shards of exactly even counts. In each round every group without a home proposes the shard
+that holds most of it, among those with enough room, and quotas accept proposals, those that
+mend most links for a moved row first, while the groups at home fit a shard's capacity. Rows of
+groups without a home take no room, as they leave it in the end: a swap needs no free rows.
+Groups larger than a part of a shard are handled as several. Groups that no shard has room for
+as a whole fill up what is left one after the other, then rows without links do, so that the
+counts of any two shards differ by one at most.
 """
 
 from __future__ import annotations
@@ -18,17 +20,20 @@ from .scratch import Scratch
 ROUNDS, BUCKET_ROWS = 6, 100_000
 
 
-def _ranked(df: DataFrame, by: list[str], name: str, rows: int) -> DataFrame:
-    """Adds a gapless rank from 0 within ``by``: rows are ranked in hashed buckets, and bucket counts give the offsets."""
+def _ranked(df: DataFrame, by: list[str], name: str, rows: int, key: str = "rid") -> DataFrame:
+    """Adds a gapless rank from 0 within ``by``: rows are ranked in hashed buckets, and bucket counts give the offsets.
+
+    Rows with equal ``key`` follow each other.
+    """
     buckets = max(1, -(-rows // BUCKET_ROWS))
-    d = df.withColumn("_b", F.pmod(F.xxhash64("rid"), F.lit(buckets)))
+    d = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
     offsets = (
         d.groupBy(*by, "_b")
         .agg(F.count("*").alias("_n"))
         .withColumn("_o", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop("_n")
     )
-    w = Window.partitionBy(*by, "_b").orderBy("rid")
+    w = Window.partitionBy(*by, "_b").orderBy(*dict.fromkeys((key, "rid")))
     return d.withColumn("_r", F.row_number().over(w) - 1).join(offsets, [*by, "_b"]).withColumn(name, F.col("_r") + F.col("_o")).drop("_b", "_r", "_o")
 
 
@@ -62,32 +67,35 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataFrame:
         "rid", start.alias("shard"), F.xxhash64("g0", "g1", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / part))).alias("gid")
     )
     linked = scratch.save(linked)
-    held = {s: 0 for s in range(shards)} | {r[0]: r[1] for r in linked.groupBy("shard").count().collect()}
-    open_ = spread = scratch.save(linked.groupBy("gid", "shard").agg(F.count("*").alias("n")))
+    held = {s: 0 for s in range(shards)}  # rows of groups at home
+    open_ = scratch.save(linked.groupBy("gid", "shard").agg(F.count("*").alias("n")))
     homes: DataFrame | None = None
     for _ in range(rounds):
         free = F.create_map(*[F.lit(x) for s in room for x in (s, max(0, room[s] - held[s]))])
         turn = F.pmod(F.col("shard") - F.pmod(F.col("gid"), F.lit(shards)), F.lit(shards))  # ties go to different shards
         able = (
-            open_.withColumn("all", F.sum("n").over(Window.partitionBy("gid")))
-            .where(free[F.col("shard")] >= F.col("all") - F.col("n"))
+            open_.withColumns({"all": F.sum("n").over(Window.partitionBy("gid")), "whole": F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("gid"))})
+            .where(free[F.col("shard")] >= F.col("all"))
             .groupBy("gid")
-            .agg(F.max(F.struct(F.col("n").alias("n"), (-turn).alias("t"), F.col("shard").alias("shard"))).alias("x"), F.first("all").alias("all"))
-            .select("gid", F.col("x.shard").alias("home"), (F.col("all") - F.col("x.n")).alias("moves"), F.col("x.n").alias("stay"))
+            .agg(F.max(F.struct(F.col("n").alias("n"), (-turn).alias("t"), F.col("shard").alias("shard"))).alias("x"), F.first("all").alias("all"), F.first("whole").alias("whole"))
+            .select("gid", F.col("x.shard").alias("home"), "all", ((F.col("all") * F.col("all") - F.col("whole")) / F.nullif(F.col("all") - F.col("x.n"), F.lit(0))).alias("gain"))
         )
-        w = Window.partitionBy("home").orderBy((F.col("stay") / (F.col("moves") + F.col("stay"))).desc(), "moves", "gid").rowsBetween(Window.unboundedPreceding, 0)
-        taken = scratch.save(able.withColumn("sum", F.sum("moves").over(w)).where(F.col("sum") <= free[F.col("home")]).select("gid", "home"))
-        flow = open_.join(taken, "gid").groupBy("shard", "home").agg(F.sum("n").alias("n")).collect()  # shards x shards rows at most
+        w = Window.partitionBy("home").orderBy(F.col("gain").desc_nulls_first(), "gid").rowsBetween(Window.unboundedPreceding, 0)
+        taken = scratch.save(able.withColumn("sum", F.sum("all").over(w)).where(F.col("sum") <= free[F.col("home")]).select("gid", "home", "all"))
+        flow = taken.groupBy("home").agg(F.sum("all").alias("n")).collect()  # a row for each shard at most
         if not flow:
             break
         for r in flow:
-            held[r.shard] -= r.n
             held[r.home] += r.n
+        taken = taken.select("gid", "home")
         homes = taken if homes is None else homes.unionByName(taken)
         open_ = scratch.save(open_.join(taken, "gid", "left_anti"))
-    placed = linked.join(homes, "gid", "left").select("rid", F.coalesce("home", "shard").alias("shard")) if homes is not None else linked.select("rid", "shard")
+    placed = linked.join(homes, "gid").select("rid", F.col("home").alias("shard")) if homes is not None else linked.select("rid", "shard").where("false")
 
-    loose = _ranked(base.select("rid").join(linked.select("rid"), "rid", "left_anti"), [], "k", total)
+    left = linked.join(open_.select("gid").distinct(), "gid").select("gid", "rid")
+    waits = left.count()
+    loose = _ranked(base.select("rid").join(linked.select("rid"), "rid", "left_anti"), [], "k", total).select("rid", (F.col("k") + waits).alias("k"))
+    loose = _ranked(left, [], "k", waits, "gid").select("rid", "k").unionByName(loose)
     ends, end = [], 0
     for s in range(shards):
         end += room[s] - held[s]

@@ -375,6 +375,22 @@ def test_shards(spark, odd, empty):
     assert sharding.shard(empty, 24).count() == 0
 
 
+def test_links_are_gathered_without_free_rows(spark):
+    def homes(group):
+        got = sharding.shard(make(spark, [(i, f"text {group(i)}", None) for i in range(2_400)]), 24).collect()
+        counts = [sum(r.shard == s for r in got) for s in range(24)]
+        assert len(got) == 2_400 and set(counts) == {100}
+        out = {}
+        for r in got:
+            out.setdefault(group(r.doc_id), set()).add(r.shard)
+        return out
+
+    pairs = homes(lambda i: i // 2)
+    assert sum(len(h) > 1 for h in pairs.values()) <= 23
+    skewed = homes(lambda i: "hot" if i % 3 == 0 else i // 9 if i < 900 else f"one {i}")
+    assert len(skewed.pop("hot")) <= 18 and sum(len(h) > 1 for h in skewed.values()) <= 23
+
+
 # --- 9
 
 
