@@ -20,11 +20,11 @@ FINDINGS, TREES, DEPTH, THRESHOLD = 2_000, 15, 5, 0.5
 _NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|auth|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?"
 _FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
 _RUN = r"[A-Za-z0-9+/_-]"
-#: A name, a sign and a value; a known form; or a run of 16 characters or more with a digit.
+#: A name, a sign and a value; a known form; or a run of 16 characters or more with a digit. Each is taken to its end, without a second look.
 PATTERN = (
-    rf"(?i:(?<![a-z])(?:{_NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|[:=])[ \t]{{0,4}}[\"']?)[A-Za-z0-9+/_.!@$%^&*~-]{{6,200}}={{0,2}}"
+    rf"(?i:(?<![a-z])(?:{_NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|[:=])[ \t]{{0,4}}[\"']?)[A-Za-z0-9+/_.!@$%^&*~-]{{6,}}+={{0,2}}"
     rf"|(?<!{_RUN})(?:{_FORMS})"
-    rf"|(?<!{_RUN})(?=[A-Za-z+/_-]{{0,200}}[0-9]){_RUN}{{16,400}}={{0,2}}"
+    rf"|(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9]){_RUN}{{16,}}+={{0,2}}"
 )
 _HEAD = rf"^(?i:(?:{_NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|[:=])[ \t]{{0,4}}[\"']?)"
 _WORDS = "example|sample|test|dummy|fake|placeholder|changeme|change|your|here|insert|xxxx|foo|bar|none|null|true|false|default|value|string|secret|password|token|user|name|admin|hello|world|lorem|ipsum|function|return|config|index|image|version|http|www|com|html|data|the|and|for|with|from|this|that|have|was|are"

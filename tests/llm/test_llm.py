@@ -77,6 +77,18 @@ def test_secret_places_are_brute_force(spark):
     assert got == {(r.doc_id, m.start(), m.end()) for r in docs.collect() for m in pattern.finditer(r.text)}
 
 
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(11)
+    run = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n))
+    jwt = f"eyJ{run(60)}.eyJ{run(280)}.{run(86)}"
+    key, late = run(1_600), "a" * 250 + "bC9dE8" * 3
+    texts = [f'token = "{jwt}" end', f"the secret {key} end", f"the secret {late} end", f"password: {key}== end"]
+    values = [jwt, key, late, key + "=="]
+    got = secrets.scan(make(spark, [(i, t, None) for i, t in enumerate(texts)]), secrets.fit(spark)).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.secret) for r in got) == [(i, t.index(v), t.index(v) + len(v), v) for i, (t, v) in enumerate(zip(texts, values, strict=True))]
+    assert {r.doc_id for r in got if r.is_secret} >= {0, 1, 3}
+
+
 def test_trees_as_columns(spark):
     rng = np.random.default_rng(1)
     x = rng.random((300, 3))
