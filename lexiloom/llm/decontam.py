@@ -52,7 +52,8 @@ def _window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     if seeds.count() <= BROADCAST_SEEDS:
         hits = rows.join(F.broadcast(seeds), "h")
     else:
-        hits = rows.select("doc_id", "th", "i", "h").join(seeds, "h").join(docs, ["doc_id", "th"])
+        own = docs.select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), "w")
+        hits = rows.select("doc_id", "th", "i", "h").join(seeds, "h").join(own, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("t_")))
     around = WINDOW + max(map(len, MASKS))
     # The words about the hit, beginning with the document's word that faces the item's word `low`.
     low = F.greatest(F.lit(0), F.col("pos") - WINDOW, F.col("pos") - F.col("i"))

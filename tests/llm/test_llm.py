@@ -293,6 +293,18 @@ def test_decontamination_is_brute_force(spark, odd, empty):
     assert decontam.scan(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_shuffled_seeds_find_the_same(monkeypatch, spark):
+    item = " ".join(f"b{i}" for i in range(15))
+    docs = make(spark, [(None, f"so {item} it is", "en"), (1, f"and {item} again", "en"), (2, "nothing of it", "en"), (None, "nor here", "en")])
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = lambda: sorted((r.doc_id or 0, r.contaminated, r.item_ids) for r in decontam.scan(docs, bench).collect())
+    want = [(0, False, []), (0, True, [7]), (1, True, [7]), (2, False, [])]
+    assert found() == want
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    assert found() == want
+    assert sorted(r.text for r in decontam.keep_clean(docs, bench).collect()) == ["nor here", "nothing of it"]
+
+
 # --- 7
 
 
