@@ -438,6 +438,21 @@ def test_urls(spark):
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_relative_links_reach_aliases(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">'.format, '<meta http-equiv="refresh" content="0; url={}">'.format
+    cases = [
+        ("http://c.org/fr/a/1", canonical("page.html"), "http://c.org/fr/a/page.html"), ("http://c.org/fr/a/1?x=/y/z", canonical("../b"), "http://c.org/fr/b"), ("http://c.org/fr/a/2", refresh("?id=3"), "http://c.org/fr/a/2?id=3"),
+        ("http://c.org", canonical("p"), "http://c.org/p"), ("http://c.org/a/b/", canonical("./c/.."), "http://c.org/a/b/"), ("http://c.org/a", canonical("../../x"), "http://c.org/x"), ("http://c.org/a", canonical("/q/../r?s=../t"), "http://c.org/r?s=../t"),
+        ("http://c.org/a", '<base href="http://d.net/k/l">' + canonical("m"), "http://d.net/k/m"), ("http://c.org/a/b", '<base href="k/">' + canonical("m"), "http://c.org/a/k/m"), ("https://c.org/a", canonical("//e.org/x"), "https://e.org/x"),
+        ("http://c.org/a", canonical("http://f.org/y"), "http://f.org/y"), ("http://c.org/a?b=1#c", canonical("#d"), "http://c.org/a?b=1#d"),
+    ]
+    d = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases)], "page_id long, url string, html string")
+    assert sorted(map(tuple, urlblock.page_links(d).collect())) == sorted((u, want) for u, _, want in cases)
+    rows = [(1, "http://a.example.com/en/1", canonical("../q/2")), (2, "http://a.example.com/q/2", None)]
+    out = urlblock.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), urlblock.rule_table(spark))
+    assert {r.verdict for r in out.collect()} == {"block"}
+
+
 # --- 10
 
 
