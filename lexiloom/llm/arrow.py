@@ -63,7 +63,7 @@ def map_slices(
             for cols in slices(batch, text, chars):
                 got = fn(cols)
                 if got is not None and len(got[out.names[0]]):
-                    yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+                    yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
                 got = cols = None
         fn = None
         give_back()
