@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction. Each node's smallest neighbour becomes the neighbour of the others.
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """One contraction, and the table to drop after it. Each node's smallest neighbour becomes the neighbour of the others.
 
-    The minimum is pre-aggregated before the shuffle, and the join back is one that AQE
-    can split, so that a node with a third of all edges is no single task.
+    The minimum is pre-aggregated before the shuffle and written out, so that the join back
+    has a shuffle of its own, which AQE can split: a node with a third of all edges is no single task.
     """
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = near.groupBy("u").agg(F.min("v").alias("lo")).select(F.col("u").alias("u_"), F.least("u", "lo").alias("m"))
+    low = scratch.save(near.groupBy("u").agg(F.min("v").alias("lo")).select(F.col("u").alias("u_"), F.least("u", "lo").alias("m")))
     told = near.join(low, near.u == low.u_).select("u", "v", "m")
     if large:
         out = told.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = told.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("u_").alias("u"), F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v").distinct(), low
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -41,6 +41,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if sums == seen or not sums[0]:
             break
         seen, before = sums, now
-        now = scratch.save(_star(_star(now, True), False))
+        for large in (True, False):
+            made, low = _star(now, large, scratch)
+            last, now = now, scratch.save(made)
+            scratch.drop(low, *(x for x in [last] if x is not before))
         scratch.drop(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

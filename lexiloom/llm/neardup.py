@@ -15,15 +15,19 @@ pair is beyond 15 of 32 is under 3e-6 at s = 0.85 and about 1e-4 at s = 0.8.
 
 Groups of near copies would give all pairs within a bucket. Instead, the members of a bucket
 are first compared with its smallest member, and those within the threshold are joined into
-clusters; then only pairs of members in different clusters are left, and all of those are
-compared. So every pair that shares a key and is within the threshold ends in one cluster.
-Within a cluster, blocks of full sets meet in pairs of blocks, and a task returns no more than
-a spanning forest of the links it confirms there.
+clusters; then members in different clusters are left. They are dealt into blocks, each pair of
+blocks is a task, and a task returns no more than a spanning forest of the near pairs it finds.
+So every pair that shares a key and is within the threshold ends in one cluster. On full sets
+links are confirmed likewise: with the nearest first member, then between the blocks of a
+cluster whose members aren't in one group yet.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -137,14 +141,15 @@ def _keys(sig: DataFrame) -> DataFrame:
     return sig.select(F.explode(F.array(*keys)).alias("key"), "doc_id")
 
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], side: list[bool], percent: int) -> list[tuple[int, int]]:
+def spanning_links(ids: list[int], sets: list[np.ndarray], side: list[bool], percent: int, group: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join what all links among the sets join; with two sides only links across, unless all are on one.
 
-    Intersections are counted by products of 0/1 matrices over slices of the shingles that
-    two sets share at least.
+    Sets of one ``group`` are joined already. Where one side is small, pairs are counted one by
+    one; else by products of 0/1 matrices over slices of the shingles that two sets share at least.
     """
     m = len(ids)
-    top = list(range(m))
+    first: dict[int, int] = {}
+    top = list(range(m)) if group is None else [first.setdefault(g, i) for i, g in enumerate(group)]
 
     def root(i: int) -> int:
         while top[i] != i:
@@ -152,76 +157,198 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], side: list[bool], per
             i = top[i]
         return i
 
+    out: list[tuple[int, int]] = []
+
+    def linked(i: int, j: int) -> None:
+        a, b = root(i), root(j)
+        if a != b:
+            top[b] = a
+            out.append((ids[i], ids[j]))
+
     size = np.array([len(s) for s in sets], np.int64)
-    if m <= 12:
-        both = np.zeros((m, m), np.int64)
-        for i in range(m):
-            for j in range(i + 1, m):
+    left, right = [i for i in range(m) if not side[i]], [i for i in range(m) if side[i]]
+    square = not (left and right)
+    if square:
+        left = right = left or right
+    if len(left) * len(right) <= 144 or min(len(left), len(right)) <= 4:
+        for i in left:
+            for j in right:
+                if (square and j <= i) or root(i) == root(j):
+                    continue
                 x, y = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
-                if 100 * len(x) >= percent * len(y):
-                    both[i, j] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
-    else:
-        flat = np.concatenate(sets)
-        rows = np.repeat(np.arange(m), size)
-        order = np.argsort(flat, kind="stable")
-        flat, rows = flat[order], rows[order]
-        new = np.concatenate(([True], flat[1:] != flat[:-1]))
-        number = np.cumsum(new) - 1
-        shared = np.bincount(number)[number] > 1
-        rows, number = rows[shared], number[shared]
-        number = np.cumsum(np.concatenate(([0], (number[1:] != number[:-1]).astype(np.int64)))) if len(number) else number
-        sums = np.zeros((m, m), np.float32)
-        width = 4096
-        for c in range(0, int(number[-1]) + 1 if len(number) else 0, width):
-            i, j = np.searchsorted(number, (c, c + width))
-            part = np.zeros((m, width), np.float32)
-            part[rows[i:j], number[i:j] - c] = 1
-            sums += part @ part.T
-        both = np.triu(sums.astype(np.int64), 1)
-    hit = (both > 0) & (100 * both >= percent * (size[:, None] + size[None] - both))
-    sides = np.array(side)
-    if sides.any() and not sides.all():
-        hit &= sides[:, None] != sides[None]
-    out = []
+                if len(x) and 100 * len(x) >= percent * len(y):
+                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        linked(i, j)
+        return out
+    flat = np.concatenate(sets)
+    rows = np.repeat(np.arange(m), size)
+    order = np.argsort(flat)
+    flat, rows = flat[order], rows[order]
+    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1
+    rows, number = rows[shared], number[shared]
+    number = np.cumsum(np.concatenate(([0], (number[1:] != number[:-1]).astype(np.int64)))) if len(number) else number
+    a, b = np.array(left), np.array(right)
+    both = np.zeros((len(a), len(b)), np.float32)
+    width = 4096
+    for c in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        i, j = np.searchsorted(number, (c, c + width))
+        part = np.zeros((m, width), np.float32)
+        part[rows[i:j], number[i:j] - c] = 1
+        both += part[a] @ part[b].T
+    both = both.astype(np.int64)
+    hit = (both > 0) & (100 * both >= percent * (size[a][:, None] + size[b][None] - both))
+    if square:
+        hit = np.triu(hit, 1)
     for i, j in zip(*np.nonzero(hit), strict=True):
-        a, b = root(int(i)), root(int(j))
-        if a != b:
-            top[b] = a
-            out.append((ids[int(i)], ids[int(j)]))
+        linked(left[i], right[j])
+    return out
+
+
+def near_links(side: np.ndarray, cluster: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of clusters that join what all near pairs of signatures across sides (or on the only side) join."""
+    a, b = np.flatnonzero(~side), np.flatnonzero(side)
+    if not len(a) or not len(b):
+        a = b = np.arange(len(side))
+    symbols = np.ascontiguousarray(sig.T)
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for i in range(0, len(a), 512):
+        p = a[i : i + 512]
+        apart = np.zeros((len(p), len(b)), np.uint8)
+        for x in symbols:
+            apart += x[p][:, None] != x[b][None]
+        hit = (apart <= MAX_DISTANCE) & (cluster[p][:, None] != cluster[b][None])
+        hit &= np.minimum(n[p][:, None], n[b][None]) * 100 >= np.maximum(n[p][:, None], n[b][None]) * percent
+        x, y = np.nonzero(hit)
+        x, y = cluster[p[x]], cluster[b[y]]
+        for u, v in np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0).tolist():
+            x, y = root(u), root(v)
+            if x != y:
+                top[y] = x
+                out.append((u, v))
     return out
 
 
-#: Shingles in a block of a cluster, about.
-BLOCK_SHINGLES = 131_072
+#: Members of a bucket, and shingles of a cluster, in a block, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 2_048, 131_072
 
 
-def _linked(grouped: DataFrame, percent: int) -> DataFrame:
-    """(task, id, side, set), sorted by task within partitions -> confirmed links (u, v) that span each task."""
+def _by_task(dealt: DataFrame, fn: Callable[[dict], list[tuple[int, int]]]) -> DataFrame:
+    """Rows with a ``task`` -> links (u, v) that ``fn`` gives for the columns of each task."""
+    names = dealt.columns
 
     def run(batches):
-        held: tuple[list, list, list] = ([], [], [])
-        now = None
+        held: list[pa.RecordBatch] = []
+        now, out = None, []
+
+        def done() -> None:
+            if sum(x.num_rows for x in held) > 1:
+                t = pa.Table.from_batches(held)
+                out.extend(fn({c: t.column(c) for c in names}))
+            held.clear()
 
-        def done() -> pa.RecordBatch:
-            got = spanning_links(*held, percent) if len(held[0]) > 1 else []
-            for x in held:
-                x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([v for _, v in got], pa.int64())], names=["u", "v"])
+        def links() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            out.clear()
+            return got
 
         for batch in batches:
-            for task, i, side, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if task != now:
-                    yield done()
-                    now = task
-                for x, v in zip(held, (i, np.frombuffer(s, np.uint64), side), strict=True):
-                    x.append(v)
-        yield done()
+            task = batch.column(names.index("task")).to_numpy()
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            for i, j in pairwise(cuts):
+                if i == j:
+                    continue
+                if task[i] != now:
+                    done()
+                    now = task[i]
+                held.append(batch.slice(i, j - i))
+            if len(out) > 10_000:
+                yield links()
+        done()
+        yield links()
+
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """A left join with a table that is mostly small: broadcast within ``BROADCAST_IDS`` rows, else shuffled."""
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_IDS else table, on, "left")
+
+
+def _deal(rows: DataFrame, limit: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(g, id, c, n, w, ...) with ``task`` and ``side``: all pairs of one g, but different c, whose sizes n allow a link meet in a task.
+
+    Rows of a g are cut into blocks of weight ``limit``, by size and by a hash; pairs of blocks
+    are tasks. A c that fills blocks has its own, and those don't meet each other. What is
+    counted is pre-aggregated, so a g with a third of all rows is no hot key.
+    """
+    # Sizes that allow a link are in one bin or in neighbouring ones; a little wider than exact, for rounding.
+    step = max(0.01, math.log(100 / percent) * (1 + 1e-9))
+    rows = rows.withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    sums = scratch.save(rows.groupBy("g", "bin", "c").agg(F.sum("w").alias("w")))
+    own = sums.where(F.col("w") >= limit).select("g", "bin", "c", F.ceil(F.col("w") / limit).alias("own"))
+    pool = sums.where(F.col("w") < limit).groupBy("g", "bin").agg(F.sum("w").alias("w")).where(F.col("w") > limit)
+    rows = _looked_up(rows, own, ["g", "bin", "c"])
+    rows = _looked_up(rows, pool.select("g", "bin", F.ceil(F.col("w") / limit).alias("pool")), ["g", "bin"])
+    part = F.pmod(F.xxhash64("id"), F.coalesce("own", "pool", F.lit(1)))
+    of = F.when(F.col("own").isNotNull(), F.col("c"))
+    rows = scratch.save(rows.withColumns({"of": of, "block": F.xxhash64("g", "bin", of.isNotNull(), F.coalesce(of, F.lit(0)), part)}).drop("own", "pool"))
+    blocks = scratch.save(rows.groupBy("g", "bin", "of", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")))
+    x = blocks.select("g", F.col("bin").alias("x_bin"), F.col("of").alias("x_of"), F.col("block").alias("x"), (F.col("lo") < F.col("hi")).alias("mixed"), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
+    y = blocks.select("g", "bin", F.col("of").alias("y_of"), F.col("block").alias("y"))
+    meet = (F.col("x_bin") < F.col("bin")) | (F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & F.col("mixed"))
+    tasks = x.join(y, ["g", "bin"]).where(meet & ~F.coalesce(F.col("x_of") == F.col("y_of"), F.lit(False)))
+    tasks = scratch.save(tasks.select("x", "y", F.xxhash64("x", "y").alias("task")))
+    sides = tasks.select(F.col("x").alias("block"), "task", F.lit(False).alias("side")).unionByName(tasks.where("x <> y").select(F.col("y").alias("block"), "task", F.lit(True).alias("side")))
+    return rows.join(sides, "block")
+
+
+def _clusters(sig: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Clusters (node, component) of near signatures, and the near pairs (u, v, apart) of a bucket's first member with others."""
+    keys = _keys(sig)
+    full = scratch.save(keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("key", "head"))
+    hot = scratch.save(keys.join(full, "key"))
+    pairs = hot.where("doc_id > head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct()
+    a, b = sig.alias("a"), sig.alias("b")
+    near = pairs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_near("a", "b", percent))
+    stars = scratch.save(near.select("u", "v", _symbols_apart("a", "b").alias("apart")))
+    found = scratch.save(connected_components(stars.select("u", "v"), scratch))
+
+    # What is left: members of one bucket that are in different clusters.
+    left = hot.select("key", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    split = scratch.save(left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    members = left.join(split, "key").join(sig, "doc_id").select(F.col("key").alias("g"), F.col("doc_id").alias("id"), F.col("comp").alias("c"), F.col("n_shingles").alias("n"), F.lit(1).alias("w"), *_SIG)
+    members = scratch.save(members)
 
-    return grouped.mapInArrow(run, "u long, v long")
+    def met(cols: dict) -> list[tuple[int, int]]:
+        s = np.stack([cols[k].to_numpy() for k in _SIG], 1).view(np.uint16)
+        return near_links(cols["side"].to_numpy(), cols["c"].to_numpy(), cols["n"].to_numpy(), s, percent)
 
+    more = scratch.save(_by_task(_deal(members, BLOCK_ROWS, percent, scratch).select("task", "side", "c", "n", *_SIG), met))
+    scratch.drop(full, hot, split, members)
+    if not more.isEmpty():
+        star = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = scratch.save(connected_components(star.unionByName(more), scratch))
+    return found, stars
 
-def _confirm(clusters: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links on full sets within ``clusters`` (id, cluster). Only their documents are read into sets."""
+
+def _confirmed(found: DataFrame, stars: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Groups (node, component) of the links on full sets within clusters. Only their documents are read into sets.
+
+    Each member is held against the nearest first member of its buckets; then only members of a
+    cluster that are in different groups meet.
+    """
+    clusters = found.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     few = clusters.count() <= BROADCAST_IDS
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(clusters) if few else clusters, "id")
 
@@ -235,21 +362,30 @@ def _confirm(clusters: DataFrame, docs: DataFrame, words: int, percent: int, scr
         return run
 
     sets = scratch.save(map_slices(wanted, "id long, cluster long, n long, set binary", make).where("n > 0"))
-    # Blocks of a cluster in the order of set sizes: pairs of blocks whose sizes allow no link are left out.
-    w = Window.partitionBy("cluster").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sets.select("id", "cluster", "n").withColumn("block", F.floor(F.coalesce(F.sum("n").over(w), F.lit(0)) / BLOCK_SHINGLES))
-    placed = scratch.save(placed)
-    blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    tasks = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.most") * 100 >= F.col("y.least") * percent))
-    tasks = tasks.select(F.col("x.cluster").alias("c"), F.col("x.block").alias("b0"), F.col("y.block").alias("b1"))
-    tasks = scratch.save(tasks.withColumn("task", F.xxhash64("c", "b0", "b1")))
-    sides = tasks.select("c", F.col("b0").alias("b"), "task", F.lit(False).alias("side")).unionByName(tasks.where("b0 < b1").select("c", F.col("b1").alias("b"), "task", F.lit(True).alias("side")))
-    dealt = placed.select("id", "cluster", "block").join(sides, (F.col("cluster") == F.col("c")) & (F.col("block") == F.col("b"))).select("id", "task", "side")
-    rows = dealt.join(sets.select("id", "set"), "id").select("task", "id", "side", "set")
-    out = scratch.save(_linked(rows.repartition("task").sortWithinPartitions("task"), percent))
-    scratch.drop(sets, placed, tasks)
-    return out
+
+    def met(cols: dict) -> list[tuple[int, int]]:
+        held = [np.frombuffer(s, np.uint64) for s in cols["set"].to_pylist()]
+        group = cols["c"].to_pylist() if "c" in cols else None
+        return spanning_links(cols["id"].to_pylist(), held, cols["side"].to_pylist(), percent, group)
+
+    nearest = stars.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("x")).select("v", "x.u")
+    nearest = scratch.save(nearest.join(sets.select(F.col("id").alias("v"), "n"), "v"))
+    parts = nearest.groupBy("u").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts")).where("parts > 1")
+    nearest = _looked_up(nearest, parts, ["u"]).select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))).alias("task"))
+    sides = nearest.select(F.col("v").alias("id"), "task", F.lit(True).alias("side")).unionByName(nearest.select(F.col("u").alias("id"), "task", F.lit(False).alias("side")).distinct())
+    links = scratch.save(_by_task(sides.join(sets.select("id", "set"), "id"), met))
+    groups = scratch.save(connected_components(links, scratch))
+
+    placed = sets.select("id", "cluster", "n").distinct().join(groups, F.col("id") == F.col("node"), "left")
+    placed = scratch.save(placed.select(F.col("cluster").alias("g"), "id", F.coalesce("component", "id").alias("c"), "n", F.col("n").alias("w")))
+    several = scratch.save(placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g"))
+    dealt = _deal(placed.join(several, "g"), BLOCK_SHINGLES, percent, scratch).select("task", "side", "id", "c")
+    more = scratch.save(_by_task(dealt.join(sets.select("id", "set"), "id"), met))
+    if not more.isEmpty():
+        star = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        groups = scratch.save(connected_components(star.unionByName(more), scratch))
+    scratch.drop(sets, nearest, placed, several, links, more)
+    return groups
 
 
 def _near(a: str, b: str, percent: int) -> Column:
@@ -265,7 +401,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     kept (doc_id = component_id). Null or wordless texts have an empty set and are linked with
     nothing; other columns are not read. A row without doc_id is linked with nothing, has no
     component_id and is kept. Rows that share a doc_id count as one document: what any of them
-    is linked with, all are. An empty table gives an empty one.
+    is linked with, all are. Texts are read whole, whatever their length; of groups with equal
+    texts the smallest doc_id stays. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = scratch.save(signatures(docs, words))
@@ -273,44 +410,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = scratch.save(able.groupBy("h0", "h1", "n_shingles").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in _SIG]))
     sig = classes.select(F.col("rep").alias("doc_id"), "n_shingles", *_SIG)
 
-    keys = _keys(sig)
-    full = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("key", "head")
-    hot = scratch.save(keys.join(full, "key"))
-    pairs = hot.where("doc_id > head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct()
-    a, b = sig.alias("a"), sig.alias("b")
-    near = pairs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_near("a", "b", percent)).select("u", "v")
-    found = scratch.save(connected_components(near, scratch))
-
-    # What is left: members of one bucket that are in different clusters.
-    left = hot.select("key", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = scratch.save(left.join(split, "key").join(sig, "doc_id"))
-    groups = members.groupBy("key", "comp").agg(
-        F.count("*").alias("size"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), *[F.first(s).alias(s) for s in _SIG]
-    )
-    x, y = groups.alias("x"), groups.alias("y")
-    may = (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent)
-    may &= (F.col("x.size") > 1) | (F.col("y.size") > 1) | (_symbols_apart("x", "y") <= MAX_DISTANCE)
-    # The cluster with fewer members in the bucket comes first: its members are spread out before the others are met.
-    small = F.col("x.size") <= F.col("y.size")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & may).select(
-        F.col("x.key").alias("key"), F.when(small, F.col("x.comp")).otherwise(F.col("y.comp")).alias("cx"), F.when(small, F.col("y.comp")).otherwise(F.col("x.comp")).alias("cy")
-    )
-    a = members.select(F.col("key").alias("ka"), F.col("comp").alias("ca"), F.col("doc_id"), "n_shingles", *_SIG).alias("a")
-    b = members.select(F.col("key").alias("kb"), F.col("comp").alias("cb"), F.col("doc_id"), "n_shingles", *_SIG).alias("b")
-    # Links between clusters, not their members' pairs, are what joins them.
-    more = scratch.save(
-        across.join(a, (F.col("key") == F.col("ka")) & (F.col("cx") == F.col("ca")))
-        .join(b, (F.col("key") == F.col("kb")) & (F.col("cy") == F.col("cb")) & _near("a", "b", percent))
-        .select(F.col("cx").alias("u"), F.col("cy").alias("v"))
-        .distinct()
-    )
-    scratch.drop(hot, members)
-    if not more.isEmpty():
-        star = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = scratch.save(connected_components(star.unionByName(more), scratch))
-    links = _confirm(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")), docs, words, percent, scratch)
-    found = scratch.save(connected_components(links, scratch))
+    clusters, stars = _clusters(sig, percent, scratch)
+    found = _confirmed(clusters, stars, docs, words, percent, scratch)
+    scratch.drop(clusters, stars)
 
     reps = classes.select("h0", "h1", F.col("n_shingles").alias("n_"), "rep")
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select("h0", "h1", "n_", F.coalesce("component", "rep").alias("component_id"))
