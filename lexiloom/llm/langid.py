@@ -4,8 +4,8 @@ Features of a word are its affixes (1 to 3 letters), all its 2- and 3-grams and
 lexicon of training words, hashed into one weight table; features reach the chain through the
 word's label scores, transitions between labels are learned with them. Training sequences are
 spliced from spans of documents of different languages, so that switches inside a sequence
-have been seen. Labels are marginals by forward-backward, over sequences of at most ``SPAN``
-consecutive words; every word of a text is in one of them.
+have been seen. Labels are marginals by forward-backward; a text is one chain, worked through in
+sequences of ``SPAN`` words with messages carried from each to its neighbours.
 """
 
 from __future__ import annotations
@@ -121,27 +121,61 @@ def forward_backward(emit: np.ndarray, moves: np.ndarray, starts: np.ndarray, si
     return p, pairs
 
 
-def marginals(emit: np.ndarray, moves: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Marginals alone, as ``forward_backward`` has them."""
+def marginals(emit: np.ndarray, moves: np.ndarray, starts: np.ndarray, size: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """Marginals alone, as ``forward_backward`` has them.
+
+    ``starts`` may differ by sequence (n, label); ``after`` (n, label) is what a sequence's end
+    hears from what follows it, as weights.
+    """
     n, length, k = emit.shape
     e = np.exp(emit - emit.max(axis=2, keepdims=True))
     t = np.exp(moves - moves.max()).astype(emit.dtype)
     fwd = np.empty_like(e)
-    a = e[:, 0] * np.exp(starts - starts.max()).astype(emit.dtype)
+    a = e[:, 0] * np.exp(starts - starts.max(axis=-1, keepdims=True)).astype(emit.dtype)
     fwd[:, 0] = a / a.sum(axis=1, keepdims=True)
     for i in range(1, length):
         a = (fwd[:, i - 1] @ t) * e[:, i]
         fwd[:, i] = a / a.sum(axis=1, keepdims=True)
-    b = np.ones((n, k), emit.dtype)
+    end = np.ones((n, k), emit.dtype) if after is None else after.astype(emit.dtype)
+    b = end
     for i in range(length - 1, -1, -1):
         if i < length - 1:
             c = (b * e[:, i + 1]) @ t.T
-            b = np.where((i + 1 < size)[:, None], c / c.sum(axis=1, keepdims=True), 1.0).astype(emit.dtype)
+            b = np.where((i + 1 < size)[:, None], c / c.sum(axis=1, keepdims=True), end).astype(emit.dtype)
         p = fwd[:, i] * b
         fwd[:, i] = p / p.sum(axis=1, keepdims=True) * (i < size)[:, None]
     return fwd
 
 
+def transfers(emit: np.ndarray, moves: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What each sequence makes of a message that comes in before its first word: (n, label in, label out), scaled."""
+    n, length, k = emit.shape
+    e = np.exp(emit - emit.max(axis=2, keepdims=True))
+    t = np.exp(moves - moves.max()).astype(emit.dtype)
+    m = np.eye(k, dtype=emit.dtype)[None] * e[:, 0][:, None, :]
+    for i in range(1, length):
+        live = np.flatnonzero(i < size)
+        x = (m[live].reshape(-1, k) @ t).reshape(-1, k, k) * e[live, i][:, None, :]
+        m[live] = x / x.sum(axis=(1, 2), keepdims=True)
+    return m
+
+
+def carried(m: np.ndarray, per: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log weights that enter each sequence, and weights that its end hears, where ``per`` sequences in a row are one text."""
+    t = np.exp(moves - moves.max())
+    first = np.cumsum(per) - per
+    into = np.tile(np.exp(starts - starts.max()), (len(m), 1))
+    heard = np.ones_like(into)
+    for j in range(int(per.max(initial=1)) - 1):
+        at = first[per > j + 1] + j
+        x = np.einsum("nk,nkl->nl", into[at], m[at]) @ t
+        into[at + 1] = x / x.sum(axis=1, keepdims=True)
+        at = (first + per - 1)[per > j + 1] - j
+        y = np.einsum("nkl,nl->nk", m[at], heard[at]) @ t.T
+        heard[at - 1] = y / y.sum(axis=1, keepdims=True)
+    return np.log(np.maximum(into, 1e-300)), heard
+
+
 def tokens(text: str | None) -> list[str]:
     """Lower-cased runs of letters of a whole text; longer ones than WIDTH count as several words."""
     if not text:
@@ -239,8 +273,12 @@ class _Known(dict):
         return i
 
 
-def label_texts(texts: list[str | None], crf: Crf, cache: dict[int, tuple[_Known, np.ndarray]] | None = None) -> tuple[list[str], list[float], list[dict]]:
-    """Of each text: language, its share of the word marginals, and the sums by label. ``cache`` keeps words for later calls."""
+def posteriors(texts: list[str | None], crf: Crf, cache: dict[int, tuple[_Known, np.ndarray]] | None = None) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """Words with a letter of each text, how many they are, and the label marginals of all of them in a row.
+
+    A text is one chain, whatever its length: it is worked through in sequences of ``SPAN`` words,
+    and messages are carried from each to the next in both directions. ``cache`` keeps words for later calls.
+    """
     cache = {} if cache is None else cache
     known, scores = cache.get(crf.version, (None, None))
     if known is None or len(known) > 300_000:
@@ -254,21 +292,38 @@ def label_texts(texts: list[str | None], crf: Crf, cache: dict[int, tuple[_Known
         known.new = []
     cache.clear()
     cache[crf.version] = (known, scores)
-    ids = [x[~np.isnan(scores[x, 0])] if len(x) else x for x in ids]
-    sums = np.zeros((len(texts), len(crf.labels)))
-    size = np.array([len(x) for x in ids])
-    if size.sum():
-        per = -(-size // SPAN)
-        owner = np.repeat(np.arange(len(ids)), per)
-        part = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        own = np.minimum(size[owner] - part * SPAN, SPAN)
-        flat = np.concatenate(ids)
-        begin = (np.cumsum(size) - size)[owner] + part * SPAN
-        for i in range(0, len(owner), 2_000):
-            s, b = own[i : i + 2_000], begin[i : i + 2_000]
-            at = np.minimum(b[:, None] + np.arange(SPAN)[None], len(flat) - 1)
-            p = marginals(scores[flat[at]], crf.moves, crf.starts, s)
-            np.add.at(sums, owner[i : i + 2_000], p.sum(axis=1))
+    for k, x in enumerate(ids):
+        if len(x) and (bad := np.isnan(scores[x, 0])).any():
+            ids[k], found[k] = x[~bad], [w for w, out in zip(found[k], bad.tolist(), strict=True) if not out]
+    size = np.array([len(x) for x in ids], np.int64)
+    out = np.zeros((int(size.sum()), len(crf.labels)), np.float32)
+    if not len(out):
+        return found, size, out
+    per = -(-size // SPAN)
+    owner = np.repeat(np.arange(len(ids)), per)
+    part = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    own = np.minimum(size[owner] - part * SPAN, SPAN)
+    flat = np.concatenate(ids)
+    begin = (np.cumsum(size) - size)[owner] + part * SPAN
+    emit = lambda rows: scores[flat[np.minimum(begin[rows][:, None] + np.arange(SPAN)[None], len(flat) - 1)]]
+    into, heard = np.tile(crf.starts, (len(owner), 1)), np.ones((len(owner), len(crf.labels)))
+    more = np.flatnonzero(per[owner] > 1)
+    if len(more):
+        m = np.concatenate([transfers(emit(more[i : i + 2_000]), crf.moves, own[more[i : i + 2_000]]) for i in range(0, len(more), 2_000)])
+        into[more], heard[more] = carried(m, per[per > 1], crf.moves, crf.starts)
+    for i in range(0, len(owner), 2_000):
+        rows = np.arange(i, min(i + 2_000, len(owner)))
+        p = marginals(emit(rows), crf.moves, into[rows], own[rows], heard[rows])
+        live = np.arange(SPAN)[None] < own[rows][:, None]
+        out[(begin[rows][:, None] + np.arange(SPAN)[None])[live]] = p[live]
+    return found, size, out
+
+
+def label_texts(texts: list[str | None], crf: Crf, cache: dict[int, tuple[_Known, np.ndarray]] | None = None) -> tuple[list[str], list[float], list[dict]]:
+    """Of each text: language, its share of the word marginals, and the shares by label."""
+    _, size, p = posteriors(texts, crf, cache)
+    owner = np.repeat(np.arange(len(size)), size)
+    sums = np.stack([np.bincount(owner, p[:, j], len(size)) for j in range(len(crf.labels))], 1)
     langs, score, shares = [], [], []
     for n, x in zip(size, sums, strict=True):
         best = int(x.argmax()) if n else -1
@@ -278,12 +333,41 @@ def label_texts(texts: list[str | None], crf: Crf, cache: dict[int, tuple[_Known
     return langs, score, shares
 
 
+def label_words(docs: DataFrame, crf: Crf) -> DataFrame:
+    """(doc_id, words, langs, probs) of each row: every word of the text with its own label and marginal.
+
+    A null text or one without letters has no words; with nothing learned every word is ``und``.
+    Words are lower-cased; those of more than WIDTH letters count as several.
+    """
+    told = docs.sparkSession.sparkContext.broadcast(crf)
+
+    def make():
+        cache: dict = {}
+
+        def run(cols: dict) -> dict:
+            labels = told.value.labels
+            if not labels:
+                words = [[w for w in tokens(t) if w.isalpha()] for t in cols["text"]]
+                return {"doc_id": cols["doc_id"], "words": words, "langs": [[UNKNOWN] * len(w) for w in words], "probs": [[0.0] * len(w) for w in words]}
+            words, size, p = posteriors(cols["text"], told.value, cache)
+            best, prob = p.argmax(axis=1).tolist() if len(p) else [], p.max(axis=1).tolist() if len(p) else []
+            cut = [0, *np.cumsum(size).tolist()]
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            return {"doc_id": cols["doc_id"], "words": words, "langs": [[labels[x] for x in best[a:b]] for a, b in spans], "probs": [prob[a:b] for a, b in spans]}
+
+        return run
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_slices(rows, "doc_id long, words array<string>, langs array<string>, probs array<double>", make)
+
+
 def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     """Adds nothing to ``docs``: returns doc_id, held_out, lang_pred, score, shares for each row, from the text alone.
 
-    A null text or one without letters gets ``und`` and the score 0. Repeated rows get equal
-    results; a null doc_id is not held out; other columns are not read. With no labelled rows
-    to learn from, every text gets ``und``.
+    A null text or one without letters gets ``und`` and the score 0. Texts are read whole,
+    whatever their length; of languages with equal shares the first by name is taken. Repeated
+    rows get equal results; a null doc_id is not held out; other columns are not read. An empty
+    table gives an empty one. With no labelled rows to learn from, every text gets ``und``.
     """
     spark = docs.sparkSession
     told = spark.sparkContext.broadcast(crf)  # bounded: 2^BITS rows and the lexicon of a bounded sample
