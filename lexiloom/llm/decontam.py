@@ -1,8 +1,8 @@
 """Benchmark decontamination with spaced-seed hashing, in DataFrame operations only.
 
 A document leaks an item if some 13 consecutive words of each agree, place by place, in at
-least 11 (items of 5 to 12 words must occur whole and unchanged; shorter ones are not looked
-for). Seeds are hashes of 6 words picked by a fixed mask, others ignored. The two masks are
+least 11. Items of fewer words must occur whole and unchanged; the shortest that are looked for
+are a parameter, as runs of a few words occur anywhere by chance. Seeds are hashes of 6 words picked by a fixed mask, others ignored. The two masks are
 lossless for this: whatever 2 of 13 places differ, one of them fits somewhere between. All
 seeds of all documents meet all seeds of the benchmark; each hit is verified around it.
 """
@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, free_names
 
+#: Words of a window and how many agree; words of the shortest items that are looked for unless the caller says otherwise (1: all).
 WINDOW, AGREE, SHORTEST = 13, 11, 5
 MASKS = ("###-----###", "###-###")
 #: Seeds and words of items that are broadcast; beyond it the joins are shuffled.
@@ -67,9 +68,9 @@ def _window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return facing.where(F.when(F.size("same") >= WINDOW, agree).otherwise(F.lit(False))).select("doc_id", "th", "item_id").distinct()
 
 
-def _whole_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _whole_hits(docs: DataFrame, items: DataFrame, shortest: int) -> DataFrame | None:
     """(doc_id, th, item_id) where a short item occurs whole. A seed for each length that items have."""
-    small = items.where((F.size("bw") >= SHORTEST) & (F.size("bw") < WINDOW)).select("item_id", F.size("bw").alias("k"), F.xxhash64(F.concat_ws(" ", "bw")).alias("h"))
+    small = items.where((F.size("bw") >= max(1, shortest)) & (F.size("bw") < WINDOW)).select("item_id", F.size("bw").alias("k"), F.xxhash64(F.concat_ws(" ", "bw")).alias("h"))
     sizes = [r[0] for r in small.select("k").distinct().collect()]  # less than WINDOW numbers
     out = None
     for k in sorted(sizes):
@@ -81,35 +82,39 @@ def _whole_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, th, item_ids) of the documents that leak; ``th`` tells texts of one doc_id apart."""
     d = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w"))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("bw"))
     hits = _window_hits(d, items)
-    whole = _whole_hits(d, items)
+    whole = _whole_hits(d, items, shortest)
     hits = hits if whole is None else hits.unionByName(whole)
     return hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids) of each row.
 
-    A null, empty or short text leaks nothing; items without id or text are not looked for.
-    Repeated rows get equal results, as do equal benchmark items, each under its own id. Other
-    columns are not read. An empty benchmark leaves all rows clean.
+    A null or empty text leaks nothing, nor does one that is shorter than an item's window; long
+    ones are read whole. Items without id or text, or with fewer than ``shortest`` words, are not
+    looked for. Repeated rows get equal results, as do equal benchmark items, each under its own
+    id; ids are in order. Other columns are not read. An empty table gives an empty one; an empty
+    benchmark leaves all rows clean.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), "item_ids")
+    found = leaks(docs, benchmark, shortest).select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), "item_ids")
     both = rows.join(found, rows.doc_id.eqNullSafe(F.col("d_")) & (rows.th == F.col("t_")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<long>"))
     return both.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that leak nothing, with all columns."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_doc"), F.col("th").alias("_leak_text"))
+def keep_clean(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of ``docs`` that leak nothing, with all columns, whatever they are called."""
+    found = leaks(docs, benchmark, shortest).select("doc_id", "th")
     found = Scratch(docs.sparkSession, "leaks").save(found)
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_leak_doc")) & (F.xxhash64(docs["text"]) == F.col("_leak_text"))
+    doc, text = free_names(docs, "leak_doc", "leak_text")
+    found = found.toDF(doc, text)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(text))
     return docs.join(F.broadcast(found) if found.count() <= BROADCAST_SEEDS else found, same, "left_anti")
 
 

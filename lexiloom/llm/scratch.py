@@ -13,15 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         root = tempfile.mkdtemp(prefix="lexiloom-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, like those given."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """A folder for one run of one operator. ``save`` writes and rereads, ``drop`` frees the space."""
 
