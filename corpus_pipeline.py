@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import decontam, langid, neardup, pieces, pii
-from lexiloom.llm.scratch import Scratch
+from lexiloom.llm.scratch import Scratch, free_names
 
 #: Ids that are broadcast to take documents out; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
@@ -27,18 +27,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares at least 0.8 of its five-word shingles: the one with the smallest doc_id.
 
-    Of rows that share a doc_id, one stays.
+    Rows that share a doc_id are kept or go together; of those with equal texts one stays, the
+    first by its columns written as JSON.
     """
     scratch = Scratch(spark, "pipeline")
     judged = scratch.save(neardup.near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"))
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    again = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
+    gone, again = free_names(docs, "gone", "again")
+    out = judged.where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    few = out.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(out) if few else out, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
+    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again))
+    if repeated.isEmpty():
         return kept
-    several = kept["doc_id"].cast("long") == F.col("_again")
-    return kept.join(again, several, "left_anti").unionByName(kept.join(again, several, "left_semi").dropDuplicates(["doc_id"]))
+    several = kept["doc_id"].cast("long") == F.col(again)
+    row = F.struct(*[kept[c] for c in docs.columns])
+    first = kept.join(repeated, several, "left_semi").groupBy(kept["doc_id"], kept["text"]).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return kept.join(repeated, several, "left_anti").unionByName(first.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
