@@ -58,8 +58,15 @@ NOISE_WORDS = frozenset(
 CONTENT = frozenset(("article", "main"))
 
 
+#: Noise words that wrappers bear as well, for what they have inside or for their layout.
+WRAPPED = frozenset("sidebar nav navbar navigation menu header masthead footer banner cookie cookies consent gdpr notice popup modal overlay toolbar skip".split())
+#: Elements of running text: of their classes only whole names count.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption a abbr b cite code em i mark q s small span strong sub sup time u".split())
+_UNSAID = frozenset("has with without no is show hide".split())
+
+
 class _Open:
-    """An open element."""
+    """An open element. ``noise``: the elements about it, itself included, that look like noise."""
 
     __slots__ = ("tag", "noise", "main", "branch", "tags")
 
@@ -67,6 +74,17 @@ class _Open:
         self.tag, self.noise, self.main, self.branch, self.tags = tag, noise, main, branch, tags  # main: 0, 1 inside, 2 no branch between
 
 
+def _class_noise(tag: str, names: str) -> set[str]:
+    """The noise words among an element's classes and id."""
+    out: set[str] = set()
+    for name in names.split():
+        words = [w.lower() for w in _CAMEL.split(name) if w]
+        if not words or words[0] in _UNSAID or tag in PROSE and len(words) > 1:
+            continue
+        out.update(NOISE_WORDS.intersection(words))
+    return out
+
+
 def _attributes(text: str) -> tuple[str, str, bool]:
     """Class and id as one string, the role, and whether the element is hidden."""
     if not text or text.isspace():
@@ -90,12 +108,15 @@ def _attributes(text: str) -> tuple[str, str, bool]:
 def blocks(page: str | None) -> list[tuple[str, int, bool, int, str]]:
     """Blocks of a page in order: text, branch, noise by markup, inside article or main (2: directly), and kids of branches.
 
-    Entries with an empty text carry the child tags of a closed branch instead.
+    Entries with an empty text carry the child tags of a closed branch instead. A form, or an
+    element with a class that wrappers bear, is no noise if it holds more than half of what
+    else is left of the page and all of its articles.
     """
-    out: list[tuple[str, int, bool, int, str]] = []
+    out: list[tuple[str, int, tuple[int, ...], int, str]] = []
     if not page:
-        return out
-    root = _Open("#", False, 0, xxhash.xxh3_64_intdigest(b"") >> 1, [])
+        return []
+    root = _Open("#", (), 0, xxhash.xxh3_64_intdigest(b"") >> 1, [])
+    wraps: list[bool] = []  # of each element that looks like noise, whether it may be a wrapper
     stack, buf = [root], []
     opened: Counter[str] = Counter()
 
@@ -155,13 +176,18 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int, str]]:
             continue
         up = stack[-1]
         names, role, hidden = _attributes(m[4] or m[7] or "")
-        noise = up.noise or hidden or role in NOISE_ROLES
-        if not noise and tag in NOISE_TAGS:
-            noise = not (tag in ("header", "label", "fieldset") and up.main)
-        if not noise and names and tag not in ("html", "body"):
-            words = {w.lower() for w in _CAMEL.split(names)}
-            hit = words & NOISE_WORDS
-            noise = bool(hit - {"header"}) or bool(hit) and not up.main
+        own, wrap = hidden or role in NOISE_ROLES, False
+        if not own and tag in NOISE_TAGS:
+            own = not (tag in ("header", "label", "fieldset") and up.main)
+            wrap = tag == "form"
+        if not own and names and tag not in ("html", "body"):
+            hit = _class_noise(tag, names)
+            own = bool(hit - {"header"}) or bool(hit) and not up.main
+            wrap = hit <= WRAPPED and tag not in PROSE
+        noise = up.noise
+        if own:
+            noise = (*noise, len(wraps))
+            wraps.append(wrap)
         branch, tags = up.branch, None
         if tag in BRANCH:
             branch = xxhash.xxh3_64_intdigest(f"{up.branch}/{tag}.{names}".encode("utf-8", "replace")) >> 1
@@ -172,14 +198,32 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int, str]]:
                         x.tags.append(tag)
                     break
         opened[tag] += 1
-        main = 2 if not noise and (tag in CONTENT or role == "main") else min(up.main, 1) if tag in BRANCH else up.main
+        main = 2 if all(wraps[i] for i in noise) and (tag in CONTENT or role == "main") else min(up.main, 1) if tag in BRANCH else up.main
         stack.append(_Open(tag, noise, main, branch, tags))
     if at < len(page):
         rest = page[at:]
         buf.append(rest if "<" not in rest else re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", rest))
     flush()
     close(1)
-    return out
+    lifted = _wrappers(out, wraps)
+    return [(t, b, any(i not in lifted for i in noise), main, kids) for t, b, noise, main, kids in out]
+
+
+def _wrappers(out: list[tuple[str, int, tuple[int, ...], int, str]], wraps: list[bool]) -> set[int]:
+    """Those of the possible wrappers that hold more than half of the text, and all text of articles."""
+    if not any(wraps):
+        return set()
+    size: Counter[int] = Counter()
+    article: Counter[int] = Counter()
+    total = in_articles = 0
+    for t, _, noise, main, _ in out:
+        if t and all(wraps[i] for i in noise):
+            total += len(t)
+            in_articles += len(t) * (main > 0)
+            for i in noise:
+                size[i] += len(t)
+                article[i] += len(t) * (main > 0)
+    return {i for i, n in size.items() if 2 * n > total and article[i] == in_articles}
 
 
 def main_text(page: str | None, cut: frozenset[int] | set[int], weak: frozenset[int] | set[int] = frozenset()) -> str:
@@ -251,8 +295,9 @@ def host_of(url):
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row.
 
-    A null or empty page has an empty text. Without a host a page shares the host ''. Repeated
-    rows get equal results; other columns are not read.
+    A null or empty page has an empty text. Without a host a page shares the host ''. Pages are
+    read whole, whatever their length. Repeated rows get equal results, and count as pages of
+    their host. An empty table gives an empty one; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
