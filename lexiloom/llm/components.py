@@ -2,48 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Parts that the edges of a node are dealt into, so that a node with a third of all edges is no single task.
+SALTS = 32
 
-def _star(edges: DataFrame, large: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """One contraction, and the table to drop after it. Each node's smallest neighbour becomes the neighbour of the others.
 
-    The minimum is pre-aggregated before the shuffle and written out, so that the join back
-    has a shuffle of its own, which AQE can split: a node with a third of all edges is no single task.
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One contraction. Each node's smallest neighbour becomes the neighbour of the others.
+
+    The minimum is taken over parts of a node's edges, then over its parts; the edges meet it part by part.
     """
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = scratch.save(near.groupBy("u").agg(F.min("v").alias("lo")).select(F.col("u").alias("u_"), F.least("u", "lo").alias("m")))
-    told = near.join(low, near.u == low.u_).select("u", "v", "m")
+    near = near.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = near.groupBy("u", "part").agg(F.min("v").alias("lo"))
+    low = parts.select("u", "part", F.least("u", F.min("lo").over(Window.partitionBy("u"))).alias("m"))
+    told = near.join(low, ["u", "part"]).select("u", "v", "m")
     if large:
         out = told.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = told.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("u_").alias("u"), F.col("m").alias("v")))
-    return out.where("u <> v").distinct(), low
+        out = told.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+    return out.where("u <> v").distinct()
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one edge, to a node that is no larger end itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges`` (u, v) -> (node, component): each node of an edge with the smallest node it reaches.
 
-    Loops and null ends are ignored; no edges give an empty table. Rounds go on until nothing
-    changes, their number grows with the logarithm of the longest path. Every round is a table
-    in the shared folder.
+    Loops and null ends are ignored; no edges give an empty table. Rounds go on until every
+    component is a star about its smallest node, their number grows with the logarithm of the
+    longest path. Every round is a table in the shared folder.
     """
     now = scratch.save(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
-    seen = None
-    while True:
-        sums = now.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()
-        if sums == seen or not sums[0]:
-            break
-        seen, before = sums, now
-        for large in (True, False):
-            made, low = _star(now, large, scratch)
-            last, now = now, scratch.save(made)
-            scratch.drop(low, *(x for x in [last] if x is not before))
+    while not _is_forest_of_stars(now):
+        before, now = now, scratch.save(_star(_star(now, True), False))
         scratch.drop(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -280,9 +280,9 @@ def _by_task(dealt: DataFrame, fn: Callable[[dict], list[tuple[int, int]]]) -> D
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """A left join with a table that is mostly small: broadcast within ``BROADCAST_IDS`` rows, else shuffled."""
-    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_IDS else table, on, "left")
+def _told(table: DataFrame, rows: int) -> DataFrame:
+    """A table of at most ``rows`` rows, broadcast if that is within ``BROADCAST_IDS``; else joins with it are shuffled."""
+    return F.broadcast(table) if rows <= BROADCAST_IDS else table
 
 
 def _deal(rows: DataFrame, limit: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -296,20 +296,21 @@ def _deal(rows: DataFrame, limit: int, percent: int, scratch: Scratch) -> DataFr
     step = max(0.01, math.log(100 / percent) * (1 + 1e-9))
     rows = rows.withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
     sums = scratch.save(rows.groupBy("g", "bin", "c").agg(F.sum("w").alias("w")))
+    most = sums.count()
     own = sums.where(F.col("w") >= limit).select("g", "bin", "c", F.ceil(F.col("w") / limit).alias("own"))
     pool = sums.where(F.col("w") < limit).groupBy("g", "bin").agg(F.sum("w").alias("w")).where(F.col("w") > limit)
-    rows = _looked_up(rows, own, ["g", "bin", "c"])
-    rows = _looked_up(rows, pool.select("g", "bin", F.ceil(F.col("w") / limit).alias("pool")), ["g", "bin"])
+    rows = rows.join(_told(own, most), ["g", "bin", "c"], "left")
+    rows = rows.join(_told(pool.select("g", "bin", F.ceil(F.col("w") / limit).alias("pool")), most), ["g", "bin"], "left")
     part = F.pmod(F.xxhash64("id"), F.coalesce("own", "pool", F.lit(1)))
     of = F.when(F.col("own").isNotNull(), F.col("c"))
     rows = scratch.save(rows.withColumns({"of": of, "block": F.xxhash64("g", "bin", of.isNotNull(), F.coalesce(of, F.lit(0)), part)}).drop("own", "pool"))
-    blocks = scratch.save(rows.groupBy("g", "bin", "of", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")))
+    blocks = rows.groupBy("g", "bin", "of", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     x = blocks.select("g", F.col("bin").alias("x_bin"), F.col("of").alias("x_of"), F.col("block").alias("x"), (F.col("lo") < F.col("hi")).alias("mixed"), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
     y = blocks.select("g", "bin", F.col("of").alias("y_of"), F.col("block").alias("y"))
     meet = (F.col("x_bin") < F.col("bin")) | (F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & F.col("mixed"))
     tasks = x.join(y, ["g", "bin"]).where(meet & ~F.coalesce(F.col("x_of") == F.col("y_of"), F.lit(False)))
-    tasks = scratch.save(tasks.select("x", "y", F.xxhash64("x", "y").alias("task")))
-    sides = tasks.select(F.col("x").alias("block"), "task", F.lit(False).alias("side")).unionByName(tasks.where("x <> y").select(F.col("y").alias("block"), "task", F.lit(True).alias("side")))
+    ends = F.array(F.struct(F.col("x").alias("block"), F.lit(False).alias("side")), F.struct(F.when(F.col("x") != F.col("y"), F.col("y")).alias("block"), F.lit(True).alias("side")))
+    sides = tasks.select(F.xxhash64("x", "y").alias("task"), F.inline(ends)).where("block is not null")
     return rows.join(sides, "block")
 
 
@@ -327,6 +328,8 @@ def _clusters(sig: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame
     # What is left: members of one bucket that are in different clusters.
     left = hot.select("key", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     split = scratch.save(left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    if split.isEmpty():
+        return found, stars
     members = left.join(split, "key").join(sig, "doc_id").select(F.col("key").alias("g"), F.col("doc_id").alias("id"), F.col("comp").alias("c"), F.col("n_shingles").alias("n"), F.lit(1).alias("w"), *_SIG)
     members = scratch.save(members)
 
@@ -371,7 +374,7 @@ def _confirmed(found: DataFrame, stars: DataFrame, docs: DataFrame, words: int,
     nearest = stars.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("x")).select("v", "x.u")
     nearest = scratch.save(nearest.join(sets.select(F.col("id").alias("v"), "n"), "v"))
     parts = nearest.groupBy("u").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts")).where("parts > 1")
-    nearest = _looked_up(nearest, parts, ["u"]).select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))).alias("task"))
+    nearest = nearest.join(_told(parts, nearest.count()), "u", "left").select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))).alias("task"))
     sides = nearest.select(F.col("v").alias("id"), "task", F.lit(True).alias("side")).unionByName(nearest.select(F.col("u").alias("id"), "task", F.lit(False).alias("side")).distinct())
     links = scratch.save(_by_task(sides.join(sets.select("id", "set"), "id"), met))
     groups = scratch.save(connected_components(links, scratch))
@@ -379,6 +382,8 @@ def _confirmed(found: DataFrame, stars: DataFrame, docs: DataFrame, words: int,
     placed = sets.select("id", "cluster", "n").distinct().join(groups, F.col("id") == F.col("node"), "left")
     placed = scratch.save(placed.select(F.col("cluster").alias("g"), "id", F.coalesce("component", "id").alias("c"), "n", F.col("n").alias("w")))
     several = scratch.save(placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g"))
+    if several.isEmpty():
+        return groups
     dealt = _deal(placed.join(several, "g"), BLOCK_SHINGLES, percent, scratch).select("task", "side", "id", "c")
     more = scratch.save(_by_task(dealt.join(sets.select("id", "set"), "id"), met))
     if not more.isEmpty():
