@@ -5,10 +5,11 @@ list, table and the like) named by the path of tags and classes above it. For ea
 host, two entropies over its pages say how important it is: content, one minus the mean share
 of pages on which each of its blocks is found again (log c / log m for a block on c of m
 pages), and presentation, the entropy of the sequences of its child tags. Branches with a low
-weighted sum are navigation or boilerplate and are cut from each page, inside an article or main element
-as well. Weaker evidence (what stands directly in an article or main, or a host of few pages
+weighted sum are navigation or boilerplate and are cut from each page, whatever their tags and inside an
+article or main element as well. Weaker evidence (what stands directly in an article or main, or a host of few pages
 that all agree) cuts only where at least as much text is left, as it may be a copy of a page.
-What markup alone tells (menus, footers, forms, scripts, adverts and comments by tag, role and class) is cut as well.
+What is left and is a menu, footer, form, script, advert or comment by its tag, role or class is cut as well:
+such branches have no importance even where their text differs from page to page.
 """
 
 from __future__ import annotations
@@ -226,21 +227,31 @@ def _wrappers(out: list[tuple[str, int, tuple[int, ...], int, str]], wraps: list
     return {i for i, n in size.items() if 2 * n > total and article[i] == in_articles}
 
 
-def main_text(page: str | None, cut: frozenset[int] | set[int], weak: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks that are left, joined by newlines. Only what is in an article or main element counts if it is most of them.
+def chosen(page: str | None, cut: frozenset[int] | set[int], weak: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], int, int]:
+    """The blocks that are left, how many the tree cut, and how many of the others went by markup or as no part of the article.
 
     ``cut``: branches of low importance on the page's host. ``weak``: those that are cut only where
-    at least as much text is left. A page of which nothing is left keeps its article or main.
+    at least as much text is left. Only what is in an article or main element counts if it is most
+    of what is left. A page of which nothing is left keeps its article or main.
     """
-    own = [(t, b, main) for t, b, noise, main, _ in blocks(page) if t and not noise]
+    every = [(t, b, main, noise) for t, b, noise, main, _ in blocks(page) if t]
+    own = [x for x in every if not x[3]]
     found = [x for x in own if x[1] not in cut] or [x for x in own if x[2]]
     sure = [x for x in found if x[1] not in weak]
     size = lambda xs: sum(len(x[0]) for x in xs)
+    gone = cut
     if 2 * size(sure) >= size(found):
-        found = sure
+        found, gone = sure, cut | weak
     inside = [x for x in found if x[2]]
     in_main = size(x for x in sure if x[2])
-    return "\n".join(x[0] for x in (inside if inside and 2 * in_main >= size(sure) else found))
+    left = inside if inside and 2 * in_main >= size(sure) else found
+    by_tree = sum(x[1] in gone for x in every) - sum(x[1] in gone for x in left)
+    return [x[0] for x in left], by_tree, len(every) - len(left) - by_tree
+
+
+def main_text(page: str | None, cut: frozenset[int] | set[int], weak: frozenset[int] | set[int] = frozenset()) -> str:
+    """The blocks that are left, joined by newlines."""
+    return "\n".join(chosen(page, cut, weak)[0])
 
 
 def _hash(s: str) -> int:
@@ -248,7 +259,7 @@ def _hash(s: str) -> int:
 
 
 def site_tree(pages: DataFrame) -> DataFrame:
-    """(host, branch, pages, n_text, direct, importance) of all branches that are no noise by markup, over all pages.
+    """(host, branch, pages, n_text, direct, importance) of all branches over all pages.
 
     A worker counts what its pages repeat before anything is shuffled, and the sums are
     pre-aggregated, so a host with a third of all pages is no hot key.
@@ -259,10 +270,9 @@ def site_tree(pages: DataFrame) -> DataFrame:
             seen: Counter[tuple[str, int, int, int]] = Counter()
             for host, page in zip(cols["host"], cols["html"], strict=True):
                 own = set()
-                for text, branch, noise, main, tags in blocks(page):
-                    if not noise:
-                        own.add((branch, -1, int(main == 2)))  # the page has the branch
-                        own.add((branch, _hash(text) if text else _hash("#" + tags), 2 if text else 4))
+                for text, branch, _, main, tags in blocks(page):
+                    own.add((branch, -1, int(main == 2)))  # the page has the branch
+                    own.add((branch, _hash(text) if text else _hash("#" + tags), 2 if text else 4))
                 seen.update((host, *x) for x in own)
             keys = list(seen)
             return {"host": [k[0] for k in keys], "branch": [k[1] for k in keys], "feature": [k[2] for k in keys], "kind": [k[3] for k in keys], "n": list(seen.values())}
@@ -293,7 +303,7 @@ def host_of(url):
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of each row.
+    """(page_id, url, text, n_chars, cut_by_tree, cut_by_markup) of each row; the last two count blocks.
 
     A null or empty page has an empty text. Without a host a page shares the host ''. Pages are
     read whole, whatever their length. Repeated rows get equal results, and count as pages of
@@ -313,9 +323,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def make():
         def run(cols: dict) -> dict:
-            texts = [main_text(p, frozenset(c or ()), frozenset(w or ())) for p, c, w in zip(cols["html"], cols["cut"], cols["weak"], strict=True)]
-            return {"page_id": cols["page_id"], "url": cols["url"], "text": texts, "n_chars": list(map(len, texts))}
+            got = [chosen(p, frozenset(c or ()), frozenset(w or ())) for p, c, w in zip(cols["html"], cols["cut"], cols["weak"], strict=True)]
+            texts = ["\n".join(x) for x, _, _ in got]
+            return {"page_id": cols["page_id"], "url": cols["url"], "text": texts, "n_chars": list(map(len, texts)), "cut_by_tree": [x[1] for x in got], "cut_by_markup": [x[2] for x in got]}
 
         return run
 
-    return map_slices(joined.select("page_id", "url", "html", "cut", "weak"), "page_id long, url string, text string, n_chars long", make, text="html")
+    return map_slices(joined.select("page_id", "url", "html", "cut", "weak"), "page_id long, url string, text string, n_chars long, cut_by_tree long, cut_by_markup long", make, text="html")
