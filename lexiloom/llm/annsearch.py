@@ -1,9 +1,10 @@
 """Nearest neighbours with one navigable small-world graph a shard.
 
-Distinct vectors are dealt over shards by a hash. Each shard is indexed by a hierarchical
-navigable small-world graph, kept as flat arrays of neighbours in a row of a table. Blocks of
-queries meet every shard's index; what the shards find is merged. Equal vectors are indexed
-once, and stand for their rows when results are counted out.
+Distinct vectors are dealt over shards of a bounded size in bytes by a hash. Each shard is
+indexed by a hierarchical navigable small-world graph, kept as flat arrays of neighbours in a row
+of a table. An index is sent once to a task that holds many blocks of queries against it; what
+the shards find is merged. Equal vectors are indexed once, and stand for their rows when results
+are counted out.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from pyspark.sql import functions as F
 from .arrow import map_slices
 from .scratch import Scratch
 
-#: Vectors in a shard, about; links of a vector above and on the ground level; beams of building and searching.
-SHARD_ROWS, LINKS, BEAM, SEARCH_BEAM, QUERY_BLOCK = 8_192, 14, 64, 96, 512
+#: Vectors and bytes of vectors in a shard, about; links of a vector above and on the ground level; beams of building and searching.
+SHARD_ROWS, SHARD_BYTES, LINKS, BEAM, SEARCH_BEAM = 8_192, 16 << 20, 14, 64, 128
+#: Queries in a block, and blocks that one load of an index serves.
+QUERY_BLOCK, BLOCKS = 256, 64
+#: Vector lengths that are broadcast; beyond it the join is shuffled.
+BROADCAST_DIMS = 10_000
 
 
 class Graph:
@@ -147,7 +152,7 @@ def _store(shard: str, reps: np.ndarray, g: Graph) -> dict:
 
 def _load(row: dict) -> tuple[np.ndarray, Graph]:
     g = Graph.__new__(Graph)
-    reps = np.frombuffer(row["reps"], np.int64)
+    reps = np.frombuffer(row["reps"], np.int64).reshape(-1, 2)
     n = len(reps)
     g.x = np.frombuffer(row["vectors"], np.float64).reshape(n, row["dim"])
     g.level = np.frombuffer(row["level"], np.int64)
@@ -168,65 +173,91 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e")).where("vec_id is not null and e is not null").where(ok).distinct()
 
 
-def build_index(distinct: DataFrame, rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """(rep, e) of distinct vectors -> a row with the graph of each shard, and how many shards a dimension has."""
-    shards = max(1, -(-distinct.count() // rows))
+def shard_counts(distinct: DataFrame, rows: int = SHARD_ROWS) -> DataFrame:
+    """(dim, shards): how many shards the vectors of each length have."""
+    per = F.least(F.lit(rows), F.greatest(F.lit(64), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
+    return distinct.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / per).cast("int").alias("shards"))
+
+
+def build_index(distinct: DataFrame, shards: DataFrame) -> DataFrame:
+    """(rep, h, e) of distinct vectors, h a hash of e, -> a row with the graph of each shard."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
+        pdf = pdf.sort_values(["rep", "h"])
         g = Graph(np.stack([np.asarray(v, np.float64) for v in pdf["e"]])).build()
-        return pd.DataFrame([_store(pdf["shard"].iloc[0], pdf["rep"].to_numpy(), g)])
+        return pd.DataFrame([_store(pdf["shard"].iloc[0], pdf[["rep", "h"]].to_numpy(), g)])
 
-    shard = F.concat_ws(":", F.size("e"), F.pmod(F.xxhash64("rep"), F.lit(shards)))
-    return distinct.select("rep", "e", shard.alias("shard")).groupBy("shard").applyInPandas(build, _INDEX), shards
+    dealt = distinct.withColumn("dim", F.size("e")).join(F.broadcast(shards) if shards.count() <= BROADCAST_DIMS else shards, "dim")
+    shard = F.concat_ws(":", "dim", F.pmod(F.xxhash64("rep", "h"), "shards"))
+    return dealt.select("rep", "h", "e", shard.alias("shard")).groupBy("shard").applyInPandas(build, _INDEX)
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): of each row whose vec_id is divisible by ``every`` the ``k`` nearest other rows.
+def _answers(index: DataFrame, asked: DataFrame, k: int, beam: int) -> DataFrame:
+    """Index rows and blocks of queries (shard, lot, asked) -> (q, rep, h, score).
 
-    Euclidean distance in double precision; nearest first, ties to the smaller vec_id. Rows
-    whose vector is null, empty, zero or has a null or non-finite component take no part; nor
-    do rows without vec_id. Rows with the query's own vec_id are not its candidates; repeated
-    rows count once. Vectors of different lengths are not compared.
+    An index goes to each lot of its shard, and comes before the queries there.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "ann")
-    rows = scratch.save(_valid(vectors))
-    # Of rows with one vector the first k + 1 are enough: at most one of them is the query itself.
-    w = Window.partitionBy("e").orderBy("vec_id")
-    firsts = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
-    members = scratch.save(firsts.withColumn("rep", F.min("vec_id").over(Window.partitionBy("e"))))
-    index, shards = build_index(members.where("n = 1").select("rep", "e"), shard_rows)
-    index = scratch.save(index)
-
-    queries = scratch.save(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), "e", F.size("e").alias("dim")))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = (
-        queries.groupBy("dim", F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"))
-        .agg(F.collect_list(F.struct("q", "e")).alias("asked"))
-        .select("asked", F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.concat_ws(":", "dim", s))).alias("shard"))
-    )
+    names = [f.name for f in index.schema if f.name != "shard"]
+    none = [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in names]
+    lots = asked.select("shard", "lot").distinct()
+    first = index.join(lots, "shard").select("shard", "lot", *names, F.lit(None).cast(asked.schema["asked"].dataType).alias("asked"))
+    rows = first.unionByName(asked.select("shard", "lot", *none, "asked"))
+    rows = rows.repartition("shard", "lot").sortWithinPartitions("shard", "lot", F.col("entry").asc_nulls_last())
 
     def make():
-        loaded: list = [None, None]
+        loaded: list = [None, None, None]
 
         def run(cols: dict) -> dict:
-            out: dict[str, list] = {"q": [], "rep": [], "score": []}
+            out: dict[str, list] = {"q": [], "rep": [], "h": [], "score": []}
             for i, shard in enumerate(cols["shard"]):
+                if cols["entry"][i] is not None:
+                    loaded[:] = [shard, *_load({c: v[i] for c, v in cols.items()})]
+                    continue
                 if loaded[0] != shard:
-                    loaded[:] = [shard, _load({c: v[i] for c, v in cols.items()})]
-                reps, g = loaded[1]
+                    raise RuntimeError("queries came before their index")
+                _, reps, g = loaded
                 for a in cols["asked"][i]:
                     for d, j in g.search(np.array(a["e"]), k + 1, beam):
                         out["q"].append(a["q"])
-                        out["rep"].append(int(reps[j]))
+                        out["rep"].append(int(reps[j, 0]))
+                        out["h"].append(int(reps[j, 1]))
                         out["score"].append(float(np.sqrt(d)))
             return out
 
         return run
 
-    found = map_slices(index.join(asked, "shard"), "q long, rep long, score double", make, text="vectors", chars=8_000_000)
-    near = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "rep"))).where(F.col("n") <= k + 1).drop("n")
-    hits = near.join(members.select("rep", "vec_id"), "rep").where("vec_id <> q")
+    return map_slices(rows, "q long, rep long, h long, score double", make, text="vectors", chars=8_000_000)
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
+    """(query_id, rank, vec_id, score): of each row whose vec_id is divisible by ``every`` the ``k`` nearest other rows.
+
+    Euclidean distance in double precision; nearest first, ties to the smaller vec_id. Rows
+    whose vector is null, empty, zero or has a null or non-finite component take no part; nor
+    do rows without vec_id. Rows with the query's own vec_id are not its candidates; rows that
+    share a vec_id count as one, at the smallest distance of their vectors to any the query has. Vectors of different lengths are not
+    compared; long ones make smaller shards. An empty table gives an empty one; other columns
+    are not read.
+    """
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "ann")
+    rows = scratch.save(_valid(vectors))
+    # Of rows with one vector the first k + 1 are enough: at most one of them is the query itself.
+    w = Window.partitionBy("e").orderBy("vec_id")
+    firsts = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
+    members = scratch.save(firsts.withColumns({"rep": F.min("vec_id").over(Window.partitionBy("e")), "h": F.xxhash64("e")}))
+    distinct = members.where("n = 1").select("rep", "h", "e")
+    shards = scratch.save(shard_counts(distinct, shard_rows))
+    index = scratch.save(build_index(distinct, shards))
+
+    queries = scratch.save(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), "e", F.size("e").alias("dim")))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.groupBy("dim", F.pmod(F.xxhash64("q", "e"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("q", "e")).alias("asked")).join(shards, "dim")
+    asked = asked.select(
+        F.floor(F.col("block") / BLOCKS).alias("lot"), "asked", F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.concat_ws(":", "dim", s))).alias("shard")
+    )
+    found = _answers(index, asked, k, beam)
+    near = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "rep", "h"))).where(F.col("n") <= k + 1).drop("n")
+    hits = near.join(members.select("rep", "h", "vec_id"), ["rep", "h"]).where("vec_id <> q").groupBy("q", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
