@@ -15,10 +15,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_CHARS = 2_000_000
 
 
-#: Rows in a batch that goes to a worker, at most: rows can be long.
-BATCH_ROWS = 2_000
-
-
 def give_back() -> None:
     """Frees what a task held: workers live on, and the next stage needs the memory."""
     gc.collect()
@@ -49,13 +45,12 @@ def slices(batch: pa.RecordBatch, text: str | None, chars: int = SLICE_CHARS) ->
 def map_slices(
     df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[dict], dict]], text: str | None = "text", chars: int = SLICE_CHARS
 ) -> DataFrame:
-    """``mapInArrow`` with ``make()`` called once a task; its result takes and gives columns as lists or arrays."""
+    """``mapInArrow`` with ``make()`` called once a task; its result takes and gives columns as lists or arrays.
+
+    Spark bounds the rows and bytes of a batch; texts of a slice bound the rest.
+    """
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(schema, prefers_large_types=False)
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
-        conf.set(rows, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()

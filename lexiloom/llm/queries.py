@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import annsearch, decontam, htmltext, langid, neardup, pieces, pii, secrets, sharding, urlblock
 
 
@@ -16,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.fit(spark))
+    return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_nearest_neighbours,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op6_decontamination": decontam.ORACLE, "op9_url_filter": urlblock.ORACLE}
