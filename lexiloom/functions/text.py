@@ -104,6 +104,7 @@ def char_seq(s: Column) -> Column:
 def phonetic_key(s: Column, loose: bool = False) -> Column:
     """Spellings that sound alike meet: ordered rewrites, then doubled letters squeezed."""
     x = s
+    # The rewrites and their order.
     steps = [("sch", "s"), ("sh", "s")] if loose else []
     steps += [("ph", "f"), ("x", "ks"), ("ck", "k"), ("c(?!h)", "k"), ("q", "k"), ("w", "v"), ("v", "b"), ("z", "j"), ("([kgcjtdpb])h", "$1")]
     steps += [("ee|ii", "i"), ("oo|uu", "u"), ("aa", "a"), ("y", "i"), (r"(.)\1+", "$1")]
@@ -257,5 +258,14 @@ def written_per_day(s: Column) -> Column:
     return out
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein's distance of any texts: a narrow band first, a wider one only where it does not fit, the whole table last."""
+    out = F.levenshtein(a, b)
+    for most in (4096, 512, 64):
+        near = F.levenshtein(a, b, most)
+        out = F.when(near >= 0, near).otherwise(out)
+    return out
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))

@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import scans
 
 #: Gates of a release.
-GATES = (("mean_recall", 0.90), ("worst_recall", 0.80), ("critical", 0.95), ("consistency", 0.90))
+GATES = (("mean_recall", 0.90), ("worst_recall", 0.80), ("critical", 0.95), ("violations", 0.0), ("consistency", 0.90), ("errors", 0.0))
 
 
 def error_counts(pairs: DataFrame) -> DataFrame:
-    """(…, ref_words, hyp_words) -> with sub, del and ins counts, -1 where a pair is too large to align."""
+    """(…, ref_words, hyp_words) -> with sub, del and ins counts."""
     d = pairs.withColumn("al", scans.alignment("ref_words", "hyp_words"))
-    large = F.size("ref_words").cast("long") * F.size("hyp_words") > scans.ALIGN_CELLS
-    count = lambda op: F.when(large, -1).otherwise(F.size(F.filter("al", lambda x: x["op"] == op)))
+    count = lambda op: F.size(F.filter("al", lambda x: x["op"] == op))
     return d.withColumns({"subs": count("sub"), "dels": count("del"), "inss": count("ins")}).drop("al")
 
 
+def error_rate(errors: Column, reference: Column, heard: Column) -> Column:
+    """Errors for a thousand words; all wrong if there is no reference but something was heard, none if there is neither."""
+    return F.when(reference == 0, F.when(heard > 0, 1000).otherwise(0)).otherwise(F.floor(errors * 1000 / reference)).cast("int")
+
+
 def confusions(aligned: DataFrame, most: int = 15) -> DataFrame:
     """(al) -> the most frequent substitutions."""
     d = aligned.select(F.explode("al").alias("x")).where("x.op = 'sub'").groupBy("x.ref", "x.hyp").agg(F.count("*").alias("n"))
@@ -51,6 +55,47 @@ def violations(forbid: DataFrame, rows: DataFrame) -> DataFrame:
     return f.join(r, on, "left_semi").select("case", "label").distinct()
 
 
+def score_cases(found: DataFrame, broken: DataFrame) -> DataFrame:
+    """Facts (case, fact, critical, hit) and violations (case, label) -> (case, hit, facts, critical_hit, critical, violations)."""
+    own = found.groupBy("case").agg(
+        F.sum(F.col("hit").cast("long")).alias("hit"), F.count("*").alias("facts"), F.sum((F.col("critical") & F.col("hit")).cast("long")).alias("critical_hit"), F.sum(F.col("critical").cast("long")).alias("critical")
+    )
+    bad = broken.groupBy("case").agg(F.count("*").alias("violations"))
+    return own.join(bad, "case", "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
+
+
+def summarise(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores of cases -> by ``keys``: recall in thousandths, mean and least, pooled critical facts, violations."""
+    recall = F.expr("hit * 1000 div greatest(facts, 1)")
+    return scores.groupBy(*keys).agg(
+        F.count("*").alias("cases"), F.sum(recall).alias("recall_sum"), F.min(recall).alias("worst_recall"), F.sum("critical_hit").alias("critical_hit"), F.sum("critical").alias("critical"), F.sum("violations").alias("violations")
+    )
+
+
+def gates(summary: DataFrame) -> DataFrame:
+    """A summary -> with a column for each gate it can tell: passed or not."""
+    at = dict(GATES)
+    return summary.select(
+        "*",
+        ratio_gate(F.col("recall_sum"), F.col("cases") * 1000, at["mean_recall"]).alias("mean_recall_gate"),
+        (F.col("worst_recall") >= int(at["worst_recall"] * 1000)).alias("worst_recall_gate"),
+        ratio_gate(F.col("critical_hit"), F.col("critical"), at["critical"]).alias("critical_gate"),
+        (F.col("violations") <= int(at["violations"])).alias("violations_gate"),
+    )
+
+
+def slices(df: DataFrame, sets: list[list[str]], *measures: Column) -> DataFrame:
+    """Measures for each of several sets of columns, in one pass; ``level`` says which columns a row leaves out."""
+    every = list(dict.fromkeys(c for s in sets for c in s))
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *every).agg(F.grouping_id(*every).cast("int").alias("level"), *measures)
+
+
+def label_counts(df: DataFrame, keys: list[str], predicted: str, truth: str) -> DataFrame:
+    """True and false positives and false negatives by ``keys``."""
+    count = lambda p, q: F.count(F.when((F.col(predicted) == p) & (F.col(truth) == q), 1))
+    return df.groupBy(*keys).agg(count(1, 1).alias("tp"), count(1, 0).alias("fp"), count(0, 1).alias("fn"))
+
+
 def stability(hits: DataFrame, keys: list[str]) -> DataFrame:
     """(…keys, fact, run, hit): facts found in all runs and in any run."""
     per = hits.groupBy(*keys, "fact").agg(F.sum(F.col("hit").cast("int")).alias("n"), F.countDistinct("run").alias("runs"))

@@ -17,26 +17,35 @@ RISKS = ("asthma", "glaucoma", "pregnan", "kidney", "renal", "heart", "diabet",
 
 
 def resolve(items: DataFrame, names: DataFrame) -> DataFrame:
-    """(rid, kb_id, name, category) against ``names`` (id, norm, category, ord): by id, by whole name, by first word; the first in order wins.
+    """(…, kb_id, name, category) against ``names`` (id, norm, category, ord): by id, by whole name, by first word; the first in order wins.
 
-    An id of the wrong category counts as none.
+    An id of the wrong category counts as none. Distinct items are resolved once, and of names
+    and of first words only the first term in order is looked up.
     """
+    first = lambda d, *keys: d.groupBy(*keys).agg(F.min(F.struct("ord", "id")).alias("x"))
+    head = lambda c: F.element_at(F.split(c, " "), 1)
     ids = names.select(F.col("id").alias("i_id"), F.col("category").alias("i_cat")).distinct()
-    by_id = items.join(ids, (F.col("kb_id") == F.col("i_id")) & (F.col("category") == F.col("i_cat"))).select("rid", F.col("i_id").alias("term"), F.lit("id").alias("how"), F.lit(1).alias("p"), F.lit(0).alias("o"))
-    n = names.select(F.col("id").alias("n_id"), F.col("norm").alias("n_norm"), F.col("category").alias("n_cat"), F.col("ord").alias("n_ord"))
-    norm = items.withColumn("norm", X.normalize(F.col("name")))
-    exact = norm.join(n, (F.col("norm") == F.col("n_norm")) & (F.col("category") == F.col("n_cat"))).select("rid", F.col("n_id").alias("term"), F.lit("name").alias("how"), F.lit(2).alias("p"), F.col("n_ord").alias("o"))
-    head = F.element_at(F.split("norm", " "), 1)
-    n_head = F.element_at(F.split("n_norm", " "), 1)
-    heads = norm.where(F.length(head) >= 5).join(n, (head == n_head) & (F.col("category") == F.col("n_cat"))).select("rid", F.col("n_id").alias("term"), F.lit("head").alias("how"), F.lit(3).alias("p"), F.col("n_ord").alias("o"))
-    all_ = by_id.unionByName(exact).unionByName(heads)
-    best = all_.groupBy("rid").agg(F.min(F.struct("p", "o", "term", "how")).alias("x")).select("rid", "x.term", "x.how")
-    return items.join(best, "rid", "left")
-
-
-def risk_checks(medicines: DataFrame, histories: DataFrame) -> DataFrame:
+    n = names.select("id", "norm", F.col("category").alias("n_cat"), "ord")
+    whole = first(n, "norm", "n_cat").select(F.col("norm").alias("w_norm"), F.col("n_cat").alias("w_cat"), F.col("x.id").alias("w_id"))
+    begins = first(n.withColumn("h", head(F.col("norm"))), "h", "n_cat").select("h", F.col("n_cat").alias("h_cat"), F.col("x.id").alias("h_id"))
+    d = items.select("kb_id", "name", "category").distinct().withColumn("_norm", X.normalize(F.col("name")))
+    d = d.join(ids, (F.col("kb_id") == F.col("i_id")) & (F.col("category") == F.col("i_cat")), "left")
+    d = d.join(whole, (F.col("_norm") == F.col("w_norm")) & (F.col("category") == F.col("w_cat")), "left")
+    d = d.join(begins, (head(F.col("_norm")) == F.col("h")) & (F.length("h") >= 5) & (F.col("category") == F.col("h_cat")), "left")
+    how = F.when(F.col("i_id").isNotNull(), "id").when(F.col("w_id").isNotNull(), "name").when(F.col("h_id").isNotNull(), "head")
+    d = d.select(F.col("kb_id").alias("_k"), F.col("name").alias("_n"), F.col("category").alias("_c"), F.coalesce("i_id", "w_id", "h_id").alias("term"), how.alias("how"))
+    same = F.col("kb_id").eqNullSafe(F.col("_k")) & F.col("name").eqNullSafe(F.col("_n")) & F.col("category").eqNullSafe(F.col("_c"))
+    return items.join(d, same, "left").drop("_k", "_n", "_c")
+
+
+def ids_in(record: Column) -> Column:
+    """Every kb_id in a record's JSON, at any depth, once."""
+    return F.array_distinct(F.regexp_extract_all(record, F.lit(r'"kb_id"\s*:\s*"([^"]+)"'), F.lit(1)))
+
+
+def risk_checks(medicines: DataFrame, histories: DataFrame, risks: tuple[str, ...] = RISKS) -> DataFrame:
     """(visit, medicine, caution) and (visit, text): the risk words that stand in both, as rows."""
-    words = lambda c: F.filter(F.array(*[F.lit(r) for r in RISKS]), lambda r: F.contains(F.lower(c), r))
+    words = lambda c: F.filter(F.array(*[F.lit(r) for r in risks]), lambda r: F.contains(F.lower(c), r))
     m = medicines.select("visit", "medicine", F.explode(words(F.col("caution"))).alias("risk"))
     h = histories.select("visit", F.explode(words(F.col("text"))).alias("risk")).distinct()
     return m.join(h, ["visit", "risk"]).select("visit", "medicine", "risk")

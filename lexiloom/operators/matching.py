@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# Words that say nothing about a term.
 STOP = frozenset(
     "a an the and or of to in on at for with is are was were be been it its this that my your i you he she we they me him her them do does did have has had not no yes can cant cannot from by as but so if then than there here what when where which who how very also just like get got one some any all more less much many".split()
 )
@@ -18,10 +19,23 @@ LONGEST, POLICY = 4, {"exact": 1.0, "abbr": 0.9}
 
 
 def ngrams(texts: DataFrame, least: int, most: int) -> DataFrame:
-    """(id, n, i, gram): every window of ``least`` to ``most`` words, without a shuffle."""
-    d = texts.select("id", "toks", F.explode(F.sequence(F.lit(least), F.lit(most))).alias("n")).where(F.size("toks") >= F.col("n"))
-    d = d.select("id", "toks", "n", F.explode(F.sequence(F.lit(0), F.size("toks") - F.col("n"))).alias("i"))
-    return d.select("id", "n", "i", F.array_join(F.slice("toks", F.col("i") + 1, F.col("n")), " ").alias("gram"))
+    """(id, n, i, gram): every window of ``least`` to ``most`` words, without a shuffle.
+
+    Windows are built inside the row, so that no generator copies its words for each of them.
+    """
+
+    def of_length(n: int) -> Column:
+        places = F.when(F.size("toks") >= n, F.sequence(F.lit(0), F.size("toks") - n)).otherwise(F.array().cast("array<int>"))
+        gram = lambda i: F.get("toks", i) if n == 1 else F.array_join(F.slice("toks", i + 1, n), " ")
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), gram(i).alias("gram")))
+
+    return texts.select("id", F.inline(F.concat(*[of_length(n) for n in range(least, most + 1)])))
+
+
+def lines_by_script(texts: DataFrame) -> DataFrame:
+    """(id, text) -> (id, n, pool, line): each line that has something, for the Indic or the Latin vocabulary."""
+    d = texts.select("id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where("line <> ''")
+    return d.select("id", "n", F.when(X.has_indic(F.col("line")), "indic").otherwise("latin").alias("pool"), "line")
 
 
 def forms(terms: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scans
@@ -17,42 +15,12 @@ from ..operators import review
 from ..operators import rules as R
 from ..operators import spans as S
 from ..sources import files, models
-from . import analyze, fixtures
+from . import analyze, fixtures, report_queries, rule_queries, text_queries
 from . import tables as T
+from .registry import ORACLES, QUERIES, plain, query, read, sound_sql, toks
 
 FLAGSHIP = "phrase_exact_match"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-# --- pieces of SQL ---------------------------------------------------------------------------
-
-_PLAIN = r"""trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), '''', ''),
- '([0-9])\.([0-9])', '\1<dot>\2', 'g'), '([a-z0-9])/([a-z0-9])', '\1<sl>\2', 'g'), '([a-z0-9]):([a-z0-9])', '\1<co>\2', 'g'), '[^a-z0-9%+<>]+', ' ', 'g'),
- '<dot>', '.'), '<sl>', '/'), '<co>', ':'), '[<> ]+', ' ', 'g'))"""
-
-
-def plain(col: str) -> str:
-    """normalize_ascii in SQL."""
-    return _PLAIN.format(col)
-
-
-def toks(col: str) -> str:
-    return f"list_filter(string_split({plain(col)}, ' '), lambda x: x <> '')"
+REGISTERED = (report_queries, rule_queries, text_queries)  # they register their queries when they are imported
 
 
 def docs_toks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,12 +157,13 @@ def quality_score_tier(spark, sf_dir):
 
 
 def bench_phrases(spark, sf_dir, n: int = 4) -> DataFrame:
-    b = read(spark, sf_dir, "benchmark").select("item_id", X.words(X.normalize_ascii(F.col("text"))).alias("t")).where(F.size("t") >= n)
-    return b.select(F.col("item_id").alias("term"), F.array_join(F.slice("t", 1, n), " ").alias("norm"), F.lit(n).alias("n"))
+    """Every run of ``n`` words of every item, once an item."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), X.words(X.normalize_ascii(F.col("text"))).alias("toks"))
+    return M.ngrams(b, n, n).select(F.col("id").alias("term"), F.col("gram").alias("norm"), "n").distinct()
 
 
 @query(f"""
-with {DT}, p as (select item_id, array_to_string(t[1:4], ' ') as norm from (select item_id, {toks('text')} as t from benchmark) where len(t) >= 4),
+with {DT}, b as (select item_id, t, unnest(range(0, len(t) - 3)) as i from (select item_id, {toks('text')} as t from benchmark)), p as (select distinct item_id, {gram(4, 't')} as norm from b),
 g as (select id, {gram(4)} as gram from (select id, toks, unnest(range(0, len(toks) - 3)) as i from dt))
 select id as doc_id, item_id as term, norm, count(*) as n from g join p on g.gram = p.norm group by all""")
 def phrase_exact_match(spark, sf_dir):
@@ -227,20 +196,9 @@ def overlap_coverage(spark, sf_dir):
     return m.select(F.col("id").alias("doc_id"), "term", F.col("k").cast("long").alias("k"), F.col("best").cast("long").alias("best"))
 
 
-def _sound_sql(s: str) -> str:
-    """phonetic_key without look-ahead and back-references."""
-    x = f"replace(replace(replace(replace(replace({s}, 'ph', 'f'), 'x', 'ks'), 'ck', 'k'), 'ch', '#'), 'c', 'k')"
-    x = f"replace(replace(replace(replace(replace(replace({x}, '#', 'ch'), 'q', 'k'), 'w', 'v'), 'v', 'b'), 'z', 'j'), ' ', '')"
-    x = f"regexp_replace({x}, '([kgcjtdpb])h', '\\1', 'g')"
-    x = f"replace(replace(replace(replace(replace(replace({x}, 'ee', 'i'), 'ii', 'i'), 'oo', 'u'), 'uu', 'u'), 'aa', 'a'), 'y', 'i')"
-    for c in "abcdefghijklmnopqrstuvwxyz":
-        x = f"regexp_replace({x}, '{c}+', '{c}', 'g')"
-    return x
-
-
 @query(f"""
 with n as (select distinct {plain('p_name')} as norm from part), j as (select norm, replace(norm, ' ', '') as s, len(string_split(norm, ' ')) as k from n),
-p as (select *, {_sound_sql('s')} as key, case when length(s) >= 12 then 3 when length(s) >= 8 then 2 else 1 end as m from j),
+p as (select *, {sound_sql('s')} as key, case when length(s) >= 12 then 3 when length(s) >= 8 then 2 else 1 end as m from j),
 c as (select a.norm as heard, b.norm as form, a.s as x, b.s as y, b.m, least(levenshtein(a.s, b.s), levenshtein(a.key, b.key)) as d
   from p a join p b on a.norm <> b.norm and length(b.s) >= 6 and b.k <= 4 and abs(length(a.s) - length(b.s)) <= b.m + 2 and a.k between greatest(1, b.k - 1) and least(5, b.k + 2)
     and (a.s[1] = b.s[1] or a.key[1] = b.key[1] or (length(b.s) >= 9 and right(a.s, 3) = right(b.s, 3))))
@@ -254,16 +212,16 @@ def fuzzy_blocked_match(spark, sf_dir):
 
 _SPANS = f"""
 {DT}, bt as (select item_id, {toks('text')} as t from benchmark),
-ph as (select item_id, n, array_to_string(t[n : 2 * n - 1], ' ') as norm from bt, (select unnest([2, 3, 4, 5]) as n) where len(t) >= 2 * n - 1),
-gr as (select id, i, n, array_to_string(toks[i + 1 : i + n], ' ') as gram from (select id, toks, unnest(range(0, len(toks) - 1)) as i from dt), (select unnest([2, 3, 4, 5]) as n) where i + n <= len(toks)),
+ph as (select distinct n, array_to_string(t[i + 1 : i + n], ' ') as norm from (select n, t, unnest(range(0, len(t) - n + 1)) as i from bt, (select unnest([3, 4, 5]) as n))),
+gr as (select id, i, n, array_to_string(toks[i + 1 : i + n], ' ') as gram from (select id, toks, unnest(range(0, len(toks) - 1)) as i from dt), (select unnest([3, 4, 5]) as n) where i + n <= len(toks)),
 sp as (select distinct gr.id, ph.norm, gr.i as s, gr.i + gr.n as e from gr join ph on gr.gram = ph.norm)"""
 
 
 def bench_spans(spark, sf_dir) -> DataFrame:
-    """Spans (id, heard, start, end) of word runs of the benchmark: for n of 2 to 5, its n words from the n-th on."""
-    t = read(spark, sf_dir, "benchmark").select(X.words(X.normalize_ascii(F.col("text"))).alias("t"))
-    ph = t.withColumn("n", F.explode(F.array(*[F.lit(n) for n in (2, 3, 4, 5)]))).where("size(t) >= 2 * n - 1").select("n", F.array_join(F.slice("t", F.col("n"), F.col("n")), " ").alias("heard")).distinct()
-    g = M.ngrams(docs_toks(spark, sf_dir), 2, 5)
+    """Spans (id, heard, start, end) of all runs of 3 to 5 words that some item of the benchmark has."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), X.words(X.normalize_ascii(F.col("text"))).alias("toks"))
+    ph = M.ngrams(b, 3, 5).select(F.col("gram").alias("heard")).distinct()
+    g = M.ngrams(docs_toks(spark, sf_dir), 3, 5)
     return g.join(ph.select("heard"), F.col("gram") == F.col("heard")).select("id", "heard", F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end")).distinct()
 
 
@@ -292,16 +250,17 @@ def candidate_floor_topk(spark, sf_dir):
 
 
 @query(f"""
-with {DT}, b as (select item_id, {toks('text')} as t from benchmark), m as (
-  select dt.id, b.item_id, 100 as score, 1 as ord, dt.toks[1] as w from dt join b on dt.toks[1] = b.t[1] union all select dt.id, b.item_id, 95, 2, dt.toks[2] from dt join b on dt.toks[2] = b.t[1]),
-r as (select *, row_number() over (partition by id, item_id order by score desc, ord) as k from m)
-select id as doc_id, item_id as term, score::double / 100 as score, w as heard from r where k = 1""")
+with {DT}, b as (select distinct item_id, w, min(i) as i from (select item_id, unnest(t[1:5]) as w, unnest(range(0, len(t[1:5]))) as i from (select item_id, {toks('text')} as t from benchmark)) group by all),
+h as (select id, w, count(*) as n from (select id, unnest(toks) as w from dt) group by all), m as (select h.id, b.item_id, b.i, h.n, h.w from h join b using (w)),
+r as (select *, row_number() over (partition by id, item_id order by i) as k, max(n) over (partition by id, item_id) as most from m)
+select id as doc_id, item_id as term, ((100 - 5 * i)::double / 100) as score, w as heard, most as n from r where k = 1""")
 def best_match_per_term(spark, sf_dir):
-    d = docs_toks(spark, sf_dir)
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term"), F.get(X.words(X.normalize_ascii(F.col("text"))), F.lit(0)).alias("w0"))
-    first = d.select("id", F.explode(F.array(*[F.struct(F.get("toks", F.lit(i)).alias("w"), F.lit(s).alias("score"), F.lit(o).alias("ord")) for i, s, o in ((0, 1.0, 1), (1, 0.95, 2))])).alias("x")).select("id", "x.*")
-    m = first.join(b, F.col("w") == F.col("w0")).withColumn("count", F.lit(1))
-    return M.best_per_term(m).select(F.col("id").alias("doc_id"), "term", "score", F.col("w").alias("heard"))
+    """The first five words of an item play its surfaces, the earlier the better; all words of a document are looked at."""
+    toks_ = X.words(X.normalize_ascii(F.col("text")))
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term"), F.posexplode(F.slice(toks_, 1, 5)).alias("ord", "w")).groupBy("term", "w").agg(F.min("ord").alias("ord"))
+    h = docs_toks(spark, sf_dir).select("id", F.explode("toks").alias("w")).groupBy("id", "w").agg(F.count("*").alias("count"))
+    m = h.join(b, "w").withColumn("score", (100 - 5 * F.col("ord")).cast("double") / 100)
+    return M.best_per_term(m).select(F.col("id").alias("doc_id"), "term", "score", F.col("w").alias("heard"), F.col("count").alias("n"))
 
 
 # --- E4, F7, G7: denial and answers ----------------------------------------------------------
@@ -339,36 +298,30 @@ def span_negation_anti(spark, sf_dir):
 @query("""
 select user_id, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) as answer, (count(distinct event_type) > 1) as conflict from events where event_type in ('purchase', 'click') group by user_id""")
 def last_answer_wins(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("event_type in ('purchase', 'click')")
-    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("answer"), (F.countDistinct("event_type") > 1).alias("conflict"))
+    e = read(spark, sf_dir, "events").withColumn("said", F.when(F.col("event_type").isin("purchase", "click"), F.col("event_type")))
+    return R.last_decisive(e, ["user_id"], "said", ["ts", "event_id"])
 
 
 @query(f"""
 with w as (select distinct conv_id, role, unnest({toks('text')}) as w from conversations where role in ('user', 'assistant'))
 select conv_id, count(*) as only_user from w u where role = 'user' and not exists (select 1 from w a where a.role = 'assistant' and a.conv_id = u.conv_id and a.w = u.w) group by conv_id""")
 def doctor_line_exclusion(spark, sf_dir):
-    w = read(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").select("conv_id", "role", F.explode(F.array_distinct(X.words(X.normalize_ascii(F.col("text"))))).alias("w")).distinct()
-    return w.where("role = 'user'").drop("role").join(w.where("role = 'assistant'").drop("role"), ["conv_id", "w"], "left_anti").groupBy("conv_id").agg(F.count("*").alias("only_user"))
+    w = read(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(F.array_distinct(X.words(X.normalize_ascii(F.col("text"))))).alias("w"))
+    return S.said_by_one(w, ["conv_id", "w"], F.col("role") == "user", F.col("role") == "assistant").groupBy("conv_id").agg(F.count("*").alias("only_user"))
 
 
 # --- A10, D11, I6 ----------------------------------------------------------------------------
 
 
 @query("""
-with e as (select *, sum((event_type = 'view')::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as word_id from events)
-select user_id, word_id::bigint as word_id, count(*) as n, min(value) as p from e group by user_id, word_id""")
+with e as (select user_id, event_id, ts, case when event_type = 'view' then ' ' else '' end || event_type as text, value from events where event_type <> 'error'),
+g as (select *, sum((text like ' %')::int) over (partition by user_id order by event_id rows unbounded preceding) as word_id from e)
+select user_id, word_id::bigint as word_id, trim(string_agg(text, '' order by event_id)) as w, round(min(value) * 100)::bigint as p from g group by user_id, word_id""")
 def running_word_groups(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = read(spark, sf_dir, "events").withColumn("word_id", F.sum((F.col("event_type") == "view").cast("int")).over(w))
-    return e.groupBy("user_id", "word_id").agg(F.count("*").alias("n"), F.min("value").alias("p"))
-
-
-@query("""
-with e as (select user_id, floor(value * 100)::bigint as v, length(event_type) as w from events where value is not null)
-select user_id, sum(v * w)::bigint as num, sum(w)::bigint as den, sum(case when v < 1000 then w else 0 end)::bigint as low from e group by user_id""")
-def weighted_confidence(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("value is not null").select("user_id", F.floor(F.col("value") * 100).alias("v"), F.length("event_type").cast("long").alias("w"))
-    return e.groupBy("user_id").agg(F.sum(F.col("v") * F.col("w")).alias("num"), F.sum("w").alias("den"), F.sum(F.when(F.col("v") < 1000, F.col("w")).otherwise(0)).alias("low"))
+    """Events play the tokens of a recording: a view opens a word, an error is a special token."""
+    text = F.when(F.col("event_type") == "error", "[_ERR_]").when(F.col("event_type") == "view", " view").otherwise(F.col("event_type"))
+    t = read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("pos"), text.alias("text"), F.col("value").alias("p"))
+    return files.words_of_tokens(t).select(F.col("id").alias("user_id"), "word_id", "w", F.round(F.col("p") * 100).cast("long").alias("p"))
 
 
 # --- G11 and on: grounding -------------------------------------------------------------------
@@ -376,7 +329,7 @@ def weighted_confidence(spark, sf_dir):
 
 @query(f"""
 with names as (select p_partkey as id, {plain('p_name')} as norm, p_brand as category from part),
-it as (select l_orderkey * 10 + l_linenumber as rid, l_partkey as kb_id, {plain('p_name')} as norm, case when l_linenumber % 3 = 0 then 'Brand#11' else p_brand end as category from lineitem join part on p_partkey = l_partkey),
+it as (select row_number() over () as rid, l_partkey as kb_id, {plain('p_name')} as norm, case when l_linenumber % 3 = 0 then 'Brand#11' else p_brand end as category from lineitem join part on p_partkey = l_partkey),
 c as (select rid, 1 as p, kb_id as term, 'id' as how from it join names on names.id = it.kb_id and names.category = it.category union all
   select rid, 2, names.id, 'name' from it join names on names.norm = it.norm and names.category = it.category union all
   select rid, 3, names.id, 'head' from it join names on string_split(names.norm, ' ')[1] = string_split(it.norm, ' ')[1] and names.category = it.category where length(string_split(it.norm, ' ')[1]) >= 5),
@@ -386,21 +339,24 @@ def id_grounding_cascade(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     names = p.select(F.col("p_partkey").alias("id"), X.normalize_ascii(F.col("p_name")).alias("norm"), F.col("p_brand").alias("category"), F.col("p_partkey").alias("ord"))
     it = read(spark, sf_dir, "lineitem")
-    it = it.join(p, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rid"), F.col("l_partkey").alias("kb_id"), F.col("p_name").alias("name"), F.when(F.col("l_linenumber") % 3 == 0, "Brand#11").otherwise(F.col("p_brand")).alias("category"))
+    it = it.join(p, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_partkey").alias("kb_id"), F.col("p_name").alias("name"), F.when(F.col("l_linenumber") % 3 == 0, "Brand#11").otherwise(F.col("p_brand")).alias("category"))
     r = G.resolve(it, names)
     return r.groupBy(F.coalesce("how", F.lit("none")).alias("how")).agg(F.count("*").alias("n"), F.sum(F.coalesce("term", F.lit(0))).alias("checksum"))
 
 
+_RISK = ("rights", "token", "clown", "public", "version", "license")
+
+
 @query(f"""
-with {DT}, r(risk) as (values {T.values(T.RISK_WORDS)}), h as (select distinct id, unnest(toks) as w from dt), c as (select distinct unnest(toks) as w from dt join labels on labels.doc_id = dt.id where labels.toxic = 1)
-select id as doc_id, risk from h join r on h.w = r.risk where risk in (select w from c)""")
+with r(risk) as (values {T.values(_RISK)}), m as (select item_id, risk from benchmark, r where contains(lower(text || ' clown rights'), risk)),
+h as (select source, risk from documents, r where contains(lower(text), risk) group by all)
+select source, item_id, risk from h join m using (risk) where item_id % 8 = length(source) % 8""")
 def risk_cross_check(spark, sf_dir):
-    d = docs_toks(spark, sf_dir)
-    r = T.table(spark, T.RISK_WORDS, "risk")
-    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    h = d.select("id", F.explode(F.array_distinct("toks")).alias("risk")).join(r, "risk")
-    seen = h.join(toxic, "id", "left_semi").select("risk").distinct()
-    return h.join(seen, "risk", "left_semi").select(F.col("id").alias("doc_id"), "risk")
+    """Benchmark items play the cautions of medicines, dealt to sources; documents of a source its history."""
+    m = read(spark, sf_dir, "benchmark").join(read(spark, sf_dir, "documents").select("source").distinct(), F.col("item_id") % 8 == F.length("source") % 8)
+    m = m.select(F.col("source").alias("visit"), F.col("item_id").alias("medicine"), F.concat("text", F.lit(" clown rights")).alias("caution"))
+    h = read(spark, sf_dir, "documents").select(F.col("source").alias("visit"), "text")
+    return G.risk_checks(m, h, _RISK).select(F.col("visit").alias("source"), F.col("medicine").alias("item_id"), "risk").distinct()
 
 
 _EV = r"""list_filter(string_split_regex(lower({0}), '[\s,।.?!;:()"''“”‘’\-–—/]+'), lambda t: length(t) >= 2)"""
@@ -424,33 +380,44 @@ with k as (select l_orderkey, l_linenumber, case when l_linenumber = 1 then '' e
 r as (select *, row_number() over (partition by l_orderkey, key order by l_linenumber) as n from k) select l_orderkey, l_linenumber, key from r where n = 1 or key = ''""")
 def dedupe_first_wins(spark, sf_dir):
     k = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat_ws("|", "l_returnflag", "l_linestatus")).alias("key"))
-    n = F.row_number().over(Window.partitionBy("l_orderkey", "key").orderBy("l_linenumber"))
-    return k.withColumn("n", n).where("n = 1 or key = ''").drop("n")
+    return R.first_of(k, ["l_orderkey"], "key", "l_linenumber").where("_rank = 1").drop("_rank")
 
 
 def copy_pairs(spark, sf_dir) -> DataFrame:
-    """ASCII documents that begin alike, each against the first of them: (doc_id, ref_id, hyp, ref)."""
-    d = read(spark, sf_dir, "documents").where(F.col("text").rlike(X.ASCII) & (F.length("text") >= 60)).select("doc_id", "text", F.left("text", F.lit(60)).alias("k"))
-    first = d.groupBy("k").agg(F.min("doc_id").alias("ref_id"), F.count("*").alias("n")).where("n > 1")
-    m = d.join(first, "k").where("doc_id <> ref_id").select("doc_id", "ref_id", F.col("text").alias("hyp"))
-    return m.join(d.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("ref")), "ref_id").where("hyp <> ref")
+    """Documents of any language that share the first or the last of their runs of eight words, by spelling, with the first document that does: (doc_id, ref_id, hyp, ref).
 
-
-_COPIES = """
-d as (select doc_id, text, left(text, 60) as k from documents where regexp_full_match(text, '[\\x00-\\x7F]*', 's') and length(text) >= 60),
-f as (select k, min(doc_id) as ref_id from d group by k having count(*) > 1),
-p as (select d.doc_id, f.ref_id, d.text as hyp, r.text as ref from d join f using (k) join d r on r.doc_id = f.ref_id where d.doc_id <> f.ref_id and d.text <> r.text)"""
+    Copies agree in one of the two wherever they were edited, unless they were edited there.
+    """
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.split(F.lower("text"), r"[ \t\n\r]+").alias("t")).where(F.size("t") >= 8)
+    runs = F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " "))
+    k = d.select("doc_id", runs.alias("r")).select("doc_id", F.explode(F.array(F.concat(F.lit("<"), F.array_min("r")), F.concat(F.lit(">"), F.array_max("r")))).alias("k"))
+    first = k.groupBy("k").agg(F.min("doc_id").alias("ref_id"), F.count("*").alias("n")).where("n > 1")
+    pairs = k.join(first, "k").where("doc_id <> ref_id").select("doc_id", "ref_id").distinct()
+    m = pairs.join(d.select("doc_id", F.col("text").alias("hyp")), "doc_id").join(d.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("ref")), "ref_id")
+    return m.where("hyp <> ref")
 
 
-@query(f"with {_COPIES}, c as (select doc_id, ref_id, regexp_replace(lower(hyp), '[^a-z0-9]+', '', 'g') as h, regexp_replace(lower(ref), '[^a-z0-9]+', '', 'g') as r from p) select doc_id, ref_id, levenshtein(h, r)::int as errors, length(r)::int as chars from c")
+_COPIES = """
+d as (select doc_id, text, string_split_regex(lower(text), '[ \\t\\n\\r]+') as t from documents),
+w as (select doc_id, list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i : i + 7], ' ')) as r from d where len(t) >= 8),
+k as (select doc_id, '<' || list_min(r) as k from w union all select doc_id, '>' || list_max(r) from w),
+f as (select k, min(doc_id) as ref_id from k group by k having count(*) > 1),
+p as (select distinct k.doc_id, f.ref_id from k join f using (k) where k.doc_id <> f.ref_id),
+c as (select p.doc_id, p.ref_id, a.text as hyp, b.text as ref from p join d a on a.doc_id = p.doc_id join d b on b.doc_id = p.ref_id where a.text <> b.text)"""
+# DuckDB's distance counts bytes: letters with accents are written as one capital each, of which lower-cased texts have none.
+_ONE_BYTE = "translate({0}, 'áàâäãéèêëíìîïóòôöõúùûüñçßæœ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!&')"
+
+
+@query(f"""with {_COPIES}, s as (select doc_id, ref_id, regexp_replace(lower(hyp), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') as h, regexp_replace(lower(ref), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') as r from c)
+select doc_id, ref_id, levenshtein({_ONE_BYTE.format('h')}, {_ONE_BYTE.format('r')})::int as errors, length(r)::int as chars from s""")
 def cer_chars(spark, sf_dir):
     p = copy_pairs(spark, sf_dir).select("doc_id", "ref_id", X.char_seq(F.col("hyp")).alias("h"), X.char_seq(F.col("ref")).alias("r"))
-    return p.select("doc_id", "ref_id", F.levenshtein("h", "r").alias("errors"), F.length("r").alias("chars"))
+    return p.select("doc_id", "ref_id", X.edit_distance(F.col("h"), F.col("r")).alias("errors"), F.length("r").alias("chars"))
 
 
 @query()
 def wer_words(spark, sf_dir):
-    p = copy_pairs(spark, sf_dir).select("doc_id", "ref_id", X.words(X.normalize_native_ascii(F.col("hyp"))).alias("hyp_words"), X.words(X.normalize_native_ascii(F.col("ref"))).alias("ref_words"))
+    p = copy_pairs(spark, sf_dir).select("doc_id", "ref_id", X.words(X.normalize_native(F.col("hyp"))).alias("hyp_words"), X.words(X.normalize_native(F.col("ref"))).alias("ref_words"))
     c = E.error_counts(p).withColumn("words", F.size("ref_words")).withColumn("distance", scans.word_distance("ref_words", "hyp_words"))
     return c.select("doc_id", "ref_id", "subs", "dels", "inss", "words", "distance")
 
@@ -476,14 +443,12 @@ def fact_recall_gates(spark, sf_dir):
 
 @query(f"with {_HITS} select lang, source, grouping(lang, source)::int as level, count(*) as n, sum(quality)::bigint as good from h group by grouping sets ((lang), (source), ())")
 def slice_grouping_sets(spark, sf_dir):
-    predicted(spark, sf_dir).createOrReplaceTempView("_slices")
-    return spark.sql("select lang, source, cast(grouping_id(lang, source) as int) as level, count(*) as n, sum(quality) as good from _slices group by grouping sets ((lang), (source), ())")
+    return E.slices(predicted(spark, sf_dir), [["lang"], ["source"], []], F.count("*").alias("n"), F.sum("quality").alias("good")).select("lang", "source", "level", "n", "good")
 
 
 @query(f"with {_HITS} select lang, count(*) filter (pred = 1 and quality = 1) as tp, count(*) filter (pred = 1 and quality = 0) as fp, count(*) filter (pred = 0 and quality = 1) as fn from h group by lang")
 def prf_scores(spark, sf_dir):
-    c = lambda p, q: F.count(F.when((F.col("pred") == p) & (F.col("quality") == q), 1))
-    return predicted(spark, sf_dir).groupBy("lang").agg(c(1, 1).alias("tp"), c(1, 0).alias("fp"), c(0, 1).alias("fn"))
+    return E.label_counts(predicted(spark, sf_dir), ["lang"], "pred", "quality")
 
 
 @query("""
@@ -494,42 +459,41 @@ def train_valid_split(spark, sf_dir):
     return E.train_valid(read(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "part")
 
 
-@query(f"""
-with n as (select distinct {plain('p_name')} as w from part), r as (select w, sum(length(w) + 2) over (order by w rows unbounded preceding) as used from n) select w, used::bigint as used from r where used <= 600""")
+@query("""
+with t as (select p_partkey as id, case p_partkey % 3 when 0 then 'medicine' when 1 then 'disease' else 'symptom' end as category, p_name || ' ' || p_brand as name, [upper(left(p_type, 3)), p_type || ' kind', 'x'] as aliases from part),
+w as (select case category when 'medicine' then 0 when 'disease' then 1 else 5 end as c, 0 as o, name as word from t union all
+  select 0, 1, a from (select unnest(aliases) as a from t where category = 'medicine') where regexp_full_match(a, '[A-Z]{2,5}') or length(a) > 5),
+k as (select lower(word) as key, min(struct_pack(o := o, c := c, word := word)) as x from w group by 1),
+r as (select x.word as word, sum(length(x.word) + 2) over (order by x.o, x.c, x.word rows unbounded preceding) as used from k)
+select word, used::bigint as used from r where used <= 600""")
 def hotword_budget(spark, sf_dir):
-    n = read(spark, sf_dir, "part").select(X.normalize_ascii(F.col("p_name")).alias("w")).distinct()
-    w = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)  # over distinct names: a vocabulary
-    return n.withColumn("used", F.sum(F.length("w") + 2).over(w)).where("used <= 600")
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    aliases = F.array(F.upper(F.left("p_type", F.lit(3))), F.concat("p_type", F.lit(" kind")), F.lit("x"))
+    t = p.select(F.col("p_partkey").alias("id"), F.when(k == 0, "medicine").when(k == 1, "disease").otherwise("symptom").alias("category"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), aliases.alias("aliases"))
+    return review.hotwords(t, 600)
 
 
 @query("""
 with e as (select user_id, event_type, count(distinct extract(day from ts) % 2) as runs from events group by user_id, event_type)
 select user_id, count(*) filter (runs = 2) as in_all, count(*) as in_any from e group by user_id""")
 def set_stability(spark, sf_dir):
-    e = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.countDistinct(F.dayofmonth("ts") % 2).alias("runs"))
-    return e.groupBy("user_id").agg(F.count(F.when(F.col("runs") == 2, 1)).alias("in_all"), F.count("*").alias("in_any"))
+    """Odd and even days play two runs, kinds of events the facts found in them."""
+    e = read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("fact"), (F.dayofmonth("ts") % 2).alias("run")).distinct().withColumn("hit", F.lit(True))
+    every = e.select("user_id", "fact").distinct().withColumn("run", F.explode(F.array(F.lit(0), F.lit(1))))
+    return E.stability(every.join(e, ["user_id", "fact", "run"], "left").fillna(False, ["hit"]), ["user_id"])
 
 
 @query("""
-with c as (select c_custkey, any_value(c_mktsegment) as seg, any_value(c_nationkey) as nat, list(distinct o_orderstatus) as terms from customer join orders on o_custkey = c_custkey group by c_custkey),
-a as (select * from c where c_custkey % 40 = 0)
-select c.c_custkey as visit, a.c_custkey as example, 3 + len(list_intersect(c.terms, a.terms)) + (c.nat = a.nat)::int as score from c join a on a.seg = c.seg where a.c_custkey <> c.c_custkey""")
+with c as (select c_custkey, any_value(c_mktsegment) as seg, any_value(c_nationkey) as nat, list_sort(list(distinct o_orderstatus)) as terms from customer join orders on o_custkey = c_custkey group by c_custkey),
+p as (select seg, nat, terms, count(*) as n, min(c_custkey) as id from c group by all)
+select v.id as visit, e.id as example, 3 + len(list_intersect(v.terms, e.terms)) + (v.nat = e.nat)::int as score, v.n as visits, e.n as examples from p v join p e on e.seg = v.seg""")
 def example_similarity(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("visit")).agg(F.collect_set("o_orderstatus").alias("terms"))
-    c = read(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("visit")).select("visit", F.array("c_mktsegment").alias("dx"), "terms", F.col("c_nationkey").alias("language"))
-    s = G.example_scores(c, c.where("visit % 40 = 0").withColumnRenamed("visit", "example"))  # every 40th customer plays an approved record
-    return s.where("visit <> example").withColumn("score", F.col("score").cast("long"))
-
-
-@query("select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title from pages")
-def html_title_extract(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
-
-
-@query("select lang, sum(length(text))::bigint as chars, sum(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')))::bigint as lines from documents group by lang")
-def line_split_counts(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("lang", F.length("text").alias("c"), F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("n"))
-    return d.groupBy("lang").agg(F.sum("c").alias("chars"), F.sum("n").alias("lines"))
+    """Every customer against every other: those with one profile are scored as one, with how many they are."""
+    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("visit")).agg(F.array_sort(F.collect_set("o_orderstatus")).alias("terms"))
+    c = read(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("visit"))
+    p = c.groupBy(F.array("c_mktsegment").alias("dx"), "terms", F.col("c_nationkey").alias("language")).agg(F.min("visit").alias("visit"), F.count("*").alias("n"))
+    s = G.example_scores(p, p.withColumnRenamed("visit", "example")).withColumn("score", F.col("score").cast("long"))
+    return s.join(p.select("visit", F.col("n").alias("visits")), "visit").join(p.select(F.col("visit").alias("example"), F.col("n").alias("examples")), "example")
 
 
 @query("""
@@ -552,13 +516,13 @@ def review_rollup(spark, sf_dir):
 
 @query("select p_brand as category, count(*) as n from part group by p_brand")
 def vocabulary_counts(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n"))
+    return files.vocabulary_counts(read(spark, sf_dir, "part").select(F.col("p_brand").alias("category")))
 
 
 @query("select distinct c_nationkey as k from customer except select distinct s_nationkey from supplier where s_acctbal < 0")
 def denied_minus_affirmed(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("k"))
-    return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).distinct().join(s, "k", "left_anti")
+    return S.only_denied(read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), s, ["k"])
 
 
 # --- rows only: own fixtures -----------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -41,6 +41,14 @@ def read_sheet(spark: SparkSession, path: str, spec: SheetSpec) -> DataFrame:
     return d.withColumn("aliases", F.filter(made, lambda a: (a != F.col("name")) & X.useful_alias(a, F.col("category"))))
 
 
+def cell_text(cell: Column) -> Column:
+    """The text of a cell that came as JSON: of a rich text its runs, of a formula its result, of a link its text, of a date its day; else itself."""
+    runs = F.array_join(F.from_json(F.get_json_object(cell, "$.richText"), "array<struct<text:string>>")["text"], "")
+    day = F.left(F.get_json_object(cell, "$.date"), F.lit(10))
+    got = F.coalesce(F.nullif(runs, F.lit("")), F.get_json_object(cell, "$.result"), F.get_json_object(cell, "$.text"), day)
+    return F.when(cell.startswith("{"), F.coalesce(got, F.lit(""))).otherwise(cell)
+
+
 def build_vocabulary(spark: SparkSession, sheets: dict[str, SheetSpec]) -> DataFrame:
     """All sheets that can be read as one table; a missing file is left out."""
     out = None
@@ -79,7 +87,17 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 def list_audio(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, seconds) of audio files below a folder; seconds as of 16 kHz mono WAV."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return d.where(F.col("path").rlike(AUDIO)).withColumn("seconds", (F.col("length") - 44) / 32000.0)
+    return d.where(F.col("path").rlike(AUDIO)).withColumn("seconds", wav_seconds(F.col("length")))
+
+
+def wav_seconds(length: Column) -> Column:
+    """Seconds of 16 kHz mono WAV from a file's bytes."""
+    return (length - 44) / 32000.0
+
+
+def vocabulary_counts(terms: DataFrame) -> DataFrame:
+    """Terms of each category."""
+    return terms.groupBy("category").agg(F.count("*").alias("n"))
 
 
 def find_references(files: DataFrame) -> DataFrame:

@@ -35,6 +35,39 @@ def record_markdown(items: DataFrame) -> DataFrame:
     return per.groupBy("visit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", text.alias("t")))), lambda s: s["t"]), "\n\n").alias("md"))
 
 
+def quality_markdown(quality: DataFrame) -> DataFrame:
+    """(id, tier, score, warnings: array) -> (id, md): the tier with its score, a bullet for each warning."""
+    head = F.concat(F.lit("**Transcript quality: "), "tier", F.lit("** ("), F.round(F.col("score") * 100).cast("int").cast("string"), F.lit("%)"))
+    return quality.select("id", F.concat_ws("\n", head, F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("- "), w)), "\n")).alias("md"))
+
+
+def report_markdown(gated: DataFrame, key: str) -> DataFrame:
+    """A summary with gates -> (key, line): a table row each, thousandths as per cent, failed gates named."""
+    gates = [c for c in gated.columns if c.endswith("_gate")]
+    failed = F.array_join(F.array_compact(F.array(*[F.when(~F.col(c), F.lit(c.removesuffix("_gate"))) for c in gates])), ", ")
+    recall = F.format_string("%d.%d%%", F.expr("recall_sum div cases div 10").cast("int"), F.expr("recall_sum div cases % 10").cast("int"))
+    cells = F.concat_ws(" | ", F.col(key).cast("string"), F.col("cases").cast("string"), recall, F.col("violations").cast("string"), F.when(failed == "", "passed").otherwise(F.concat(F.lit("failed: "), failed)))
+    return gated.select(key, F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+
+
+def save_approved(records: DataFrame, path: str) -> None:
+    """(visit, language, transcript, prescription, …) appended as JSON, each under an id from the time and its visit."""
+    now = F.current_timestamp()
+    stamped = records.withColumns({"id": F.concat_ws("-", F.date_format(now, "yyyyMMddHHmmss"), F.col("visit").cast("string")), "savedAt": iso_stamp(now)})
+    stamped.write.mode("append").option("ignoreNullFields", True).json(path)
+
+
+def iso_stamp(ts: Column) -> Column:
+    """UTC to the second, as in file names and saved records."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH-mm-ss")
+
+
+def denial_notes(denied: DataFrame) -> DataFrame:
+    """(id, heard, term) -> (id, note): each distinct pair once, in order."""
+    line = F.concat(F.lit("- "), "heard", F.when(F.coalesce("term", F.lit("")) != "", F.concat(F.lit(" ["), "term", F.lit("]"))).otherwise(""))
+    return denied.select("id", line.alias("line")).distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("note"))
+
+
 def diff_markdown(alignment: Column) -> Column:
     """An inline diff: ~~missed~~, **inserted**, ~~said~~ **heard**."""
     return F.array_join(

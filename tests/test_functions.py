@@ -63,6 +63,24 @@ def test_alignment_is_minimal(a, b):
     assert (changes == 0) == (a == b)
 
 
+def test_large_alignments_are_halved(monkeypatch):
+    rng = random.Random(3)
+    for n in (0, 1, 7, 40):
+        a, b = [rng.choice("abc") for _ in range(n)], [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        whole = scans.align(a, b)
+        for cells in (1, 5, 60):
+            monkeypatch.setattr(scans, "ALIGN_CELLS", cells)
+            assert scans.align(a, b) == whole
+        monkeypatch.undo()
+
+
+def test_edit_distance_in_bands(spark):
+    rng = random.Random(4)
+    rows = [("x" * 3 + "".join(rng.choice("ab") for _ in range(rng.randint(0, 200))), "".join(rng.choice("ab") for _ in range(rng.randint(0, 200)))) for _ in range(60)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", text.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == scans.edit_distance(list(r.a), list(r.b)) for r in got)
+
+
 def test_one_word_in_five():
     al = scans.align("the red kite flew home".split(), "the red bite flew home".split())
     assert sum(op != "ok" for op, _, _ in al) / 5 == 0.2
@@ -114,5 +132,11 @@ def test_json():
     assert scans.parse_loose("nothing here") is None
 
 
+def test_compact_records():
+    record = {"a": " x ", "b": "", "c": [{"d": None, "kb_id": "K1"}, {}], "e": {"f": []}}
+    assert scans.compacted(record) == {"a": "x", "c": [{"kb_id": "K1"}]}
+    assert scans.compacted(record, frozenset(("kb_id",))) == {"c": [{"kb_id": "K1"}]}
+
+
 def test_removed_spans():
     assert scans.remove_spans("abcdef", [(1, 3), (2, 4)]) == re.sub("bc", " ", "abcdef")

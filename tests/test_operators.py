@@ -54,6 +54,82 @@ def test_rules(spark):
     assert {"k1", "k2", "k3", "k5", "k7", "k12", "k15", "k16", "k17", "k18", "k21", "k25"} <= told
 
 
+def _terms(spark):
+    rows = [
+        ("MED-001", "medicine", "Moxifloxacin 0.5%", ["Moxi", "moxifloxacin"], ["laal chokh er drop"]),
+        ("MED-002", "medicine", "Timolol", ["timo"], []),
+        ("SYS-001", "systemic", "Diabetes mellitus", ["sugar"], []),
+        ("PRO-001", "procedure", "Yag capsulotomy", ["yag laser"], []),
+        ("PRO-002", "procedure", "Trabeculectomy", [], []),
+        ("SYM-001", "symptom", "Watering", ["tearing", "epiphora"], []),
+        ("SYM-002", "symptom", "Itching", ["itchy eye"], []),
+        ("COU-001", "counselling", "Wash hands often", [], ["হাত ধোবেন"]),
+    ]
+    return spark.createDataFrame([(*r, {}) for r in rows], "id string, category string, name string, aliases array<string>, colloquial array<string>, details map<string,string>")
+
+
+def test_rules_look_things_up(spark):
+    heard = "Patient: my eye is tearing but not itchy. No itchy eye.\nDoctor: any watering? yag laser is advised. The trabeculectomy was done last year. Use moxi and timolol."
+    rows = [
+        ("v1", "medications", 0, "", "moxifloxacin", "RE", "", {}),
+        ("v1", "medications", 1, "MED-002", "MED-002", "RE", "", {}),
+        ("v1", "medications", 2, "", "Prednisolone", "RE", "", {}),
+        ("v1", "history.current_medications", 0, "", "sugar", "", "", {}),
+        ("v1", "history.current_medications", 1, "", "Metformin", "", "", {}),
+        ("v1", "advice", 0, "", "হাত ধোবেন", "", "wash", {}),
+    ]
+    items = spark.createDataFrame(rows, "visit string, section string, idx int, kb_id string, name string, eye string, evidence string, attrs map<string,string>")
+    visits = spark.createDataFrame([("v1", heard)], "visit string, text string")
+    seen = {}
+    for rule in (rules.k1_medicines_heard, rules.k6_procedure_fallback, rules.k8_current_medicines, rules.k9_medicine_ids, rules.k22_advice, rules.k23_symptoms):
+        d = rules.Draft(items, visits, lambda x: x, _terms(spark))
+        rule(d)
+        seen[rule] = {(r.section, r.kb_id, r.name) for r in d.items.where("alive").collect()}
+    assert {n for s, _, n in seen[rules.k1_medicines_heard] if s == "medications"} == {"moxifloxacin", "MED-002"}
+    assert ("medications", "MED-001", "moxifloxacin") in seen[rules.k1_medicines_heard]
+    assert {x for x in seen[rules.k6_procedure_fallback] if x[0] == "procedures"} == {("procedures", "PRO-001", "Yag capsulotomy")}
+    assert {n for s, _, n in seen[rules.k8_current_medicines] if s == "history.current_medications"} == {"Metformin"}
+    assert ("medications", "MED-002", "timo") in seen[rules.k9_medicine_ids]
+    assert ("advice", "", "Wash hands often") in seen[rules.k22_advice]
+    assert {x for x in seen[rules.k23_symptoms] if x[0] == "chief_complaints"} == {("chief_complaints", "SYM-001", "Watering")}
+    plan = d.items._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
+def test_pressures_in_three_languages(spark):
+    rows = [
+        ("eye pressure is right eye 18 and left eye 20 today", (18, 20)),
+        ("চোখের প্রেশার ডান চোখে ১৬, বাম চোখে আঠারো না ১৪", (16, 14)),
+        ("प्रेशर दाहिनी आँख में १७ और बाईं आँख में बारह है", (17, 12)),
+        ("pressure right 18 " + "and so on " * 8 + "left 20", None),
+        ("pressure right 90 left 20", None),
+        ("the right 18 and left 20", None),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = {r.i: r.x and (r.x.RE, r.x.LE) for r in d.select("i", rules.eye_pressures(d.t).alias("x")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab -চল.", max_size=14), max_size=5), st.lists(st.text(alphabet="ab -চল", min_size=1, max_size=4), max_size=4))
+def test_lexicon_hits_are_brute_force(spark, texts, phrases):
+    import re
+
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    lex = spark.createDataFrame([(f"e{i}", p) for i, p in enumerate(phrases)], "entry string, phrase string")
+    got = {(r.id, r.entry, r.start, r.end) for r in spans.lexicon_hits(d, lex).collect()}
+    want = set()
+    for k, p in enumerate(phrases):
+        p = " ".join(re.sub(r"[\s-]+", " ", p).split(" ")).strip(" ")
+        if not re.search(r"\w", p) or not p:
+            continue
+        body = re.escape(p).replace(r"\ ", r"[\s-]").replace(" ", r"[\s-]")
+        indic = re.search("[ঀ-৿]", p)
+        pattern = body if indic else rf"(?<![^\W_]){body}(?![^\W_])"
+        want |= {(i, f"e{k}", m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(pattern, t)}
+    assert got == want
+
+
 def test_analysis(spark):
     got = analyze.analyze(fixtures.visits(spark), fixtures.terms(spark), tables.table(spark, tables.KEYWORDS, "category, key, form"), {"en": tables.FUNCTION_WORDS["en"]})
     tiers = {r.id: r.tier for r in got.quality.collect()}
@@ -63,6 +139,16 @@ def test_analysis(spark):
     assert {r.phrase for r in got.negations.where("id = 'v1'").collect()} == {"epiphora now and the"}
 
 
+def test_analysis_with_a_lexicon(spark):
+    """Lexicon phrases bring terms in, not from denials, and take false friends out."""
+    rows = [("e1", "moxi floxacin", "MED-001", []), ("e2", "watering", "", ["SYM-001"]), ("e3", "the right eye", "EYE-001", []), ("e4", "epiphora", "SYM-009", [])]
+    lexicon = spark.createDataFrame(rows, "entry string, phrase string, term string, block array<string>")
+    got = analyze.analyze(fixtures.visits(spark).where("visit = 'v1'"), fixtures.terms(spark), tables.table(spark, tables.KEYWORDS, "category, key, form"), {"en": tables.FUNCTION_WORDS["en"]}, lexicon=lexicon)
+    found = {r.term: (r.kind, r.score) for r in got.matches.collect()}
+    assert found["EYE-001"] == ("lexicon", 0.95) and found["MED-001"][1] >= 0.95
+    assert "SYM-001" not in found and "SYM-009" not in found
+
+
 def test_recorded_models(spark):
     words = catalog.QUERIES["recorded_words"](spark, SF).orderBy("word_id").collect()
     assert [(w.w, w.p) for w in words] == [("hello", 0.8), ("world", 0.7)]
@@ -72,6 +158,51 @@ def test_recorded_models(spark):
         models.ask(spark.createDataFrame([("a", "b")], "visit string, prompt string"), "none such")
 
 
+def test_services_over_http(spark):
+    """Recorded answers of a local server: a chat in lines, a speech service, and a failure that a row tells."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            if self.path == "/chat":
+                said = json.loads(body)["messages"][0]["content"]
+                parts = ['{"message":{"content":"{\\"diagnosis\\": [\\""}}', json.dumps({"choices": [{"delta": {"content": said}}]}), 'data: {"choices":[{"delta":{"content":"\\"]}"},"finish_reason":"stop"}]}', "data: [DONE]"]
+                out = "\n".join(parts).encode()
+            elif self.path == "/speech":
+                out = json.dumps({"text": f" {len(body)} bytes ", "segments": [{"text": "abcd", "avg_logprob": 0.0}, {"text": "ab", "avg_logprob": -2.0}]}).encode()
+            else:
+                self.send_error(503)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        models.register_llm("local", models.http_chat(f"{url}/chat", "m"))
+        models.register_llm("down", models.http_chat(f"{url}/none", "m"))
+        prompts = spark.createDataFrame([("v1", "dry eye")], "visit string, prompt string")
+        assert models.ask(prompts, "local").first().json == '{"diagnosis": ["dry eye"]}'
+        assert "503" in models.ask(prompts, "down").first().error
+        models.register_asr("local", models.http_speech(f"{url}/speech"))
+        audio = spark.createDataFrame([("v1", bytearray(32_044))], "visit string, content binary")
+        r = models.transcribe(audio, "local").first()
+        assert r.text == "32044 bytes" and r.seconds == 1.0 and abs(r.low_ratio - 1 / 3) < 1e-9 and 0.6 < r.confidence < 0.8
+    finally:
+        server.shutdown()
+    assert models.pick_model(["b:7", "a:1"], "b") == "b:7" and models.pick_model(["b:7", "a:1"], order=("c", "a")) == "a:1"
+    with pytest.raises(ValueError):
+        models.pick_model(["a"], "z")
+
+
 def test_files(spark, tmp_path: Path):
     (tmp_path / "a.csv").write_text('id,Name,Also,Dose\nM1,Moxifloxacin 0.5%,"MFX, moxi eye drops (H)",4x\n,No id,,\n')
     t = files.read_sheet(spark, str(tmp_path / "a.csv"), files.SheetSpec("medicine", "Name", ("Also",))).collect()
