@@ -156,8 +156,10 @@ def with_known(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def prose(docs: DataFrame) -> list[str]:
     """Beginnings of a bounded number of documents, the first by a hash: contexts of invented findings."""
-    able = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.substring("text", 1, PROSE_CHARS).alias("t")).distinct()
-    return [r.t for r in able.orderBy("h", "t").limit(PROSE_DOCS).collect()]
+    able = docs.where("text is not null").withColumn("_h", F.xxhash64("text"))
+    first = [r[0] for r in able.select("_h").distinct().orderBy("_h").limit(PROSE_DOCS).collect()]
+    texts = able.where(F.col("_h").isin(first)).groupBy("_h").agg(F.min(F.substring("text", 1, PROSE_CHARS)).alias("t")) if first else None
+    return sorted(r.t for r in texts.collect()) if texts is not None else []
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 17, lines: list[str] | None = None) -> list[tuple[str, str, str, str, int]]:

@@ -479,6 +479,16 @@ def test_shuffled_seeds_find_the_same(monkeypatch, spark):
     assert sorted(r.text for r in decontam.keep_clean(docs, bench).collect()) == ["nor here", "nothing of it"]
 
 
+def test_items_of_a_few_words(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "Red kite"), (2, "alone"), (3, "the red kite flew"), (4, ""), (5, None)], "item_id long, text string")
+    docs = make(spark, [(1, "a RED, kite flew", None), (2, "red and kite", None), (3, "left alone", None), (None, "the red kite flew", None), (4, None, None)])
+    found = lambda n: {(r.doc_id, tuple(r.item_ids)) for r in decontam.scan(docs, bench, shortest=n).where("contaminated").collect()}
+    assert found(1) == {(1, (1,)), (3, (2,)), (None, (1, 3))}
+    assert found(2) == {(1, (1,)), (None, (1, 3))} and found(5) == set()
+    kept = decontam.keep_clean(docs.withColumnsRenamed({"th": "leak_doc", "salt": "leak_text"}), bench, shortest=1)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4] and {"leak_doc", "leak_text"} <= set(kept.columns)
+
+
 # --- 7
 
 
@@ -573,6 +583,17 @@ def test_shards(spark, odd, empty):
     assert sharding.shard(empty, 24).count() == 0
 
 
+def test_groups_that_fit_a_shard_are_whole(spark):
+    rows = [(i, f"group {i // 30}" if i < 300 else f"own {i}", None) for i in range(1_000)]
+    got = sharding.shard(make(spark, rows), shards=24).collect()
+    where, count = {}, {}
+    for r in got:
+        count[r.shard] = count.get(r.shard, 0) + 1
+        if r.doc_id < 300:
+            where.setdefault(r.doc_id // 30, set()).add(r.shard)
+    assert all(len(x) == 1 for x in where.values()) and max(count.values()) - min(count.values()) <= 1
+
+
 def test_links_are_gathered_without_free_rows(spark):
     def homes(group):
         got = sharding.shard(make(spark, [(i, f"text {group(i)}", None) for i in range(2_400)]), 24).collect()
@@ -720,6 +741,15 @@ def test_stages_keep_columns_and_clean_documents(spark, odd, empty):
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == {None, 5, 7, 8}
 
 
+def test_texts_of_one_doc_id_all_stay(spark):
+    a, b = " ".join(f"alpha{i}" for i in range(30)), " ".join(f"beta{i}" for i in range(30))
+    rows = [(5, a, "en", "x", 1), (5, a, "de", "y", 2), (5, b, "en", "x", 1), (6, b, "en", "x", 1), (7, "one more text of its own", "en", "x", 1), (None, a, "en", "x", 1), (None, a, "en", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, gone string, again int")
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text, r.lang) for r in got.collect()) == sorted([(0, a, "en"), (0, a, "en"), (5, a, "de"), (5, b, "en"), (7, "one more text of its own", "en")])
+
+
 def test_pipeline_is_its_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
