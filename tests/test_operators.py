@@ -69,7 +69,7 @@ def _terms(spark):
 
 
 def test_rules_look_things_up(spark):
-    heard = "Patient: my eye is tearing but not itchy. No itchy eye.\nDoctor: any watering? yag laser is advised. The trabeculectomy was done last year. Use moxi and timolol."
+    heard = "Patient: my eye is tearing but not itchy. No itchy eye.\nDoctor: any watering? yag laser is advised for the left eye and we will talk about the date. The trabeculectomy was done last year. Use moxi and timolol."
     rows = [
         ("v1", "medications", 0, "", "moxifloxacin", "RE", "", {}),
         ("v1", "medications", 1, "MED-002", "MED-002", "RE", "", {}),
