@@ -7,6 +7,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,6 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_CHARS = 2_000_000
 
 
+#: Rows in a batch that goes to a worker, at most: rows can be long, and a batch is held several times over.
+BATCH_ROWS = 2_000
+
+
 def give_back() -> None:
     """Frees what a task held: workers live on, and the next stage needs the memory."""
     gc.collect()
@@ -32,7 +37,7 @@ def slices(batch: pa.RecordBatch, text: str | None, chars: int = SLICE_CHARS) ->
         return
     texts = batch.column(batch.schema.get_field_index(text))
     start, size = 0, 0
-    lengths = [len(s) if s is not None else 0 for s in texts.cast(pa.binary()).to_pylist()]
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     for i, k in enumerate(lengths):
         if i > start and size + k > chars:
             yield batch.slice(start, i - start).to_pydict()
@@ -47,10 +52,15 @@ def map_slices(
 ) -> DataFrame:
     """``mapInArrow`` with ``make()`` called once a task; its result takes and gives columns as lists or arrays.
 
-    Spark bounds the rows and bytes of a batch; texts of a slice bound the rest.
+    Spark reads the rows of a batch from the session when the result is computed, so the session's
+    setting is lowered to ``BATCH_ROWS`` where it is higher; it is not raised again.
     """
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(schema, prefers_large_types=False)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()

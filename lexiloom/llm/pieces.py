@@ -29,7 +29,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 #: Words whose ids a task remembers, at most, and characters of words that are learned at once.
-MEMORY, LEARN_CHARS = 400_000, 800_000
+MEMORY, LEARN_CHARS = 250_000, 250_000
 #: Words of at most so many characters are contracted together.
 SHORT = 64
 
@@ -190,8 +190,7 @@ class Matcher:
         order, first, last = self.occurrences(text)
         count = last - first
         starts = order[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        which = np.repeat(np.arange(len(count)), count)
-        return starts, self.sizes[which], self.ids[which], begin
+        return starts, np.repeat(self.sizes, count), np.repeat(self.ids, count), begin
 
 
 class _Words(dict):
