@@ -4,8 +4,8 @@ Pages of one host are merged into a tree of branches: a branch is a container (d
 list, table and the like) named by the path of tags and classes above it. For each branch of a
 host, two entropies over its pages say how important it is: content, one minus the mean share
 of pages on which each of its blocks is found again (log c / log m for a block on c of m
-pages), and presentation, the entropy of the sequences of its child tags. Branches with a low
-weighted sum are navigation or boilerplate and are cut from each page, whatever their tags and inside an
+pages), and presentation, the entropy of the sequences of its child tags. Their weighted sum
+counts as far as the branch's text on the host is no link text. Branches of low importance are navigation or boilerplate and are cut from each page, whatever their tags and inside an
 article or main element as well. Weaker evidence (what stands directly in an article or main, or a host of few pages
 that all agree) cuts only where at least as much text is left, as it may be a copy of a page.
 What is left and is a menu, footer, form, script, advert or comment by its tag, role or class is cut as well:
@@ -69,10 +69,11 @@ _UNSAID = frozenset("has with without no is show hide".split())
 class _Open:
     """An open element. ``noise``: the elements about it, itself included, that look like noise."""
 
-    __slots__ = ("tag", "noise", "main", "branch", "tags")
+    __slots__ = ("tag", "noise", "main", "branch", "tags", "mark")
 
-    def __init__(self, tag, noise, main, branch, tags):
+    def __init__(self, tag, noise, main, branch, tags, mark=None):
         self.tag, self.noise, self.main, self.branch, self.tags = tag, noise, main, branch, tags  # main: 0, 1 inside, 2 no branch between
+        self.mark = mark  # where an element within a line that is noise begins: block so far, pieces so far
 
 
 def _class_noise(tag: str, names: str) -> set[str]:
@@ -106,41 +107,46 @@ def _attributes(text: str) -> tuple[str, str, bool]:
     return " ".join(names), role, hidden
 
 
-def blocks(page: str | None) -> list[tuple[str, int, bool, int, str]]:
-    """Blocks of a page in order: text, branch, noise by markup, inside article or main (2: directly), and kids of branches.
+def blocks(page: str | None) -> list[tuple[str, int, bool, int, str, int]]:
+    """Blocks of a page in order: text, branch, noise by markup, inside article or main (2: directly), kids of branches, and characters in links.
 
     Entries with an empty text carry the child tags of a closed branch instead. A form, or an
     element with a class that wrappers bear, is no noise if it holds more than half of what
     else is left of the page and all of its articles.
     """
-    out: list[tuple[str, int, tuple[int, ...], int, str]] = []
+    out: list[tuple[str, int, tuple[int, ...], int, str, int]] = []
     if not page:
         return []
     root = _Open("#", (), 0, xxhash.xxh3_64_intdigest(b"") >> 1, [])
     wraps: list[bool] = []  # of each element that looks like noise, whether it may be a wrapper
     stack, buf = [root], []
     opened: Counter[str] = Counter()
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if buf:
             raw = "".join(buf)
             buf.clear()
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
                 top = stack[-1]
-                out.append((text, top.branch, top.noise, top.main, ""))
+                out.append((text, top.branch, top.noise, top.main, "", min(linked, len(text))))
+        linked = 0
 
     def close(k: int) -> None:
         for x in stack[k:]:
             opened[x.tag] -= 1
             if x.tags is not None:
-                out.append(("", x.branch, x.noise, x.main, " ".join(x.tags)))
+                out.append(("", x.branch, x.noise, x.main, " ".join(x.tags), 0))
         del stack[k:]
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             buf.append(page[at : m.start()])
+            if opened["a"] > 0:
+                linked += len(buf[-1].strip())
         at = m.end()
         tag = m[3] or m[6]
         if not tag:
@@ -159,6 +165,8 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int, str]]:
             if tag in BLOCK:
                 flush()
             if k > 0:
+                if stack[k].mark and stack[k].mark[0] == len(out):
+                    del buf[stack[k].mark[1] :]
                 close(k)
             continue
         if tag in BLOCK:
@@ -199,25 +207,26 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int, str]]:
                         x.tags.append(tag)
                     break
         opened[tag] += 1
+        mark = (len(out), len(buf)) if own and tag not in BLOCK else None
         main = 2 if all(wraps[i] for i in noise) and (tag in CONTENT or role == "main") else min(up.main, 1) if tag in BRANCH else up.main
-        stack.append(_Open(tag, noise, main, branch, tags))
+        stack.append(_Open(tag, noise, main, branch, tags, mark))
     if at < len(page):
         rest = page[at:]
         buf.append(rest if "<" not in rest else re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", rest))
     flush()
     close(1)
     lifted = _wrappers(out, wraps)
-    return [(t, b, any(i not in lifted for i in noise), main, kids) for t, b, noise, main, kids in out]
+    return [(t, b, any(i not in lifted for i in noise), main, kids, links) for t, b, noise, main, kids, links in out]
 
 
-def _wrappers(out: list[tuple[str, int, tuple[int, ...], int, str]], wraps: list[bool]) -> set[int]:
+def _wrappers(out: list[tuple[str, int, tuple[int, ...], int, str, int]], wraps: list[bool]) -> set[int]:
     """Those of the possible wrappers that hold more than half of the text, and all text of articles."""
     if not any(wraps):
         return set()
     size: Counter[int] = Counter()
     article: Counter[int] = Counter()
     total = in_articles = 0
-    for t, _, noise, main, _ in out:
+    for t, _, noise, main, _, _ in out:
         if t and all(wraps[i] for i in noise):
             total += len(t)
             in_articles += len(t) * (main > 0)
@@ -234,7 +243,7 @@ def chosen(page: str | None, cut: frozenset[int] | set[int], weak: frozenset[int
     at least as much text is left. Only what is in an article or main element counts if it is most
     of what is left. A page of which nothing is left keeps its article or main.
     """
-    every = [(t, b, main, noise) for t, b, noise, main, _ in blocks(page) if t]
+    every = [(t, b, main, noise) for t, b, noise, main, *_ in blocks(page) if t]
     own = [x for x in every if not x[3]]
     found = [x for x in own if x[1] not in cut] or [x for x in own if x[2]]
     sure = [x for x in found if x[1] not in weak]
@@ -270,7 +279,11 @@ def site_tree(pages: DataFrame) -> DataFrame:
             seen: Counter[tuple[str, int, int, int]] = Counter()
             for host, page in zip(cols["host"], cols["html"], strict=True):
                 own = set()
-                for text, branch, _, main, tags in blocks(page):
+                for text, branch, _, main, tags, links in blocks(page):
+                    if text:
+                        seen[host, branch, -2, 6] += len(text)
+                        if links:
+                            seen[host, branch, -3, 8] += links
                     own.add((branch, -1, int(main == 2)))  # the page has the branch
                     own.add((branch, _hash(text) if text else _hash("#" + tags), 2 if text else 4))
                 seen.update((host, *x) for x in own)
@@ -280,7 +293,7 @@ def site_tree(pages: DataFrame) -> DataFrame:
         return run
 
     counts = map_slices(pages.select("host", "html"), "host string, branch long, feature long, kind int, n long", make, text="html", chars=8_000_000)
-    # 0 and 1: pages, 2: blocks of text, 4: child tags; 1: the branch is an article or main itself
+    # 0 and 1: pages, 2: blocks of text, 4: child tags, 6: characters, 8: those in links; 1: the branch is an article or main itself
     c = counts.groupBy("host", "branch", "feature", "kind").agg(F.sum("n").alias("n"))
     kind, n = F.expr("kind div 2"), F.col("n").cast("double")
     sums = c.groupBy("host", "branch").agg(
@@ -290,11 +303,12 @@ def site_tree(pages: DataFrame) -> DataFrame:
         F.count(F.when(kind == 1, 1)).alias("n_text"),
         F.sum(F.when(kind == 2, n * F.log(n))).alias("log_tags"),
         F.sum(F.when(kind == 2, n)).alias("n_tags"),
+        (F.coalesce(F.sum(F.when(kind == 4, n)), F.lit(0.0)) / F.greatest(F.coalesce(F.sum(F.when(kind == 3, n)), F.lit(0.0)), F.lit(1.0))).alias("linked"),
     )
     log_m = F.log(F.col("pages").cast("double"))
     content = F.when(F.col("n_text") > 0, 1 - F.col("log_text") / F.col("n_text") / log_m)
     shape = F.when(F.col("n_tags") > 0, (F.log("n_tags") - F.col("log_tags") / F.col("n_tags")) / log_m)
-    importance = F.when(F.col("pages") <= 1, 1.0).otherwise(F.coalesce(CONTENT_WEIGHT * content + (1 - CONTENT_WEIGHT) * F.coalesce(shape, F.lit(0.0)), shape, F.lit(1.0)))
+    importance = F.when(F.col("pages") <= 1, 1.0).otherwise(F.coalesce(CONTENT_WEIGHT * content + (1 - CONTENT_WEIGHT) * F.coalesce(shape, F.lit(0.0)), shape, F.lit(1.0)) * (1 - F.col("linked")))
     return sums.select("host", "branch", "pages", "n_text", "direct", importance.alias("importance"))
 
 

@@ -307,6 +307,7 @@ def test_wrappers_and_teasers_keep_the_text(spark):
         f"<body><div class='b'><p>{story}</p></div><div class='related'><article>Teaser</article></div></body>",
     ):
         assert htmltext.main_text(page, frozenset()) == story, page
+    assert htmltext.main_text(f"<article><p>{story} <span class='share'>Tweet</span>and on <button>Go</button></p></article>", frozenset()) == f"{story} and on"
     sidebar = "<body><article>Short.</article><div class='sidebar'><p>Much longer words beside it</p></div><div class='comments'><article>Me first, and I write a lot</article></div></body>"
     assert htmltext.main_text(sidebar, frozenset()) == "Short."
 
