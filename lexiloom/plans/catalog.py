@@ -350,11 +350,10 @@ _RISK = ("rights", "token", "clown", "public", "version", "license")
 @query(f"""
 with r(risk) as (values {T.values(_RISK)}), m as (select item_id, risk from benchmark, r where contains(lower(text || ' clown rights'), risk)),
 h as (select source, risk from documents, r where contains(lower(text), risk) group by all)
-select source, item_id, risk from h join m using (risk) where item_id % 8 = length(source) % 8""")
+select source, item_id, risk from h join m using (risk) where source = 'src' || (item_id % 20)""")
 def risk_cross_check(spark, sf_dir):
-    """Benchmark items play the cautions of medicines, dealt to sources; documents of a source its history."""
-    m = read(spark, sf_dir, "benchmark").join(read(spark, sf_dir, "documents").select("source").distinct(), F.col("item_id") % 8 == F.length("source") % 8)
-    m = m.select(F.col("source").alias("visit"), F.col("item_id").alias("medicine"), F.concat("text", F.lit(" clown rights")).alias("caution"))
+    """Benchmark items play the cautions of medicines, each of one source; documents of a source its history."""
+    m = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("visit"), F.col("item_id").alias("medicine"), F.concat("text", F.lit(" clown rights")).alias("caution"))
     h = read(spark, sf_dir, "documents").select(F.col("source").alias("visit"), "text")
     return G.risk_checks(m, h, _RISK).select(F.col("visit").alias("source"), F.col("medicine").alias("item_id"), "risk").distinct()
 

@@ -46,22 +46,22 @@ def lexicon_scan(spark, sf_dir):
 
 @query(f"""
 with {_HITS}, top as (select * from hits a where not exists (select 1 from hits b where b.visit = a.visit and b.s <= a.s and b.e >= a.e and b.e - b.s > a.e - a.s)),
-parts as (select p_partkey as id, 'T' || (p_partkey % 16) as code, p_name from part where p_partkey < 16)
+parts as (select 'T' || p_partkey as code, p_name from part)
 select visit, top.entry, phrase, p.term, parts.p_name as name from top join (select distinct entry, term from p) p using (entry) left join parts on parts.code = p.term""")
 def lexicon_to_terms(spark, sf_dir):
     """The longest hits, with the term that their entry names."""
     top = S.longest_wins(_hits(spark, sf_dir).withColumn("ord", F.lit(0)), ["id"])
-    names = read(spark, sf_dir, "part").where("p_partkey < 16").select(F.concat(F.lit("T"), F.col("p_partkey") % 16).alias("id"), F.col("p_name").alias("name"), F.lit("x").alias("category"))
+    names = read(spark, sf_dir, "part").select(F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.lit("x").alias("category"))
     return S.lexicon_terms(top, _lexicon(spark), names).select(F.col("id").alias("visit"), "entry", "phrase", "term", "name")
 
 
 @query("""
-with m as (select l_orderkey as id, l_suppkey as term, max(l_discount) as score, count(*) as n from lineitem where l_linenumber % 2 = 1 group by all), h as (select l_orderkey as id, l_suppkey as term, count(*) as n from lineitem where l_linenumber % 3 = 0 group by all)
+with m as (select l_orderkey as id, l_suppkey as term, max(l_discount) as score, count(*) as n from lineitem where l_linenumber % 2 = 1 group by all), h as (select l_orderkey as id, l_suppkey as term, count(*) as n from lineitem where l_linenumber % 2 = 0 group by all)
 select coalesce(m.id, h.id) as id, coalesce(m.term, h.term) as term, case when h.n is not null then greatest(coalesce(m.score, 0.0), 0.05) else m.score end as score, coalesce(m.n, h.n) as count from m full join h on m.id = h.id and m.term = h.term""")
 def lexicon_upsert(spark, sf_dir):
     ln = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("term"), "l_linenumber", "l_discount")
     m = ln.where("l_linenumber % 2 = 1").groupBy("id", "term").agg(F.max("l_discount").alias("score"), F.count("*").alias("count"))
-    return S.inject_lexicon(m, ln.where("l_linenumber % 3 = 0").select("id", "term", F.lit(1).alias("n")), 0.05)
+    return S.inject_lexicon(m, ln.where("l_linenumber % 2 = 0").select("id", "term", F.lit(1).alias("n")), 0.05)
 
 
 @query("""
@@ -79,12 +79,12 @@ def false_friends(spark, sf_dir):
 
 
 @query("""
-with u as (select c_custkey as id, [split_part(c_name, '#', 2), 'red', case when c_nationkey % 2 = 0 then 'ring' else 'bolt' end] as low from customer where c_nationkey < 12),
+with u as (select c_custkey as id, case when c_nationkey < 12 then [split_part(c_name, '#', 2), 'red', case when c_nationkey % 2 = 0 then 'ring' else 'bolt' end] end as low from customer),
 m as (select p_partkey as part, p_name as heard, p_partkey % 1500 as id from part)
 select part, coalesce(len(list_intersect(string_split(heard, ' '), low)) > 0, false) as uncertain from m left join u using (id)""")
 def uncertain_words(spark, sf_dir):
     low = F.array(F.split_part("c_name", F.lit("#"), F.lit(2)), F.lit("red"), F.when(F.col("c_nationkey") % 2 == 0, "ring").otherwise("bolt"))
-    u = read(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("id"), low.alias("low"))
+    u = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") < 12, low).alias("low"))
     m = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("heard"), (F.col("p_partkey") % 1500).alias("id"))
     return S.flag_uncertain(m, u).select("part", "uncertain")
 
@@ -98,11 +98,11 @@ def denied_matches(spark, sf_dir):
 
 
 @query(f"""
-with k as (select distinct conv_id as id, unnest({toks('text')}) as key from conversations where turn = 0), s as (select item_id as scenario, {toks('text')} as t from benchmark)
+with k as (select distinct conv_id as id, unnest({toks('text')}) as key from conversations), s as (select item_id as scenario, {toks('text')} as t from benchmark)
 select id, scenario, count(*) as score from k join (select distinct scenario, unnest(t) as key from s) using (key) where length(key) >= 3 group by id, scenario""")
 def scenario_similarity(spark, sf_dir):
     words = X.words(X.normalize_ascii(F.col("text")))
-    k = read(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.explode(F.array_distinct(words)).alias("key")).distinct()
+    k = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.explode(F.array_distinct(words)).alias("key")).distinct()
     s = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("scenario"), words.alias("toks"))
     return M.scenario_scores(k, s)
 
