@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annsearch, decontam, htmltext, langid, neardup, pieces, pii, secrets, sharding, urlblock
+from . import annsearch, decontam, hardneg, htmltext, langid, lexsearch, mixing, neardup, pieces, pii, secrets, sharding, urlblock
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annsearch.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_url_filter,
         op10_nearest_neighbours,
+        op11_hard_negatives,
+        op12_lexical_search,
+        op13_source_mix,
     )
 }
-ORACLES: dict[str, str] = {"op6_decontamination": decontam.ORACLE, "op9_url_filter": urlblock.ORACLE}
+ORACLES: dict[str, str] = {"op6_decontamination": decontam.ORACLE, "op9_url_filter": urlblock.ORACLE, "op11_hard_negatives": hardneg.ORACLE, "op12_lexical_search": lexsearch.ORACLE, "op13_source_mix": mixing.ORACLE}
