@@ -170,12 +170,19 @@ def split_aliases(cell: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda p: F.length(p).between(1, 60)))
 
 
+# Words that say nothing alone, though they stand in cells of synonyms.
+GENERIC = (
+    "mild moderate severe early late advanced acute chronic trauma narrow fine flare hole dust shadow secondary primary external internal diode steroid culture membrane elsewhere accurate inaccurate seasonal "
+    "perennial oblique blindness dislocation tomography tractional exudative deprivation endoscopic post-cataract well-centred after-cataract indirect direct distance near right left both before after daily weekly "
+    "monthly redness pain surgery lens drops macula nebula shield trial glasses hospital commercial preparations generic various fortified"
+).split()
+
+
 def useful_alias(alias: Column, category: Column) -> Column:
-    """Whether an alias is specific enough to be looked for."""
-    stop = ["eye", "drop", "drops", "pain", "test", "daily", "tablet", "oral", "topical"]
-    has_space = F.instr(alias, " ") > 0
-    short = alias.rlike("[A-Z]{2}|[0-9]")
-    return ~F.lower(alias).isin(stop) & F.when(category == "medicine", F.length(alias) >= 3).when(has_space, True).when(short, F.length(alias) >= 2).otherwise(F.length(alias) >= 5)
+    """Whether an alias is specific enough to be looked for: no generic word, and long enough for its kind; brackets don't count."""
+    plain = F.trim(F.translate(alias, "()", ""))
+    long = F.when(category == "medicine", F.length(plain) >= 3).when(plain.rlike(r"\s"), True).when(plain.rlike("[A-Z]{2}|[0-9]"), F.length(plain) >= 2).otherwise(F.length(plain) >= 5)
+    return (plain != "") & ~F.lower(plain).isin(GENERIC) & long
 
 
 def name_variants(name: Column) -> Column:

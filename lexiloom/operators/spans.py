@@ -112,10 +112,12 @@ def drop_denied(matches: DataFrame, denied: DataFrame, positive: DataFrame) -> D
 
 
 def drop_false_friends(matches: DataFrame, blocks: DataFrame, explicit: DataFrame) -> DataFrame:
-    """Matches (id, term, heard) that a blocker (id, term, words) names, if a word of 3 letters or more begins alike."""
-    b = blocks.join(explicit, ["id", "term"], "left_anti").select(F.col("id").alias("b_id"), F.col("term").alias("b_term"), F.transform("words", lambda w: F.left(w, F.lit(3))).alias("heads"))
-    mine = F.transform(F.filter(F.split("heard", " "), lambda w: F.length(w) >= 3), lambda w: F.left(w, F.lit(3)))
-    return matches.join(b, (F.col("id") == F.col("b_id")) & (F.col("term") == F.col("b_term")) & F.arrays_overlap(mine, F.col("heads")), "left_anti")
+    """Matches (id, term, heard) that a blocker (id, term, words) names without the term's own hit, if a word of
+    3 letters or more of the one begins with such a word of the other."""
+    b = blocks.join(explicit, ["id", "term"], "left_anti").select(F.col("id").alias("b_id"), F.col("term").alias("b_term"), F.filter("words", lambda w: F.length(w) >= 3).alias("b_words"))
+    mine = F.filter(F.split("heard", " "), lambda w: F.length(w) >= 3)
+    alike = F.exists(mine, lambda w: F.exists("b_words", lambda x: F.startswith(x, w) | F.startswith(w, x)))
+    return matches.join(b, (F.col("id") == F.col("b_id")) & (F.col("term") == F.col("b_term")) & alike, "left_anti")
 
 
 def flag_uncertain(matches: DataFrame, unsure: DataFrame) -> DataFrame:

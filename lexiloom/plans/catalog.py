@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scans
+from ..functions import denials, numbers, scans
 from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import grounding as G
@@ -15,12 +15,12 @@ from ..operators import review
 from ..operators import rules as R
 from ..operators import spans as S
 from ..sources import files, models
-from . import analyze, fixtures, report_queries, rule_queries, text_queries
+from . import analyze, fixtures, report_queries, rule_queries, speech_queries, text_queries
 from . import tables as T
 from .registry import ORACLES, QUERIES, plain, query, read, sound_sql, toks
 
 FLAGSHIP = "phrase_exact_match"
-REGISTERED = (report_queries, rule_queries, text_queries)  # they register their queries when they are imported
+REGISTERED = (report_queries, rule_queries, speech_queries, text_queries)  # they register their queries when they are imported
 
 
 def docs_toks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -532,11 +532,6 @@ def transliterate_indic(spark, sf_dir):
     return T.table(spark, fixtures.NATIVE_WORDS, "word, expected").withColumn("roman", X.transliterate_udf("word"))
 
 
-@query()
-def decode_numbers(spark, sf_dir):
-    return T.table(spark, fixtures.NUMBER_LINES, "line").withColumn("found", scans.find_numbers("line")).withColumn("all_values", scans.all_numbers("line"))
-
-
 @query()
 def align_words(spark, sf_dir):
     d = T.table(spark, fixtures.PAIRS, "ref, hyp")
@@ -553,11 +548,6 @@ def loop_ratio_phrases(spark, sf_dir):
     return docs_toks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.size("toks").alias("words"), scans.loop_words("toks").alias("looped"))
 
 
-@query()
-def negation_indic(spark, sf_dir):
-    return T.table(spark, fixtures.DENIALS, "line").withColumn("spans", scans.negations("line"))
-
-
 @query()
 def record_rules(spark, sf_dir):
     items, _ = R.post_process(*fixtures.draft(spark))

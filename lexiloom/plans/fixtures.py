@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 NATIVE_WORDS = (("मोतियाबिंद", "motiyabind"), ("চোখ লাল", "chokh lal"), ("दिखता", "dikhta"), ("অ্যালার্জি", "alarji"))
-NUMBER_LINES = ("বয়স আটান্ন বছর", "zero point four", "আট দিন আগে", "twenty three and one and a half", "plain words")
 PAIRS = (("the red kite flew home", "the red bite flew home"), ("a b c", "a c"), ("one", "one two"), ("চোখ লাল আছে", "চোখ লাল নেই"))
 ANSWERS = ('{"a": [{"b": 1}, {"c": "cut', '```json\n{"a": 1}\n```', '<think>well</think> {"a": 2} thanks', "nothing", '{"prescription": {"complaints": ["x"]}}')
-DENIALS = ("সুগার প্রেশার নেই", "दिखाई नहीं देता", "अस्थमा नहीं है", "no fever or cough but tired", "sugar nahi")
 PROMPTS = (("v1", 'say ANSWER: {"prescription": {"complaints": ["pain", "redness"]}}'), ("v2", 'ANSWER: {"diagnosis": [{"name": "x"}, {"name": "y'), ("v3", "nothing asked"))
 TOKENS = tuple(("r1", str(i), t, p) for i, (t, p) in enumerate(((" hel", "0.9"), ("lo", "0.8"), ("[_BEG_]", "1.0"), (" wor", "0.7"), ("ld", "0.95"))))
 

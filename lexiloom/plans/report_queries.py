@@ -69,7 +69,7 @@ with m as (select l_orderkey as id, l_partkey as term, p_name as heard, l_linenu
 b as (select distinct l_orderkey as id, l_partkey as term, 'small' as w1, substr(p_name, 1, 4) as w2 from lineitem join part on p_partkey = l_partkey where l_returnflag = 'R'),
 e as (select distinct l_orderkey as id, l_partkey as term from lineitem where l_linestatus = 'O')
 select id, term, n from m where not exists (select 1 from b where b.id = m.id and b.term = m.term and not exists (select 1 from e where e.id = b.id and e.term = b.term)
-  and len(list_intersect(list_transform(list_filter(string_split(m.heard, ' '), lambda w: length(w) >= 3), lambda w: left(w, 3)), [left(b.w1, 3), left(b.w2, 3)])) > 0)""")
+  and exists (select 1 from (select unnest(string_split(m.heard, ' ')) as w), (select unnest([b.w1, b.w2]) as x) where length(w) >= 3 and length(x) >= 3 and (starts_with(x, w) or starts_with(w, x))))""")
 def false_friends(spark, sf_dir):
     ln = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     m = ln.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("term"), F.col("p_name").alias("heard"), F.col("l_linenumber").alias("n"))
@@ -243,18 +243,6 @@ def visit_prompts(spark, sf_dir):
     return sinks.prompts(visits, lines, notes)
 
 
-@query(f"""
-with {scenes.SQL}, t as (select visit, {plain("heard")} as t from visits)
-select visit, case when regexp_matches(t, 'diabet|sugar') then 'named' else 'not' end as state, len(list_filter(string_split(t, ' '), lambda w: w in ('sugar', 'diabetes')))::int as n from t""")
-def systemic_mentions(spark, sf_dir):
-    """Where a condition is spoken of at all, its answer is not 'none'."""
-    _, visits = scenes.draft(spark, sf_dir)
-    names = next(ws for title, _, ws in R.SYSTEMIC if title == "diabetes")
-    answer = R.systemic_answer(F.col("text"), names)
-    n = F.size(F.filter(X.words(X.normalize_ascii(F.col("text"))), lambda w: w.isin("sugar", "diabetes")))
-    return visits.select("visit", F.when(F.coalesce(answer, F.lit("open")) != "none", "named").otherwise("not").alias("state"), n.alias("n"))
-
-
 # --- cells, records, reports --------------------------------------------------------------------
 
 

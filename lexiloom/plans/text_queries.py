@@ -80,14 +80,21 @@ def name_variants(spark, sf_dir):
     return d.select("id", "name", F.explode(X.name_variants(F.col("name"))).alias("variant")).distinct()
 
 
-@query("""
-with c(a, cat) as (select unnest(['eye', 'OCT', 'of', 'k', 'x1', 'drop', 'lens', 'cornea', 'dry eye', 'ab', 'abc']), unnest(['disease', 'disease', 'sign', 'medicine', 'sign', 'medicine', 'sign', 'sign', 'disease', 'medicine', 'medicine']))
-select p_partkey as id, a as alias, lower(a) not in ('eye', 'drop', 'drops', 'pain', 'test', 'daily', 'tablet', 'oral', 'topical') and case when cat = 'medicine' then length(a) >= 3 when contains(a, ' ') then true when regexp_matches(a, '[A-Z]{2}|[0-9]') then length(a) >= 2 else length(a) >= 5 end as useful from part, c""")
+_GENERIC = ", ".join(f"'{w}'" for w in X.GENERIC)
+_CATEGORIES = ("medicine", "disease", "sign", "test")
+
+
+@query(f"""
+with w as (select distinct unnest(string_split_regex(text, '\\s+')) as a from documents), p as (select distinct p_name as a from part union select distinct '(' || p_brand || ')' from part),
+c as (select a, case length(a) % 4 when 0 then 'medicine' when 1 then 'disease' when 2 then 'sign' else 'test' end as category, trim(translate(a, '()', '')) as x from (select a from w union select a from p))
+select a as alias, category, x <> '' and lower(x) not in ({_GENERIC}) and case when category = 'medicine' then length(x) >= 3 when regexp_matches(x, '\\s') then true when regexp_matches(x, '[A-Z]{{2}}|[0-9]') then length(x) >= 2 else length(x) >= 5 end as useful from c""")
 def useful_aliases(spark, sf_dir):
-    pairs = (("eye", "disease"), ("OCT", "disease"), ("of", "sign"), ("k", "medicine"), ("x1", "sign"), ("drop", "medicine"), ("lens", "sign"), ("cornea", "sign"), ("dry eye", "disease"), ("ab", "medicine"), ("abc", "medicine"))
-    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a, c in pairs]))
-    d = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), each.alias("x"))
-    return d.select("id", F.col("x.a").alias("alias"), X.useful_alias(F.col("x.a"), F.col("x.c")).alias("useful"))
+    """Every word of the documents and every name and brand as an alias."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("a"))
+    part = read(spark, sf_dir, "part")
+    a = words.unionByName(part.select(F.col("p_name").alias("a"))).unionByName(part.select(F.concat(F.lit("("), "p_brand", F.lit(")")).alias("a"))).distinct()
+    d = a.select(F.col("a").alias("alias"), F.get(F.array(*map(F.lit, _CATEGORIES)), F.length("a") % 4).alias("category"))
+    return d.withColumn("useful", X.useful_alias(F.col("alias"), F.col("category")))
 
 
 @query("""

@@ -7,8 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexiloom.functions import scans, text
+from lexiloom.functions import denials, numbers, scans, text
+from lexiloom.functions.kinds import words_by_value
 from lexiloom.functions.scripts import transliterate
+from lexiloom.operators import rules
 from lexiloom.plans import fixtures
 
 
@@ -110,20 +112,53 @@ def test_loops(toks):
     assert scans.looped_words(toks) == _loops(toks)
 
 
-def test_numbers():
-    n = scans.Numbers()
-    assert n.find("বয়স আটান্ন বছর") == [("আটান্ন বছর", 58.0)]
-    assert n.find("বিশেষ তিনি") == []
-    assert n.find("একশো আটান্ন") == [("একশো আটান্ন", 158.0)]
-    assert dict(n.find("zero point four"))["zero point four"] == 0.4
-    assert {23.0, 1.5} <= set(n.values("twenty three and one and a half"))
+def _of(spark, f, *lines):
+    """f of each line."""
+    got = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", f(F.col("line")).alias("x")).orderBy("i").collect()
+    return [r.x for r in got]
 
 
-def test_negation():
-    assert [p for p, *_ in scans.find_negations("no vomiting or fever but pain")] == ["vomiting or fever"]
-    assert scans.find_negations("दिखाई नहीं देता") == []
-    assert [p for p, *_ in scans.find_negations("সুগার প্রেশার নেই")] == ["সুগার প্রেশার"]
-    assert scans.find_negations("ছয় বাই নয়") == []
+def test_every_number_word_to_99(spark):
+    for name, unit in (("bn", "বছর"), ("hi", "साल")):
+        table = words_by_value(f"number_words_{name}.txt")
+        assert set(range(100)) <= set(table.values())
+        said = list(table.items())
+        found = _of(spark, numbers.find, *[f"বয়স {w} {unit} হল" for w, _ in said])
+        assert [[(x.heard, x.value) for x in f] for f in found] == [[(f"{w} {unit}", float(n))] for w, n in said]
+        assert _of(spark, numbers.values, *[w for w, _ in said]) == [[float(n)] for _, n in said]
+
+
+def test_numbers(spark):
+    lines = ("বয়স আটান্ন বছর", "বিশেষ তিনি", "একশো আটান্ন", "তিন শো পঁয়ষট্টি", "zero point four", "शून्य दशमलव चार पांच छह", "আটান্নছে", "এক দুই", "দশ দিন, দশ দিন", "ওয়ান পয়েন্ট ফাইভ অ্যাড", None)
+    found = [[(x.heard, x.value) for x in f] for f in _of(spark, numbers.find, *lines)]
+    assert found == [
+        [("আটান্ন বছর", 58.0)], [], [("একশো আটান্ন", 158.0)], [("তিন শো পঁয়ষট্টি", 365.0)], [("zero point four", 0.4)], [("शून्य दशमलव चार पांच", 0.45)], [("আটান্নছে", 58.0)],
+        [], [("দশ দিন", 10.0)], [("ওয়ান পয়েন্ট ফাইভ", 1.5)], [],
+    ]
+    assert _of(spark, numbers.values, "twenty three and one and a half", "১৮ আর ষোলোয় आधा", None) == [[1.0, 1.5, 3.0, 20.0, 23.0], [16.0, 18.0], []]
+
+
+def test_clock(spark):
+    lines = ("at 10:30", "10.45 PM now", "25:10", "সকাল এগারোটায় মাপা", "দুপুর তিনটায়", "रात नौ बजे", "at ten thirty", "at four", "দুপুর বারোটায়", "no time", "বিকেল ৫টায়")
+    assert _of(spark, numbers.clock, *lines) == ["10:30", "10:45 pm", "", "11 am", "3 pm", "9 pm", "10:30", "4:00", "12 am", "", "5 pm"]
+
+
+def test_denials(spark):
+    lines = ("no vomiting or fever but pain", "दिखाई नहीं देता", "সুগার প্রেশার নেই", "ছয় বাই নয়", "জ্বর নয়, কাশি নেই", "I don't have any pain now today", "can't no see", "without but", "शुगर नहीं। बीपी नहीं था", None)
+    got = _of(spark, denials.find, *lines)
+    assert [[x.phrase for x in g] for g in got] == [["vomiting or fever"], [], ["সুগার প্রেশার"], [], ["জ্বর", "কাশি"], ["any pain now"], [], [], ["शुगर", "बीपी"], []]
+    assert all(line[x.start : x.end].split() == x.phrase.split() for line, g in zip(lines, got) for x in g)
+
+
+def test_systemic_answers(spark):
+    lines = (
+        "সুগার আছে", "সুগার প্রেশার নেই", "সুগার, প্রেশার বা থাইরয়েড আছে?\nসুগার আছে", "eye pressure 18", "I am diabetic", "sugar?", "sugar problem", "no sugar\nsugar for five years", "শুগার নাই", "nothing",
+        "has sugar since long\nno sugar",
+    )
+    got = [(x.answer, x.conflict) for x in _of(spark, lambda c: rules.systemic_answer(c, rules.SYSTEMIC[0][2]), *lines)]
+    assert got == [("yes", False), ("no", False), ("yes", False), ("none", False), ("yes", False), ("asked", False), (None, False), ("yes", True), ("no", False), ("none", False), ("no", True)]
+    got = [x.answer for x in _of(spark, lambda c: rules.systemic_answer(c, rules.SYSTEMIC[1][2]), *lines)]
+    assert got == ["none", "no", "asked", "none", "none", "none", "none", "none", "none", "none", "none"]
 
 
 def test_json():
