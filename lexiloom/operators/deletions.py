@@ -1,0 +1,58 @@
+"""An index of deletion neighbourhoods: strings within one, two or three edits meet on equal keys.
+
+Two strings within d edits have a common string that each reaches by leaving out at most d of its
+letters. For one and two edits the keys of a string are all that is left of it so. For three
+the string is halved: one half has one edit at most, so the keys are those of each half for one edit,
+and the other string offers each beginning and end that can be such a half. Keys are 64-bit hashes;
+a pair that meets is a candidate, and none within reach is missed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions.kinds import let
+
+
+def _without_one(s: Column) -> Column:
+    """The string less each of its letters in turn."""
+    places = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.concat(F.left(s, i - 1), F.substr(s, i + 1, F.length(s)))))
+
+
+def within(s: Column, d: int) -> Column:
+    """All strings that are left of ``s`` without up to ``d`` (1 or 2) letters."""
+    if d == 1:
+        return F.concat(F.array(s), _without_one(s))
+    return let(_without_one(s), lambda one: F.array_distinct(F.concat(F.array(s), one, F.flatten(F.transform(one, _without_one)))))
+
+
+def _hashed(kind: str, strings: Column) -> Column:
+    return F.transform(strings, lambda x: F.xxhash64(F.lit(kind), x))
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def index_keys(kind: str, s: Column, d: Column) -> Column:
+    """array<long>: keys of a known string that is to be found within ``d`` edits."""
+    half = F.floor(F.length(s) / 2).cast("int")
+    three = F.concat(_hashed(kind + "3a", within(F.left(s, half), 1)), _hashed(kind + "3b", within(F.substr(s, half + 1, F.length(s)), 1)))
+    return F.when(d == 1, _hashed(kind + "1", within(s, 1))).when(d == 2, _hashed(kind + "2", within(s, 2))).when(d == 3, three).otherwise(_none())
+
+
+def probe_keys(kind: str, s: Column, one: Column, two: Column, three: Column) -> Column:
+    """array<long>: keys of a heard string; each flag says whether known strings looked for within so many edits can be near."""
+    n = F.length(s)
+
+    def ends(tag: str, part, low: Column, high: Column) -> Column:
+        sizes = F.filter(F.sequence(low, high), lambda p: (p >= 0) & (p <= n))
+        return F.flatten(F.transform(sizes, lambda p: _hashed(kind + tag, within(part(p), 1))))
+
+    # A known string has n - 3 to n + 3 letters, half of them rounded down or up, and the half itself one edit.
+    first = ends("3a", lambda p: F.left(s, p), F.floor((n - 3) / 2).cast("int") - 1, F.floor((n + 3) / 2).cast("int") + 1)
+    last = ends("3b", lambda p: F.substr(s, n - p + 1, p), F.ceil((n - 3) / 2).cast("int") - 1, F.ceil((n + 3) / 2).cast("int") + 1)
+    some = F.concat(F.when(one, _hashed(kind + "1", within(s, 1))).otherwise(_none()), F.when(two, _hashed(kind + "2", within(s, 2))).otherwise(_none()), F.when(three, F.concat(first, last)).otherwise(_none()))
+    return F.array_distinct(some)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import deletions
 
 # Words that say nothing about a term.
 STOP = frozenset(
@@ -103,33 +104,49 @@ def max_distance(length: Column) -> Column:
     return F.when(length >= 12, 3).when(length >= 8, 2).otherwise(1)
 
 
+#: Known forms whose keys, some 150 each, are broadcast; beyond it both sides are shuffled by key.
+BROADCAST_FORMS = 10_000
+
+
 def fuzzy_pairs(heard: DataFrame, known: DataFrame) -> DataFrame:
-    """``heard`` (span, s, n_toks) and ``known`` (form, joined, n_toks, is_name) -> pairs within reach, with their distance.
+    """``heard`` (span, s, n_toks[, loose]) and ``known`` (form, joined, n_toks, is_name) -> pairs within reach, with their distance.
 
     A pair must agree in the first letter, in the first letter of the phonetic key, or, from 9
-    letters on, in the last three: three equi-joins. The distance is the smaller of spelling
-    and sound; long words may agree in their consonants instead.
+    letters on, in the last three. The distance is the smaller of spelling and sound, by the loose key where
+    ``loose`` is true; long words may agree in their consonants instead. Pairs meet on the keys of their
+    deletion neighbourhoods, by spelling, sound and consonants: one equi-join, no block of a first letter.
     """
-    h = heard.select(F.col("span").alias("h_span"), F.col("s").alias("h"), F.col("n_toks").alias("h_n")).distinct()
-    h = h.withColumn("hk", X.phonetic_key(F.col("h"))).withColumn("hs", X.skeleton(F.col("hk")))
+    loose = F.coalesce("loose", F.lit(False)) if "loose" in heard.columns else F.lit(False)
+    h = heard.select(F.col("span").alias("h_span"), F.col("s").alias("h"), F.col("n_toks").alias("h_n"), loose.alias("loose")).distinct()
+    h = h.withColumn("hk", F.when(F.col("loose"), X.phonetic_key(F.col("h"), True)).otherwise(X.phonetic_key(F.col("h")))).withColumn("hs", X.skeleton(F.col("hk")))
     k = known.select("form", F.col("joined").alias("j"), F.col("n_toks").alias("j_n"), "is_name")
     k = k.where((F.length("j") >= F.when(F.col("is_name") | (F.col("j_n") > 1), 6).otherwise(7)) & (F.col("j_n") <= 4))
-    k = k.withColumn("jk", X.phonetic_key(F.col("j"))).withColumn("js", X.skeleton(F.col("jk"))).withColumn("d_max", max_distance(F.length("j")))
-    blocks = lambda s, key: F.array_distinct(F.array(F.concat(F.lit("a"), F.left(s, F.lit(1))), F.concat(F.lit("b"), F.left(key, F.lit(1))), F.when(F.length(s) >= 3, F.concat(F.lit("c"), F.right(s, F.lit(3))))))
-    hb = h.withColumn("block", F.explode(F.array_compact(blocks(F.col("h"), F.col("hk")))))
-    kb = k.withColumn("kblock", F.explode(F.array_compact(blocks(F.col("j"), F.col("jk"))))).where((F.left("kblock", F.lit(1)) != "c") | (F.length("j") >= 9))
+    k = k.withColumns({"jk": X.phonetic_key(F.col("j")), "jl": X.phonetic_key(F.col("j"), True), "d_max": max_distance(F.length("j"))}).withColumn("js", X.skeleton(F.col("jk")))
+    k = k.withColumn("s_max", F.when(F.length("js") >= 12, 2).when(F.length("js") >= 7, 1).otherwise(0))
+    # Lengths differ by d_max + 2 at most, so a heard length says which known ones can be near.
+    n, bones = F.length("h"), F.length("hs")
+    small, mid, large = n <= 10, n.between(4, 15), n >= 7
+    probes = [deletions.probe_keys("w", F.col("h"), n <= 8, n.between(6, 13), n >= 9)]
+    probes += [F.when(F.col("loose"), deletions.probe_keys("l", F.col("hk"), small, mid, large)).otherwise(deletions.probe_keys("k", F.col("hk"), small, mid, large))]
+    probes += [deletions.probe_keys("s", F.col("hs"), bones.between(6, 12), bones >= 10, F.lit(False))]
+    size = k.agg(F.count("*").alias("forms"), F.coalesce(F.max(F.length("j")), F.lit(0)).alias("longest")).first()
+    hb = h.where(n.between(3, size.longest + 5)).withColumn("key", F.explode(F.array_distinct(F.concat(*probes))))
+    index = [deletions.index_keys("w", F.col("j"), F.col("d_max")), deletions.index_keys("k", F.col("jk"), F.col("d_max")), deletions.index_keys("l", F.col("jl"), F.col("d_max")), deletions.index_keys("s", F.col("js"), F.col("s_max"))]
+    kb = k.withColumn("key", F.explode(F.array_distinct(F.concat(*index))))
     near = (F.abs(F.length("h") - F.length("j")) <= F.col("d_max") + 2) & F.col("h_n").between(F.greatest(F.lit(1), F.col("j_n") - 1), F.least(F.lit(5), F.col("j_n") + 2))
-    pairs = hb.join(kb, (F.col("block") == F.col("kblock")) & near).drop("block", "kblock").distinct()
-    within = lambda a, b, m: F.levenshtein(F.col(a), F.col(b), m)
+    near &= (F.left("h", F.lit(1)) == F.left("j", F.lit(1))) | (F.left("hk", F.lit(1)) == F.left("jk", F.lit(1))) | ((F.length("j") >= 9) & (F.right("h", F.lit(3)) == F.right("j", F.lit(3))))
+    side = F.broadcast(kb) if size.forms <= BROADCAST_FORMS else kb
+    pairs = hb.join(side, "key").where(near).drop("key").distinct()
+    within = lambda a, b, m: F.levenshtein(F.col(a), b if isinstance(b, Column) else F.col(b), m)
     raw = F.when(within("h", "j", 3) >= 0, within("h", "j", 3)).otherwise(99)
-    sound = F.when(within("hk", "jk", 3) >= 0, within("hk", "jk", 3)).otherwise(99)
+    own = F.when(F.col("loose"), F.col("jl")).otherwise(F.col("jk"))
+    sound = F.when(within("hk", own, 3) >= 0, within("hk", own, 3)).otherwise(99)
     d = pairs.withColumn("d", F.least(raw, sound))
-    s_max = F.when(F.length("js") >= 12, 2).otherwise(1)
     bones = within("hs", "js", 2)
-    d = d.withColumn("rescued", (F.col("d") > F.col("d_max")) & (F.length("js") >= 7) & (bones >= 0) & (bones <= s_max))
+    d = d.withColumn("rescued", (F.col("d") > F.col("d_max")) & (F.col("s_max") > 0) & (bones >= 0) & (bones <= F.col("s_max")))
     d = d.withColumn("d", F.when(F.col("rescued"), F.col("d_max")).otherwise(F.col("d"))).where(F.col("d") <= F.col("d_max"))
     sim = 1 - F.col("d") / F.greatest(F.length("j"), F.length("h")) - F.when((F.col("h_n") != F.col("j_n")) & (F.col("d") > 0), 0.06).otherwise(0.0)
-    return d.select("h_span", "h", "form", "j", "d", "rescued", F.when(F.col("rescued"), F.greatest(sim, F.lit(0.82))).otherwise(sim).alias("sim"))
+    return d.select("h_span", "h", "form", "j", "loose", "d", "rescued", F.when(F.col("rescued"), F.greatest(sim, F.lit(0.82))).otherwise(sim).alias("sim"))
 
 
 def best_per_term(matches: DataFrame) -> DataFrame:

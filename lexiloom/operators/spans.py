@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import denials, intervals
+from ..functions.kinds import let
+
 #: Words that deny what follows, and words that end the denial.
 DENY, CANNOT, END = ("no", "without", "denies", "deny", "denied", "never", "negative"), ("can't", "cant", "cannot", "unable", "couldn't", "couldnt"), ("but", "however", "except")
 
@@ -111,6 +114,26 @@ def drop_denied(matches: DataFrame, denied: DataFrame, positive: DataFrame) -> D
     return matches.join(only_denied(denied, positive, ["id", "term"]), ["id", "term"], "left_anti")
 
 
+def affirmed_and_denied(text: Column) -> Column:
+    """struct<affirmed, denied, spans>: what is left of a text without what it denies, the denied phrases, and where they stand."""
+    text = F.coalesce(text, F.lit(""))
+
+    def of(found: Column) -> Column:
+        phrases = F.array_join(F.transform(found, lambda n: n["phrase"]), " | ")
+        return F.struct(intervals.cut_out(text, found).alias("affirmed"), phrases.alias("denied"), intervals.merged(found).alias("spans"))
+
+    return let(denials.find(text), of)
+
+
+def denied_by_text(matches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Matches (id, term, heard, …) with ``denied``: heard, of three letters or more, is in what the text (id, affirmed, denied: both
+    normalised) denies and nowhere in the rest, and no other match of the term is affirmed."""
+    d = matches.join(texts.select("id", "affirmed", F.col("denied").alias("_no")), "id", "left")
+    only = (F.length("heard") >= 3) & F.contains("_no", "heard") & ~F.contains("affirmed", "heard")
+    d = d.withColumn("_only", F.coalesce(only, F.lit(False))).drop("affirmed", "_no")
+    return d.withColumn("denied", F.min("_only").over(Window.partitionBy("id", "term"))).drop("_only")
+
+
 def drop_false_friends(matches: DataFrame, blocks: DataFrame, explicit: DataFrame) -> DataFrame:
     """Matches (id, term, heard) that a blocker (id, term, words) names without the term's own hit, if a word of
     3 letters or more of the one begins with such a word of the other."""

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexiloom.functions import denials, numbers, scans, text
+from lexiloom.functions import denials, intervals, numbers, scans, text
 from lexiloom.functions.kinds import words_by_value
 from lexiloom.functions.scripts import transliterate
 from lexiloom.operators import rules
@@ -173,5 +173,24 @@ def test_compact_records():
     assert scans.compacted(record, frozenset(("kb_id",))) == {"c": [{"kb_id": "K1"}]}
 
 
-def test_removed_spans():
-    assert scans.remove_spans("abcdef", [(1, 3), (2, 4)]) == re.sub("bc", " ", "abcdef")
+def _cut(text, spans):
+    out, at = "", 0
+    for a, b in sorted(x for x in spans if x[0] < x[1]):
+        if a >= at:
+            out, at = out + text[at:a] + " ", b
+    return out + text[at:]
+
+
+def test_spans_of_a_row(spark):
+    rng = random.Random(7)
+    draw = lambda: [(a, a + rng.randint(0, 6)) for a in (rng.randint(0, 24) for _ in range(rng.randint(0, 5)))]
+    rows = [(i, "abcdefghijklmnopqrstuvwxyz0123", draw(), draw()) for i in range(120)]
+    kind = "array<struct<start:int,end:int>>"
+    d = spark.createDataFrame(rows, f"i int, t string, a {kind}, b {kind}")
+    got = d.select("i", intervals.cut_out(F.col("t"), F.col("a")).alias("cut"), intervals.merged(F.col("a")).alias("m"), intervals.subtracted(F.col("a"), F.col("b"), F.length("t")).alias("s")).collect()
+    places = lambda spans: {p for a, b in spans for p in range(a, b)}
+    for r in got:
+        _, t, a, b = rows[r.i]
+        assert r.cut == _cut(t, a)
+        assert places(r.m) == places(a) and all(x.end < y.start for x, y in zip(r.m, r.m[1:]))
+        assert places(r.s) == places(a) - places(b)

@@ -1,13 +1,16 @@
 """Operators against brute force, plans without nested loops, and queries against SQL."""
 
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lexiloom.functions import text
 from lexiloom.operators import matching, quality, rules, spans
 from lexiloom.plans import analyze, catalog, fixtures, tables
 from lexiloom.sources import files, models
@@ -35,6 +38,52 @@ def test_fuzzy_equals_brute_force_without_nested_loops(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def _within(a, b, most):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1] if row[-1] <= most else 99
+
+
+def test_fuzzy_pairs_are_those_of_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    parts = "ka tor mi ph ex lo pro st in ol ver qu zi cho ra ne oo th w y".split()
+
+    def misheard(s):
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(s) + 1)
+            s = s[:i] + rng.choice(("", "a", "k", "e")) + s[i + rng.randint(0, 1) :]
+        return s
+
+    forms = [(f"f{i}", w, rng.choice((1, 1, 2)), rng.random() < 0.7) for i, w in enumerate(sorted({"".join(rng.choices(parts, k=rng.randint(2, 9))) for _ in range(220)}))]
+    said = sorted({misheard(w) for _, w, _, _ in forms for _ in range(3)} - {""})
+    said = [(w, w, rng.choice((1, 1, 2)), rng.random() < 0.4) for w in said]
+    h, k = spark.createDataFrame(said, "span string, s string, n_toks int, loose boolean"), spark.createDataFrame(forms, "form string, joined string, n_toks int, is_name boolean")
+    keys = lambda c: {r[0]: tuple(r[1:]) for r in c.collect()}
+    strict, free = text.phonetic_key(F.col("s")), text.phonetic_key(F.col("s"), True)
+    of_h = keys(h.withColumn("k", F.when(F.col("loose"), free).otherwise(strict)).select("s", "k", text.skeleton(F.col("k"))))
+    of_k = keys(k.withColumnRenamed("joined", "s").withColumn("k", strict).select("s", "k", free, text.skeleton(F.col("k"))))
+    want = {}
+    for form, j, jn, name in forms:
+        sound, loose_sound, bones = of_k[j]
+        most = 3 if len(j) >= 12 else 2 if len(j) >= 8 else 1
+        for _, a, an, loose in said:
+            hk, hs = of_h[a]
+            able = len(j) >= (6 if name or jn > 1 else 7) and abs(len(a) - len(j)) <= most + 2 and max(1, jn - 1) <= an <= min(5, jn + 2)
+            if able and (a[:1] == j[:1] or hk[:1] == sound[:1] or (len(j) >= 9 and a[-3:] == j[-3:])):
+                d = min(_within(a, j, 3), _within(hk, loose_sound if loose else sound, 3))
+                rescued = d > most and len(bones) >= 7 and _within(hs, bones, 2) <= (2 if len(bones) >= 12 else 1)
+                if rescued or d <= most:
+                    want[a, form, loose] = (most if rescued else d, rescued)
+    assert len(want) > 300 and any(x[1] for x in want.values())
+    for most in (matching.BROADCAST_FORMS, 0):  # broadcast, and shuffled by key
+        monkeypatch.setattr(matching, "BROADCAST_FORMS", most)
+        assert {(r.h_span, r.form, r.loose): (r.d, r.rescued) for r in matching.fuzzy_pairs(h, k).collect()} == want
+
+
 def test_loop_and_tiers(spark):
     d = spark.createDataFrame([(["x"] * 60, 0.8), (["a", "b"] * 5, 0.3)], "t array<string>, s double")
     r = d.select(quality.unigram_loop(d.t).alias("n"), quality.tier_of(d.s).alias("t")).collect()
