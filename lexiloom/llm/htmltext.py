@@ -1,7 +1,7 @@
 """Main text of web pages with a site style tree.
 
 Pages of one host are merged into a tree of branches: a branch is a container (div, section,
-list, table and the like) named by the path of tags and classes above it. For each branch of a
+list, table and the like) named by the path of tags and classes above it, without ids and page numbers. For each branch of a
 host, two entropies over its pages say how important it is: content, one minus the mean share
 of pages on which each of its blocks is found again (log c / log m for a block on c of m
 pages), and presentation, the entropy of the sequences of its child tags. Their weighted sum
@@ -64,6 +64,13 @@ WRAPPED = frozenset("sidebar nav navbar navigation menu header masthead footer b
 #: Elements of running text: of their classes only whole names count.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption a abbr b cite code em i mark q s small span strong sub sup time u".split())
 _UNSAID = frozenset("has with without no is show hide".split())
+#: Words of layout: a name of noise words and of these alone is noise; any other word in it (share-price, comment-on-law) says that it isn't.
+LAYOUT = frozenset(
+    "area bar block box bottom btn button buttons cell col column container content desktop element fixed form global group head holder icon icons inner item items left link links list main mini mobile module outer page "
+    "panel posts primary right row secondary section site slot small sticky sub tags title top unit wrap wrapper zone".split()
+)
+#: Digits that number pages or posts in a name.
+_NUMBERED = re.compile(r"[0-9]{2,}")
 
 
 class _Open:
@@ -77,25 +84,33 @@ class _Open:
 
 
 def _class_noise(tag: str, names: str) -> set[str]:
-    """The noise words among an element's classes and id."""
+    """The noise words of those classes and ids that consist of noise words, words of layout and numbers."""
     out: set[str] = set()
     for name in names.split():
         words = [w.lower() for w in _CAMEL.split(name) if w]
         if not words or words[0] in _UNSAID or tag in PROSE and len(words) > 1:
             continue
-        out.update(NOISE_WORDS.intersection(words))
+        if all(w in NOISE_WORDS or w in LAYOUT or w.isdigit() for w in words):
+            out.update(NOISE_WORDS.intersection(words))
     return out
 
 
-def _attributes(text: str) -> tuple[str, str, bool]:
-    """Class and id as one string, the role, and whether the element is hidden."""
+def _style(tag: str, classes: str) -> str:
+    """An element's name in the tree: no id, no class of the page as a whole, and no number of a page or post."""
+    return tag if not classes or tag in ("html", "body") else f"{tag}.{_NUMBERED.sub('#', classes)}"
+
+
+def _attributes(text: str) -> tuple[str, str, str, bool]:
+    """Classes, the id, the role, and whether the element is hidden."""
     if not text or text.isspace():
-        return "", "", False
-    names, role, hidden = [], "", False
+        return "", "", "", False
+    classes, ident, role, hidden = "", "", "", False
     for m in _ATTR.finditer(text):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id"):
-            names.append(value)
+        if key == "class":
+            classes = value
+        elif key == "id":
+            ident = value
         elif key == "role":
             role = value.lower().strip()
         elif key == "hidden":
@@ -104,7 +119,7 @@ def _attributes(text: str) -> tuple[str, str, bool]:
             hidden = hidden or value.lower() == "true"
         else:
             hidden = hidden or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
-    return " ".join(names), role, hidden
+    return classes, ident, role, hidden
 
 
 def blocks(page: str | None) -> list[tuple[str, int, bool, int, str, int]]:
@@ -184,7 +199,8 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int, str, int]]:
         if tag in VOID:
             continue
         up = stack[-1]
-        names, role, hidden = _attributes(m[4] or m[7] or "")
+        classes, ident, role, hidden = _attributes(m[4] or m[7] or "")
+        names = f"{classes} {ident}".strip()
         own, wrap = hidden or role in NOISE_ROLES, False
         if not own and tag in NOISE_TAGS:
             own = not (tag in ("header", "label", "fieldset") and up.main)
@@ -199,7 +215,7 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int, str, int]]:
             wraps.append(wrap)
         branch, tags = up.branch, None
         if tag in BRANCH:
-            branch = xxhash.xxh3_64_intdigest(f"{up.branch}/{tag}.{names}".encode("utf-8", "replace")) >> 1
+            branch = xxhash.xxh3_64_intdigest(f"{up.branch}/{_style(tag, classes)}".encode("utf-8", "replace")) >> 1
             tags = []
             for x in reversed(stack):
                 if x.tags is not None:
@@ -319,7 +335,7 @@ def host_of(url):
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, cut_by_tree, cut_by_markup) of each row; the last two count blocks.
 
-    A null or empty page has an empty text. Without a host a page shares the host ''. Pages are
+    A null or empty page has an empty text. Where equally much text is left with and without what weak evidence would cut, it is cut. Without a host a page shares the host ''. Pages are
     read whole, whatever their length. Repeated rows get equal results, and count as pages of
     their host. An empty table gives an empty one; other columns are not read.
     """

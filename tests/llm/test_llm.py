@@ -1,14 +1,17 @@
 """Each operator and pipeline stage against brute force, and over nulls, empty, long, tied and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexiloom.llm import annsearch, decontam, htmltext, langid, neardup, pieces, pii, queries, secrets, sharding, trees, urlblock
@@ -312,6 +315,69 @@ def test_wrappers_and_teasers_keep_the_text(spark):
     assert htmltext.main_text(sidebar, frozenset()) == "Short."
 
 
+def test_names_of_articles_are_no_noise():
+    for name in ("share-price", "comment-on-law", "ad-hoc-notes", "related-work", "navShares", "menu-of-the-day"):
+        for attribute in ("class", "id"):
+            page = f"<body><article><div {attribute}='{name}'><p>The first part of it</p></div><p>Body</p></article></body>"
+            assert htmltext.main_text(page, frozenset()) == "The first part of it\nBody", name
+    for name in ("share-buttons", "comment-list", "ad-slot-12", "relatedPosts", "newsletter signup", "comments"):
+        page = f"<body><article><p>Body</p><div class='{name}'>Other things</div></article></body>"
+        assert htmltext.main_text(page, frozenset()) == "Body", name
+
+
+def test_the_tree_decides_pages_without_hints(spark):
+    """A made site: nothing says what a branch is but what the host's pages share; each page has ids and classes of its own."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("aeioulrstn", k=rng.randint(3, 8)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    menu, offers, small = [say(3) for _ in range(6)], [say(5) for _ in range(3)], say(12)
+    pages, want = [], {}
+    for i in range(60):
+        own = [say(30) for _ in range(4)]
+        items = "".join(f"<li>{x}</li>" for x in menu)
+        body = f"<div class='k1'><ul>{items}</ul></div><section class='k2' id='s{i}'><div class='t post-{100 + i}'>{''.join(f'<p>{x}</p>' for x in own)}</div><div class='k3'>{rng.choice(offers)}</div></section><div class='k4'>{small}</div>"
+        pages.append((i, f"https://made.example/{i}", f"<html class='v{i}'><body id='page-{i}' class='post postid-{i}'>{body}</body></html>"))
+        want[i] = "\n".join(own)
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.extract(d).collect()} == want
+    without = [htmltext.main_text(h, frozenset()) for _, _, h in pages]
+    assert all(text != want[i] for i, text in enumerate(without))
+
+
+def test_importance_is_that_of_both_entropies(spark):
+    rng = random.Random(3)
+    shapes = ("<ul><li>x</li></ul>", "<div class='in'>in</div>", "")
+    rows = []
+    for i in range(40):
+        parts = [f"<div class='a'>{rng.choice(['one', 'two', 'three', f'own {i}'])}{rng.choice(shapes)}</div>", f"<div class='b'><a href='/'>{rng.choice(['go', 'to', 'there'])}</a> text {i % 5}</div>", "<section>same</section>" * (i % 4 > 0)]
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<body>{''.join(parts)}</body>"))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", htmltext.host_of(F.col("url")))
+    got = {(r.host, r.branch): (r.pages, r.importance) for r in htmltext.site_tree(d).collect()}
+    of: dict = {}  # host and branch: what each page has there
+    for i, url, page in rows:
+        here: dict = {}
+        for text, branch, _, _, kids, links in htmltext.blocks(page):
+            x = here.setdefault(branch, (set(), set(), [0, 0]))
+            (x[0] if text else x[1]).add(text or kids)
+            x[2][0] += links
+            x[2][1] += len(text)
+        for branch, x in here.items():
+            of.setdefault((url.split("/")[2], branch), []).append(x)
+    want = {}
+    for key, on in of.items():
+        m = len(on)
+        texts, tags = (Counter(t for x in on for t in x[k]) for k in (0, 1))
+        content = 1 - sum(math.log(c) for c in texts.values()) / len(texts) / math.log(m) if texts and m > 1 else None
+        n = sum(tags.values())
+        shape = -sum(c / n * math.log(c / n) for c in tags.values()) / math.log(m) if n and m > 1 else None
+        both = shape if content is None else htmltext.CONTENT_WEIGHT * content + (1 - htmltext.CONTENT_WEIGHT) * (shape or 0.0)
+        links, chars = sum(x[2][0] for x in on), sum(x[2][1] for x in on)
+        want[key] = (m, 1.0 if m == 1 or both is None else both * (1 - links / max(1, chars)))
+    assert got.keys() == want.keys() and len({round(x, 3) for _, x in want.values()}) > 6
+    for key, (m, importance) in want.items():
+        assert got[key][0] == m and got[key][1] == pytest.approx(importance, abs=1e-9)
+
+
 def test_tree_cuts_blocks_of_the_registered_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = htmltext.extract(pages).selectExpr("sum(cut_by_tree) as tree", "sum(cut_by_markup) as markup").first()
