@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .kinds import let
 from .scripts import INDIC, transliterate
 
 ASCII = r"^[\x00-\x7F]*$"
@@ -222,26 +223,29 @@ def is_looping(s: Column) -> Column:
     return (F.length(s) >= 1500) & (again(40) | again(80) | again(160))
 
 
-def chunk_text(s: str, most: int = 1400) -> list[str]:
-    """Sentences packed up to ``most`` characters; a stretch without ends that is far too long is cut after 180 words."""
-    out, now = [], ""
-    for part in re.split(r"(?<=[.?!।॥\n])\s+", s.strip()):
-        if now and len(now) + 1 + len(part) > most:
-            out.append(now)
-            now = part
-        else:
-            now = f"{now} {part}" if now else part
-    out += [now] if now else []
-    cut = []
-    for c in out:
-        ws = c.split()
-        cut += [c] if len(c) <= most * 3 // 2 else [" ".join(ws[i : i + 180]) for i in range(0, len(ws), 180)]
-    return cut
+#: Characters of a chunk, how far beyond it a sentence may go, and words of a piece of a longer one.
+CHUNK, STRETCH, PIECE = 1_400, 1.5, 180
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunks(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: chunk_text(x) if x else [])
+def chunks(text: Column, most: int = CHUNK) -> Column:
+    """array<string>: sentences packed up to ``most`` characters; a chunk that is far longer, as nothing ends a sentence, is cut after ``PIECE`` words."""
+    sentences = F.split(F.coalesce(text, F.lit("")), r"(?<=[।.?!\n])\s+")
+
+    def pack(acc: Column, s: Column) -> Column:
+        now = acc["now"]
+        full = (now != "") & (F.length(now) + 1 + F.length(s) > most)
+        joined = F.when(full | (now == ""), s).otherwise(F.concat(now, F.lit(" "), s))
+        return F.struct(F.when(full, F.array_append(acc["out"], now)).otherwise(acc["out"]).alias("out"), joined.alias("now"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
+    packed = F.aggregate(sentences, start, pack, lambda acc: F.when(acc["now"] != "", F.array_append(acc["out"], acc["now"])).otherwise(acc["out"]))
+
+    def cut(c: Column) -> Column:
+        ws = F.split(c, r"\s+")
+        pieces = F.transform(F.sequence(F.lit(1), F.size(ws), F.lit(PIECE)), lambda i: F.array_join(F.slice(ws, i, PIECE), " "))
+        return F.when(F.length(c) <= most * STRETCH, F.array(c)).otherwise(pieces)
+
+    return F.flatten(F.transform(packed, cut))
 
 
 def spoken_per_day(s: Column) -> Column:
@@ -265,13 +269,38 @@ def written_per_day(s: Column) -> Column:
     return out
 
 
+#: Bands of the table of distances that are tried before the whole table.
+BANDS = (64, 512, 4_096)
+
+
+def _shared(a: Column, b: Column, end: bool) -> Column:
+    """How many characters two texts share at their beginning or end: a binary search over lengths."""
+    part = F.right if end else F.left
+    most = F.least(F.length(a), F.length(b))
+
+    def longer(n: Column, step: Column) -> Column:
+        return F.when((n + step <= most) & (part(a, n + step) == part(b, n + step)), n + step).otherwise(n)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(27, -1, -1)]), F.lit(0), longer)
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein's distance of any texts: a narrow band first, a wider one only where it does not fit, the whole table last."""
-    out = F.levenshtein(a, b)
-    for most in (4096, 512, 64):
-        near = F.levenshtein(a, b, most)
-        out = F.when(near >= 0, near).otherwise(out)
-    return out
+    """Levenshtein's distance of any texts. What both share at their ends goes first; then a narrow band of the table is
+    looked at, a wider one only where the distance does not fit it, the whole table last."""
+
+    def banded(x: Column, bands: tuple[int, ...]) -> Column:
+        if not bands:
+            return F.levenshtein(x["a"], x["b"])
+        return let(F.levenshtein(x["a"], x["b"], bands[0]), lambda d: F.when(d >= 0, d).otherwise(banded(x, bands[1:])))
+
+    def without(x: Column, end: bool) -> Column:
+        def cut(n: Column) -> Column:
+            of = lambda s: F.substr(s, F.lit(1) if end else n + 1, F.length(s) - n)
+            return F.struct(of(x["a"]).alias("a"), of(x["b"]).alias("b"))
+
+        return let(_shared(x["a"], x["b"], end), cut)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: let(without(x, False), lambda y: let(without(y, True), lambda z: banded(z, BANDS))))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -310,3 +310,38 @@ select user_id, event_type, case when sum(event_id % 4) = 0 then case when count
 def error_rates(spark, sf_dir):
     e = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum(F.col("event_id") % 3).alias("errors"), F.sum(F.col("event_id") % 4).alias("words"), F.count("*").alias("heard"))
     return e.select("user_id", "event_type", E.error_rate(F.col("errors"), F.col("words"), F.col("heard")).alias("rate"))
+
+
+# --- chunks for a model, and what it says of them ------------------------------------------------
+
+_SEQ = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"
+
+
+@query(rf"""
+with recursive s as (select doc_id, string_split(regexp_replace(text, '([।.?!\n])\s+', '\1' || chr(1), 'g'), chr(1)) as ss from documents where text is not null),
+r as (
+  select doc_id, ss, 1 as i, ss[1] as now, 0 as k from s
+  union all
+  select doc_id, ss, i + 1, case when now <> '' and length(now) + 1 + length(ss[i + 1]) > 1400 or now = '' then ss[i + 1] else now || ' ' || ss[i + 1] end, k + (now <> '' and length(now) + 1 + length(ss[i + 1]) > 1400)::int from r where i < len(ss)),
+packed as (select doc_id, k, max_by(now, i) as c from r group by doc_id, k),
+pieces as (
+  select doc_id, k, 0 as j, c as chunk from packed where length(c) <= 2100 and c <> ''
+  union all
+  select doc_id, k, j, array_to_string(list_slice(ws, j * 180 + 1, j * 180 + 180), ' ') from (select doc_id, k, string_split_regex(c, '\s+') as ws from packed where length(c) > 2100), lateral (select unnest(range(0, (len(ws) + 179) // 180)) as j)),
+n as (select doc_id, row_number() over (partition by doc_id order by k, j) - 1 as part, chunk from pieces),
+a as (select *, case when doc_id % 7 = 0 then chunk || ' ' || repeat('zzzz', length(chunk) // 5 + 1) when part % 2 = 1 then chunk || ' zz' else chunk end as fixed, case part % 3 when 0 then 'en' when 1 then 'hi' else '' end as language, length(chunk) % 60 + 40 as estimate from n),
+f as (select *, length({_SEQ.format("fixed")}) - length({_SEQ.format("chunk")}) as more, length({_SEQ.format("chunk")}) as letters from a),
+votes as (select doc_id, max(struct_pack(n := n, name := language)).name as language from (select doc_id, language, sum(length(chunk)) as n from a where language <> '' group by all) group by doc_id),
+g as (select doc_id, count(*)::int as parts, md5(string_agg(fixed, ' ' order by part)) as corrected, md5(string_agg(case when more <= 0.35 * greatest(letters, 1) then fixed else chunk end, ' ' order by part)) as kept, sum(more)::int as more, sum(letters)::int as letters,
+  sum(estimate * length(chunk))::bigint as num, sum(length(chunk))::bigint as den, md5(string_agg('s' || part, ' ' order by part)) as summary from f group by doc_id)
+select doc_id, parts, corrected, kept, case when more <= 0.35 * greatest(letters, 1) then more end as edits, letters, more <= 0.35 * greatest(letters, 1) as used, num, den, case when num >= 85 * den then 'high' when num >= 60 * den then 'medium' when num >= 30 * den then 'low' else 'unusable' end as quality,
+  coalesce(votes.language, '') as language, summary, (more > 0.35 * greatest(letters, 1))::int as warnings from g left join votes using (doc_id)""")
+def reviewed_documents(spark, sf_dir):
+    """Documents in chunks, recorded corrections of each, and the texts put together again; every seventh document is rewritten and keeps its own words."""
+    parts = review.chunked(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").where("text is not null"))
+    odd = F.when(F.col("part") % 2 == 1, F.concat("chunk", F.lit(" zz"))).otherwise(F.col("chunk"))
+    fixed = F.when(F.col("id") % 7 == 0, F.concat("chunk", F.lit(" "), F.repeat(F.lit("zzzz"), F.floor(F.length("chunk") / 5).cast("int") + 1))).otherwise(odd)
+    language = F.when(F.col("part") % 3 == 0, "en").when(F.col("part") % 3 == 1, "hi").otherwise("")
+    answers = parts.select("id", "part", fixed.alias("corrected"), (F.length("chunk") % 60 + 40).cast("double").alias("estimate"), language.alias("language"), F.concat(F.lit("s"), "part").alias("summary"), F.array().cast("array<string>").alias("issues"), F.lit(False).alias("cut"))
+    r = review.reassembled(parts, answers)
+    return r.select(F.col("id").alias("doc_id"), "parts", F.md5("corrected").alias("corrected"), F.md5("kept").alias("kept"), "edits", "letters", "used", F.col("num").cast("long").alias("num"), F.col("den").cast("long").alias("den"), "quality", "language", F.md5("summary").alias("summary"), F.size("warnings").alias("warnings"))
