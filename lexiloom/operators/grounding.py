@@ -10,10 +10,10 @@ from .rules import supported
 
 #: Categories that a section's items may come from.
 SECTION_CATEGORIES = {
-    "chief_complaints": ("symptom",), "history.systemic": ("systemic",), "history.ocular": ("disease", "procedure"), "examination": ("investigation", "sign"), "clinical_findings": ("sign", "disease"),
-    "diagnosis": ("disease",), "medications": ("medicine",), "procedures": ("procedure",), "investigations": ("investigation",), "advice": ("counselling",),
+    "chief_complaints": ("symptom", "disease"), "history.systemic": ("abbreviation", "disease"), "history.ocular": ("disease", "procedure", "abbreviation"), "examination": ("test", "optical", "abbreviation"),
+    "clinical_findings": ("sign", "disease", "abbreviation"), "diagnosis": ("disease", "abbreviation"), "medications": ("medicine",), "procedures": ("procedure",), "investigations": ("test",), "advice": ("counselling",),
 }
-RISKS = ("asthma", "glaucoma", "pregnan", "kidney", "renal", "heart", "diabet", "hypertens", "sulfa", "allerg", "ulcer", "thyroid")
+RISKS = ("asthma", "copd", "heart block", "bradycardia", "pregnan", "sulfa", "diabet", "glaucoma", "kidney", "renal", "children", "infant")
 
 
 def resolve(items: DataFrame, names: DataFrame) -> DataFrame:

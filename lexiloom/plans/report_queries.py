@@ -10,6 +10,8 @@ from ..operators import matching as M
 from ..operators import review
 from ..operators import rules as R
 from ..operators import spans as S
+from ..operators import term_graph
+from ..operators.rules import checkpointed
 from ..sources import files, sinks
 from . import scenes
 from .registry import plain, query, read, toks
@@ -345,3 +347,60 @@ def reviewed_documents(spark, sf_dir):
     answers = parts.select("id", "part", fixed.alias("corrected"), (F.length("chunk") % 60 + 40).cast("double").alias("estimate"), language.alias("language"), F.concat(F.lit("s"), "part").alias("summary"), F.array().cast("array<string>").alias("issues"), F.lit(False).alias("cut"))
     r = review.reassembled(parts, answers)
     return r.select(F.col("id").alias("doc_id"), "parts", F.md5("corrected").alias("corrected"), F.md5("kept").alias("kept"), "edits", "letters", "used", F.col("num").cast("long").alias("num"), F.col("den").cast("long").alias("den"), "quality", "language", F.md5("summary").alias("summary"), F.size("warnings").alias("warnings"))
+
+
+# --- the vocabulary as a graph -------------------------------------------------------------------
+
+# A third of the parts name another one as their generic; some pairs name each other.
+_GENERIC = "case when p_partkey % 50 = 7 then p_partkey + 1 when p_partkey % 50 = 8 then p_partkey - 1 when p_size % 3 = 0 and p_partkey > 3 then p_partkey // 3 end"
+
+
+def _vocabulary(spark, sf_dir):
+    """(id, category, name, aliases, brands, generic, ord) of all parts."""
+    k = F.col("p_partkey")
+    up = F.when(k % 50 == 7, k + 1).when(k % 50 == 8, k - 1).when((F.col("p_size") % 3 == 0) & (k > 3), F.floor(k / 3))
+    p = read(spark, sf_dir, "part")
+    return p.select(
+        k.alias("id"), F.when(k % 4 == 0, "disease").otherwise("medicine").alias("category"), F.concat("p_name", F.lit(" no "), k.cast("string")).alias("name"), F.array(F.concat(F.lit("alias "), k.cast("string")), F.col("p_type")).alias("aliases"),
+        F.array(F.col("p_brand")).alias("brands"), F.when(up.isNotNull(), F.concat(F.lit("Alias "), up.cast("string"))).alias("generic"), k.alias("ord"),
+    )
+
+
+_VOCABULARY = f"""
+v as (select p_partkey as id, case when p_partkey % 4 = 0 then 'disease' else 'medicine' end as category, {plain("p_name || ' no ' || p_partkey")} as name, {plain("'alias ' || p_partkey")} as a1, {plain("p_type")} as a2, {plain("p_brand")} as brand, {_GENERIC} as up from part),
+up as (select v.id, coalesce(g.id, v.id) as up from v left join v g on g.id = v.up and g.category = v.category),
+chain as (select id, up as here, 1 as n, [id] as seen from up union all select c.id, u.up, c.n + 1, list_append(c.seen, c.here) from chain c join up u on u.id = c.here where not list_contains(c.seen, c.here)),
+ends as (select id, max_by(here, n) as here, max_by(seen, n) as seen from chain group by id),
+standing as (select id, list_min(list_slice(seen, list_position(seen, here), len(seen))) as standing from ends)"""
+
+
+@query(f"with recursive {_VOCABULARY} select id, standing from standing")
+def generic_standings(spark, sf_dir):
+    """What each part stands for at the end of its chain of generics; of a circle the first."""
+    v = checkpointed(_vocabulary(spark, sf_dir))
+    return term_graph.generics(v, term_graph.surfaces(v, "brands"), checkpointed)
+
+
+@query(f"""
+with recursive {_VOCABULARY},
+names as (
+  select id, category, id as ord, 1 as kind, name as norm from v union select id, category, id, 1, a1 from v union select id, category, id, 1, a2 from v union select id, category, id, 1, brand from v
+  union select id, category, id, 2, array_to_string(list_slice(ws, 1, n), ' ') from (select id, category, string_split(name, ' ') as ws from v), lateral (select unnest(range(1, len(ws))) as n)),
+first as (select norm, category, min(struct_pack(kind := kind, ord := ord, id := id)) as x from names where norm <> '' and (kind = 1 or length(norm) >= 5) group by all),
+it as (select l_orderkey, l_linenumber, case when l_linenumber % 4 = 0 then l_partkey end as kb_id, case l_linenumber % 3 when 0 then p_name when 1 then 'nothing such' else p_type end as said, case when l_linenumber % 2 = 0 then p_brand else '' end as brand_said, case when l_linenumber = 1 then ['disease', 'medicine'] else ['medicine'] end as cats from lineitem join part on p_partkey = l_partkey),
+q as (select *, {plain("said")} as sn, {plain("brand_said")} as bn from it),
+r as (select q.*, i.id as by_id, (select min(f.x) from first f where f.norm = q.sn and list_contains(q.cats, f.category)) as n, (select min(f.x) from first f where f.norm = q.bn and q.bn <> '' and list_contains(q.cats, f.category)) as b
+  from q left join v i on i.id = q.kb_id and list_contains(q.cats, i.category))
+select l_orderkey, l_linenumber, standing as term, case when by_id is not null then 'id' when n is not null then case n.kind when 1 then 'name' else 'head' end when b is not null then 'brand ' || case b.kind when 1 then 'name' else 'head' end end as how
+from r left join standing s on s.id = coalesce(by_id, n.id, b.id)""")
+def grounded_lines(spark, sf_dir):
+    """Every order line as an item of a record, grounded by id, name, beginning or brand, and by what the term stands for."""
+    v = checkpointed(_vocabulary(spark, sf_dir))
+    names = checkpointed(term_graph.surfaces(v, "brands"))
+    p = read(spark, sf_dir, "part")
+    n = F.col("l_linenumber")
+    said = F.when(n % 3 == 0, F.col("p_name")).when(n % 3 == 1, "nothing such").otherwise(F.col("p_type"))
+    it = read(spark, sf_dir, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey")).select(
+        "l_orderkey", "l_linenumber", F.when(n % 4 == 0, F.col("l_partkey")).alias("kb_id"), said.alias("name"), F.when(n % 2 == 0, F.col("p_brand")).otherwise("").alias("brand"), F.when(n == 1, F.array(F.lit("disease"), F.lit("medicine"))).otherwise(F.array(F.lit("medicine"))).alias("categories")
+    )
+    return term_graph.resolve(it, names, term_graph.generics(v, names, checkpointed)).select("l_orderkey", "l_linenumber", "term", "how")

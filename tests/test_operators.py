@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexiloom.functions import text
-from lexiloom.operators import matching, quality, rules, spans
+from lexiloom.operators import matching, quality, rules, spans, term_graph
 from lexiloom.plans import analyze, catalog, fixtures, tables
 from lexiloom.sources import files, models
 
@@ -84,6 +84,56 @@ def test_fuzzy_pairs_are_those_of_brute_force(spark, monkeypatch):
         assert {(r.h_span, r.form, r.loose): (r.d, r.rescued) for r in matching.fuzzy_pairs(h, k).collect()} == want
 
 
+VOCABULARY = "id string, category string, name string, aliases array<string>, brands array<string>, generic string, ord int"
+
+
+def test_generics_at_the_end_of_chains(spark):
+    rng = random.Random(11)
+    n = 120
+    up = {i: rng.choice([None, rng.randrange(n), i + 1 if i + 1 < n else None]) for i in range(n)}
+    rows = [(f"T{i}", "medicine", f"medicine number {i}", [f"alias{i}"], [], f"Alias{up[i]}" if up[i] is not None else None, i) for i in range(n)]
+    v = spark.createDataFrame(rows, VOCABULARY)
+
+    def end(i):
+        seen = [i]
+        while (j := up[seen[-1]]) is not None and j != seen[-1]:
+            if j in seen:
+                return min(seen[seen.index(j) :])
+            seen.append(j)
+        return seen[-1]
+
+    got = {r.id: r.standing for r in term_graph.generics(v, term_graph.surfaces(v), rules.checkpointed).collect()}
+    assert got == {f"T{i}": f"T{end(i)}" for i in range(n)}
+
+
+def test_names_brands_and_unstated_types(spark):
+    rows = [
+        ("M1", "medicine", "Moxifloxacin", ["moxi"], ["Vigamox"], None, 0), ("M2", "medicine", "Timolol maleate", [], ["Glucomol"], None, 1), ("M3", "medicine", "Moxicip", [], [], "moxi", 2),
+        ("D1", "disease", "Glaucoma suspect", [], [], None, 3), ("D2", "disease", "Dry eye", [], [], None, 4),
+    ]
+    v = spark.createDataFrame(rows, VOCABULARY)
+    names = term_graph.surfaces(v, "brands")
+    said = [
+        (0, "medications", "M1", "x", "", ["medicine"]), (1, "medications", "D2", "Moxi", "", ["medicine"]), (2, "medications", "", "Timolol", "", ["medicine"]), (3, "medications", None, "", "VIGAMOX", ["medicine"]),
+        (4, "medications", "", "moxifloxasin", None, ["medicine"]), (5, "medications", "", "Moxicip", "", ["medicine"]), (6, "diagnosis", "", "Glaucoma", "", ["disease"]), (7, "diagnosis", "", "dry eye", "", ["disease"]), (8, "medications", "", "water", "", ["medicine"]),
+    ]
+    items = spark.createDataFrame(said, "n int, section string, kb_id string, name string, brand string, categories array<string>")
+    near = term_graph.near_names(items, names)
+    d = term_graph.resolve(items, names, term_graph.generics(v, names, rules.checkpointed), near)
+    got = {r.n: (r.term, r.how) for r in d.collect()}
+    assert got == {0: ("M1", "id"), 1: ("M1", "name"), 2: ("M2", "head"), 3: ("M1", "brand name"), 4: ("M1", "near"), 5: ("M1", "name"), 6: ("D1", "head"), 7: ("D2", "name"), 8: (None, None)}
+    got = {r.n: (r.term, r.unstated) for r in term_graph.sub_type_unstated(d, names, "glaucoma").collect()}
+    assert got[6] == (None, True) and got[7] == ("D2", False)
+
+
+def test_a_brand_is_heard_by_its_generic(spark):
+    terms = spark.createDataFrame([("M1", "medicine", "Moxifloxacin", [], [], None), ("M2", "medicine", "Vigamox", [], [], "moxifloxacin"), ("M3", "medicine", "Zymar", [], [], "gatifloxacin")], "id string, category string, name string, aliases array<string>, colloquial array<string>, generic string")
+    items = spark.createDataFrame([("v", "medications", i, k, n, "", "", {}) for i, (k, n) in enumerate((("M2", "Vigamox"), ("M3", "Zymar")))], "visit string, section string, idx int, kb_id string, name string, eye string, evidence string, attrs map<string,string>")
+    d = rules.Draft(items, spark.createDataFrame([("v", "use moxifloxacin twice")], "visit string, text string"), rules.checkpointed, terms)
+    rules.k1_medicines_heard(d)
+    assert [r.name for r in d.items.where("alive").collect()] == ["Vigamox"]
+
+
 def test_loop_and_tiers(spark):
     d = spark.createDataFrame([(["x"] * 60, 0.8), (["a", "b"] * 5, 0.3)], "t array<string>, s double")
     r = d.select(quality.unigram_loop(d.t).alias("n"), quality.tier_of(d.s).alias("t")).collect()
