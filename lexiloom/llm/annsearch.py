@@ -167,10 +167,11 @@ _INDEX = "shard string, dim int, reps binary, vectors binary, level binary, link
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, e) of the rows that take part, each once: e has no null and no non-finite component and is not zero."""
+    """(row, vec_id, e) of the rows that take part: e has no null and no non-finite component and is not zero; ``row`` numbers rows."""
     e = F.col("embedding").cast("array<double>")
     ok = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e")).where("vec_id is not null and e is not null").where(ok).distinct()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e")).where("vec_id is not null and e is not null").where(ok)
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def shard_counts(distinct: DataFrame, rows: int = SHARD_ROWS) -> DataFrame:
@@ -234,30 +235,39 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int =
 
     Euclidean distance in double precision; nearest first, ties to the smaller vec_id. Rows
     whose vector is null, empty, zero or has a null or non-finite component take no part; nor
-    do rows without vec_id. Rows with the query's own vec_id are not its candidates; rows that
-    share a vec_id count as one, at the smallest distance of their vectors to any the query has. Vectors of different lengths are not
+    do rows without vec_id. A row is a row: those that share a vec_id are queries and candidates
+    each for itself, so that an id may come twice in a result. Vectors of different lengths are not
     compared; long ones make smaller shards. An empty table gives an empty one; other columns
     are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    rows = scratch.save(_valid(vectors))
-    # Of rows with one vector the first k + 1 are enough: at most one of them is the query itself.
-    w = Window.partitionBy("e").orderBy("vec_id")
-    firsts = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
-    members = scratch.save(firsts.withColumns({"rep": F.min("vec_id").over(Window.partitionBy("e")), "h": F.xxhash64("e")}))
-    distinct = members.where("n = 1").select("rep", "h", "e")
+    # Equal vectors are known by two hashes of theirs: one is indexed, and of their rows the first k + 1 are enough, as one of
+    # them at most is the query itself. Spark drops the others of a task before it shuffles.
+    keys = {"h": F.xxhash64("e"), "h2": F.xxhash64(F.lit(7), "e")}
+    rows = scratch.save(_valid(vectors).withColumns(keys))
+    w = Window.partitionBy("h", "h2").orderBy("vec_id", "row")
+    firsts = scratch.save(rows.select("row", "vec_id", "h", "h2").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1))
+    reps = firsts.where("n = 1").select("row", F.col("row").alias("rep"), "h")
+    members = firsts.select("h", "h2", "vec_id", "row").join(firsts.where("n = 1").select("h", "h2", F.col("row").alias("rep")), ["h", "h2"]).select("rep", "h", "vec_id", "row")
+    members = scratch.save(members)
+    distinct = scratch.save(rows.select("row", "e").join(reps, "row").select("rep", "h", "e"))
     shards = scratch.save(shard_counts(distinct, shard_rows))
     index = scratch.save(build_index(distinct, shards))
+    scratch.drop(distinct, firsts)
 
-    queries = scratch.save(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), "e", F.size("e").alias("dim")))
+    queries = scratch.save(rows.where(F.col("vec_id") % every == 0).select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), "e", F.size("e").alias("dim")))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.groupBy("dim", F.pmod(F.xxhash64("q", "e"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("q", "e")).alias("asked")).join(shards, "dim")
+    asked = queries.groupBy("dim", F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("q", "e")).alias("asked")).join(shards, "dim")
     asked = asked.select(
         F.floor(F.col("block") / BLOCKS).alias("lot"), "asked", F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.concat_ws(":", "dim", s))).alias("shard")
     )
     found = _answers(index, asked, k, beam)
     near = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "rep", "h"))).where(F.col("n") <= k + 1).drop("n")
-    hits = near.join(members.select("rep", "h", "vec_id"), ["rep", "h"]).where("vec_id <> q").groupBy("q", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    hits = near.join(members, ["rep", "h"]).where("row <> q")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id", "row"))
+    best = hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = best.join(queries.select("q", "query_id"), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = scratch.save(out)
+    scratch.drop(rows, members, shards, index, queries)
+    return out

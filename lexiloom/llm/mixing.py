@@ -24,7 +24,7 @@ WEIGHTS, MOST = (1, 2, 3), 3
 #: Rounds at most, and the part of its target that a source may lack without another one.
 ROUNDS, NEAR = 8, 0.001
 #: Documents in a slice, about; sources that are broadcast (beyond it the join is shuffled).
-SLICE_ROWS, BROADCAST_SOURCES = 100_000, 100_000
+SLICE_ROWS, BROADCAST_SOURCES = 8_192, 100_000
 SEED = "mix-1"
 
 

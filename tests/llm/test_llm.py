@@ -743,19 +743,23 @@ def test_neighbours(spark):
     rows = [(i, x[i].tolist(), 0) for i in range(900)]
     rows += [(1000, None, 0), (1100, [0.0] * 12, 0), (1200, [float("nan")] + [1.0] * 11, 0), (1300, [None] + [1.0] * 11, 0), (1400, [float("inf")] + [1.0] * 11, 0), (1500, [1.0, 2.0], 0), (None, [1.0] * 12, 0), (0, x[0].tolist(), 0)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as rep", "1 as e")
+    ids, y = [*range(900), 0], np.append(x, x[:1], axis=0).astype(float)  # the row 0 is there twice
     got = {}
     for r in annsearch.search(d, every=100, k=10, shard_rows=300).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
-    y = x.astype(float)
     hits = total = 0
     for q in range(0, 900, 100):
         far = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
-        want = sorted((f, i) for i, f in enumerate(far) if i != q)[:10]
-        mine = sorted(got[q])
-        assert [m[0] for m in mine] == list(range(1, 11)) and all(abs(far[i] - s) < 1e-12 for _, s, i in mine) and mine == sorted(mine, key=lambda m: (m[1], m[2]))
+        want = sorted((f, i) for k, (f, i) in enumerate(zip(far, ids)) if k != q)[:10]
+        rows_of = 2 if q == 0 else 1
+        mine = sorted(got[q])[::rows_of]
+        assert [m[0] for m in sorted(got[q])] == sorted([*range(1, 11)] * rows_of) and all(abs(far[i] - s) < 1e-12 for _, s, i in mine) and mine == sorted(mine, key=lambda m: (m[1], m[2]))
         hits += len({i for _, i in want} & {m[2] for m in mine})
         total += 10
     assert hits / total >= 0.9 and set(got) == set(range(0, 900, 100))
+    assert sorted(got[0])[:2] == [(1, 0.0, 0)] * 2  # each of the two has the other first
+    for q in (300, 400):  # of many equal rows those with the smallest ids
+        assert [m[2] for m in sorted(got[q])] == [i for i in range(300, 312) if i != q][:10]
     assert annsearch.search(d.where("false")).count() == 0
 
 
