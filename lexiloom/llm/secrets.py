@@ -30,16 +30,16 @@ LEARNED_WORDS, BROADCAST_WORDS = 150, 500_000
 
 # Names that secrets are given to, and forms that services give their keys.
 _NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|auth|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?"
-_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*+(?:[A-Za-z-]{2,20}: [^\n]*+\n){0,4}+[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]*PRIVATE KEY-----)?"
+_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*+(?:[A-Za-z-]{2,20}: [^\n]*+\n)*+[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]*PRIVATE KEY-----)?"
 _FORMS = rf"AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|xox[abprs]-[A-Za-z0-9-]{{10,}}|sk_live_[A-Za-z0-9]{{16,}}|AIza[A-Za-z0-9_-]{{35}}|eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}|{_BLOCK}"
 _RUN = r"[A-Za-z0-9+/_-]"
 #: A name, a sign and a value; a known form, a key with all its lines; or a run of 16 characters or more with a digit. Each is taken to its end, without a second look.
 PATTERN = (
-    rf"(?i:(?<![a-z])(?:{_NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|[:=])[ \t]{{0,4}}[\"']?)(?:{_BLOCK}|[A-Za-z0-9+/_.!@$%^&*~-]{{6,}}+={{0,2}})"
+    rf"(?i:(?<![a-z])(?:{_NAMES})[\"']?[ \t]*+(?::=|=>|[:=])[ \t]*+[\"']?)(?:{_BLOCK}|[A-Za-z0-9+/_.!@$%^&*~-]{{6,}}+={{0,2}})"
     rf"|(?<!{_RUN})(?:{_FORMS})"
     rf"|(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9]){_RUN}{{16,}}+={{0,2}}"
 )
-_HEAD = rf"^(?i:(?:{_NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|[:=])[ \t]{{0,4}}[\"']?)"
+_HEAD = rf"^(?i:(?:{_NAMES})[\"']?[ \t]*+(?::=|=>|[:=])[ \t]*+[\"']?)"
 _PATHS = r"(?i)(?:^|[/_.-])(?:tests?|spec|fixtures?|examples?|samples?|docs?|mock|demo|vendor|node_modules|lock)(?:[/_.-]|$)"
 #: Letters, a digit, what else: the states of character transitions.
 _STATES = "abcdefghijklmnopqrstuvwxyz0."

@@ -156,6 +156,13 @@ def test_trees_as_columns(spark):
     assert np.allclose([np.mean(r) for r in got], p)
 
 
+def test_secrets_are_taken_whole(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "".join(f"Header-{c}: some value\n" for c in "ABCDEFG") + "\n" + "\n".join(["MIIEow" + "IBAAKCAQEA7x9Q" * 4] * 3) + "\n-----END RSA PRIVATE KEY-----"
+    found = lambda t: [m[0] for m in re.finditer(secrets.PATTERN.replace("(?i:", "(?i:"), t)]
+    assert found(f"x {key} y") == [key]
+    assert found("password" + " " * 9 + "=" + "\t" * 7 + "'hunter2hunter2'")[0].endswith("hunter2hunter2")
+
+
 # --- 2
 
 
