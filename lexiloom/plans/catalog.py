@@ -250,16 +250,16 @@ def candidate_floor_topk(spark, sf_dir):
 
 
 @query(f"""
-with {DT}, b as (select distinct item_id, w, min(i) as i from (select item_id, unnest(t[1:5]) as w, unnest(range(0, len(t[1:5]))) as i from (select item_id, {toks('text')} as t from benchmark)) group by all),
+with {DT}, b as (select distinct item_id, w, min(i) as i from (select item_id, unnest(t) as w, unnest(range(0, len(t))) as i from (select item_id, {toks('text')} as t from benchmark)) where w not in ({", ".join(f"'{w}'" for w in sorted(M.STOP))}) group by all),
 h as (select id, w, count(*) as n from (select id, unnest(toks) as w from dt) group by all), m as (select h.id, b.item_id, b.i, h.n, h.w from h join b using (w)),
 r as (select *, row_number() over (partition by id, item_id order by i) as k, max(n) over (partition by id, item_id) as most from m)
-select id as doc_id, item_id as term, ((100 - 5 * i)::double / 100) as score, w as heard, most as n from r where k = 1""")
+select id as doc_id, item_id as term, (1000 - i)::double / 1000 as score, w as heard, most as n from r where k = 1""")
 def best_match_per_term(spark, sf_dir):
-    """The first five words of an item play its surfaces, the earlier the better; all words of a document are looked at."""
+    """The words of an item that say something play its surfaces, the earlier the better; all words of a document are looked at."""
     toks_ = X.words(X.normalize_ascii(F.col("text")))
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term"), F.posexplode(F.slice(toks_, 1, 5)).alias("ord", "w")).groupBy("term", "w").agg(F.min("ord").alias("ord"))
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term"), F.posexplode(toks_).alias("ord", "w")).where(~F.col("w").isin(*sorted(M.STOP))).groupBy("term", "w").agg(F.min("ord").alias("ord"))
     h = docs_toks(spark, sf_dir).select("id", F.explode("toks").alias("w")).groupBy("id", "w").agg(F.count("*").alias("count"))
-    m = h.join(b, "w").withColumn("score", (100 - 5 * F.col("ord")).cast("double") / 100)
+    m = h.join(b, "w").withColumn("score", (1000 - F.col("ord")).cast("double") / 1000)
     return M.best_per_term(m).select(F.col("id").alias("doc_id"), "term", "score", F.col("w").alias("heard"), F.col("count").alias("n"))
 
 
