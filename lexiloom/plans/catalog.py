@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import denials, numbers, scans
+from ..functions import scans
 from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import grounding as G
@@ -15,7 +15,7 @@ from ..operators import review
 from ..operators import rules as R
 from ..operators import spans as S
 from ..sources import files, models
-from . import analyze, fixtures, report_queries, rule_queries, speech_queries, text_queries
+from . import analyze, report_queries, rule_queries, scenes, speech_queries, text_queries
 from . import tables as T
 from .registry import ORACLES, QUERIES, plain, query, read, sound_sql, toks
 
@@ -524,23 +524,38 @@ def denied_minus_affirmed(spark, sf_dir):
     return S.only_denied(read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), s, ["k"])
 
 
-# --- rows only: own fixtures -----------------------------------------------------------------
+# --- rows only: no SQL says the same -----------------------------------------------------------
 
 
 @query()
 def transliterate_indic(spark, sf_dir):
-    return T.table(spark, fixtures.NATIVE_WORDS, "word, expected").withColumn("roman", X.transliterate_udf("word"))
+    """The Indic sentence after each turn of a conversation, romanised."""
+    return speech_queries.numbered(spark, sf_dir).select("conv_id", "turn", X.transliterate_udf(F.element_at(F.split("line", r"\. "), -1)).alias("roman"))
 
 
 @query()
 def align_words(spark, sf_dir):
-    d = T.table(spark, fixtures.PAIRS, "ref, hyp")
-    return d.withColumn("al", scans.alignment(X.words(X.normalize_native(F.col("ref"))), X.words(X.normalize_native(F.col("hyp")))))
+    """Each turn of a conversation held against the next one, word by word."""
+    c = read(spark, sf_dir, "conversations").where("text is not null")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
+    d = c.select("conv_id", "turn", F.col("text").alias("ref")).join(after, ["conv_id", "turn"])
+    return d.select("conv_id", "turn", scans.alignment(X.words(X.normalize_native(F.col("ref"))), X.words(X.normalize_native(F.col("hyp")))).alias("al"))
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """(visit, raw): a model's answer for each turn, whole, fenced, with thoughts before it, or cut at any place."""
+    c = read(spark, sf_dir, "conversations").where("text is not null")
+    items = F.transform(F.slice(F.split("text", " "), 1, 8), lambda w: F.struct(w.alias("name")))
+    body = F.to_json(F.struct(F.lit(None).cast("string").alias("note"), items.alias("diagnosis"), F.array("text").alias("advice")))
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    fence = F.lit("`" * 3)
+    raw = F.when(kind == 0, body).when(kind == 1, F.concat(fence, F.lit("json\n"), body, F.lit("\n"), fence)).when(kind == 2, F.concat(F.lit("<think>so</think> "), body)).otherwise(F.left(body, F.length(body) - F.length("text") % 40 - 1))
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("visit"), raw.alias("raw"))
 
 
 @query()
 def repair_json(spark, sf_dir):
-    return T.table(spark, fixtures.ANSWERS, "raw").withColumn("json", scans.loose_json("raw"))
+    return _answers(spark, sf_dir).withColumn("json", scans.loose_json("raw"))
 
 
 @query()
@@ -550,52 +565,77 @@ def loop_ratio_phrases(spark, sf_dir):
 
 @query()
 def record_rules(spark, sf_dir):
-    items, _ = R.post_process(*fixtures.draft(spark))
+    """All 25 rules in order, over the drafts of every customer."""
+    items, _ = R.post_process(*scenes.draft(spark, sf_dir))
     return items
 
 
 @query()
 def record_audit(spark, sf_dir):
-    _, audit = R.post_process(*fixtures.draft(spark))
+    """What the rules did to those drafts."""
+    _, audit = R.post_process(*scenes.draft(spark, sf_dir))
     return audit
 
 
+def part_terms(spark, sf_dir) -> DataFrame:
+    """Parts as a vocabulary: name, an abbreviation and a brand as aliases, a longer phrase as people say it."""
+    p = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    kinds = F.array(*map(F.lit, ("medicine", "disease", "symptom", "sign")))
+    phrase = F.concat(F.lit("the one that is "), F.lower("p_type"), F.lit(" and "), "p_name")
+    return p.select(
+        F.concat(F.lit("P"), k.cast("string")).alias("id"), F.get(kinds, (k % 4).cast("int")).alias("category"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("name"),
+        F.array(F.concat(F.upper(F.left("p_type", F.lit(2))), F.col("p_size").cast("string")), F.col("p_brand")).alias("aliases"), F.array(phrase).alias("colloquial"), F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("details"),
+    )
+
+
 @query()
 def vocabulary_forms(spark, sf_dir):
-    return M.forms(fixtures.terms(spark))
+    return M.forms(part_terms(spark, sf_dir))
 
 
 @query()
 def recorded_model_answers(spark, sf_dir):
-    prompts = T.table(spark, fixtures.PROMPTS, "visit, prompt")
+    prompts = _answers(spark, sf_dir).select("visit", F.concat(F.lit("say ANSWER: "), "raw").alias("prompt"))
     return models.coerce(models.ask(prompts, "mock"))
 
 
 @query()
 def recorded_words(spark, sf_dir):
-    t = T.table(spark, fixtures.TOKENS, "id, pos, text, p").select("id", F.col("pos").cast("int").alias("pos"), "text", F.col("p").cast("double").alias("p"))
-    return files.words_of_tokens(t)
+    """Turns as a recogniser's tokens, words in two pieces each, put together again."""
+    c = read(spark, sf_dir, "conversations").where("text is not null")
+    pieces = lambda w: F.array(F.concat(F.lit(" "), F.left(w, F.lit(3))), F.substr(w, F.lit(4), F.length(w)))
+    toks = F.filter(F.flatten(F.transform(F.split("text", r"\s+"), pieces)), lambda t: F.trim(t) != "")
+    t = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.posexplode(toks).alias("pos", "text"))
+    return files.words_of_tokens(t.withColumn("p", (1 - (F.length("text") % 5) / 10).cast("double")))
 
 
 @query()
 def hot_words(spark, sf_dir):
-    return review.hotwords(fixtures.terms(spark))
+    return review.hotwords(part_terms(spark, sf_dir))
 
 
-def _analysis(spark) -> analyze.Analysis:
-    return analyze.analyze(fixtures.visits(spark), fixtures.terms(spark), T.table(spark, T.KEYWORDS, "category, key, form"), {"en": T.FUNCTION_WORDS["en"]})
+def analysis(spark, sf_dir) -> analyze.Analysis:
+    """The whole analysis of every conversation: its turns, with a line in Bengali or Hindi and what is denied after each, and parts as vocabulary."""
+    c = speech_queries.conversations_in_three_languages(spark, sf_dir)
+    p = read(spark, sf_dir, "part")
+    names = p.select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("name"), (F.col("p_partkey") % 97).alias("k")).groupBy("k").agg(F.min("name").alias("name"))
+    heard = c.withColumn("k", F.col("visit") % 97).join(names, "k", "left")
+    text = F.concat_ws("\n", "text", F.concat(F.when(F.col("visit") % 2 == 0, "no ").otherwise("there is "), F.col("name")))
+    visits = heard.select("visit", text.alias("text"), F.lit(None).cast("string").alias("english"), F.lit(None).cast("string").alias("language"), (F.length(text) / 12.0).alias("seconds"), (0.5 + (F.col("visit") % 50) / 100).alias("confidence"), ((F.col("visit") % 40) / 100).alias("low_ratio"))
+    return analyze.analyze(visits, part_terms(spark, sf_dir), T.table(spark, T.KEYWORDS, "category, key, form"), {"en": T.FUNCTION_WORDS["en"]})
 
 
 @query()
 def analyze_quality(spark, sf_dir):
-    return _analysis(spark).quality
+    return analysis(spark, sf_dir).quality
 
 
 @query()
 def analyze_matches(spark, sf_dir):
-    return _analysis(spark).matches
+    return analysis(spark, sf_dir).matches
 
 
 @query()
 def analyze_candidates(spark, sf_dir):
-    return _analysis(spark).candidates
+    return analysis(spark, sf_dir).candidates

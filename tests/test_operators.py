@@ -1,5 +1,6 @@
 """Operators against brute force, plans without nested loops, and queries against SQL."""
 
+import json
 import random
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexiloom.functions import text
+from lexiloom.functions import scans, text
 from lexiloom.operators import matching, quality, rules, spans, term_graph
 from lexiloom.plans import analyze, catalog, fixtures, tables
 from lexiloom.sources import files, models
@@ -249,14 +250,49 @@ def test_analysis_with_a_lexicon(spark):
 
 
 def test_recorded_models(spark):
-    words = catalog.QUERIES["recorded_words"](spark, SF).orderBy("word_id").collect()
+    tokens = tables.table(spark, fixtures.TOKENS, "id, pos, text, p").selectExpr("id", "cast(pos as int) as pos", "text", "cast(p as double) as p")
+    words = files.words_of_tokens(tokens).orderBy("word_id").collect()
     assert [(w.w, w.p) for w in words] == [("hello", 0.8), ("world", 0.7)]
-    rows = catalog.QUERIES["recorded_model_answers"](spark, SF).collect()
+    rows = models.coerce(models.ask(tables.table(spark, fixtures.PROMPTS, "visit, prompt"), "mock")).collect()
     assert {(r.visit, r.section) for r in rows} >= {("v1", "chief_complaints"), ("v2", "diagnosis")}
     with pytest.raises(ValueError):
         models.ask(spark.createDataFrame([("a", "b")], "visit string, prompt string"), "none such")
 
 
+def test_queries_without_sql_over_the_given_tables(spark):
+    """What no SQL says the same: against other ways to the same rows, over whole tables."""
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect() if r.text is not None}
+    q = lambda name: catalog.QUERIES[name](spark, SF).collect()
+    for r in q("align_words"):
+        ref, hyp = (text.normalize_native_text(turns[r.conv_id, k]).split() for k in (r.turn, r.turn + 1))
+        assert [x.ref for x in r.al if x.ref is not None] == ref and [x.hyp for x in r.al if x.hyp is not None] == hyp
+        assert sum(x.op != "ok" for x in r.al) == scans.edit_distance(ref, hyp)
+    words = {}
+    for r in sorted(q("recorded_words"), key=lambda r: (r.id, r.word_id)):
+        words.setdefault(r.id, []).append(r.w)
+    assert words == {f"{c}:{t}": x.split() for (c, t), x in turns.items() if x.split()}
+    answers = {r.visit: r for r in q("repair_json")}
+    assert len(answers) == len(turns)
+    for (c, t), x in turns.items():
+        got = json.loads(answers[f"{c}:{t}"].json)
+        if (c + t) % 4 < 3:  # the answer was whole
+            assert got["advice"] == [x] and [y["name"] for y in got["diagnosis"]] == x.split(" ")[:8]
+        else:
+            assert set(got) <= {"diagnosis", "advice"}
+    assert all(r.roman and r.roman.isascii() for r in q("transliterate_indic"))
+
+
+def test_analysis_of_all_conversations(spark):
+    a = catalog.analysis(spark, SF)
+    quality = {r.id: r.tier for r in a.quality.collect()}
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").where("text is not null")
+    assert set(quality) == {r.conv_id for r in turns.select("conv_id").distinct().collect()}
+    matches = a.matches.where("kind = 'exact' and category is not null").select("id", "term", "heard").collect()
+    said = {r.visit: text.normalize_text(r.text) for r in catalog.speech_queries.conversations_in_three_languages(spark, SF).collect()}
+    assert matches and not any(r.id % 2 == 0 and r.heard not in said[r.id] for r in matches)  # a term that is only denied is none
+    assert any(r.id % 2 for r in matches)
+
+
 def test_services_over_http(spark):
     """Recorded answers of a local server: a chat in lines, a speech service, and a failure that a row tells."""
     import json
