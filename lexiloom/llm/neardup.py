@@ -11,7 +11,7 @@ Documents with equal sets form a class first; classes are joined on their signat
   threshold are confirmed on the full shingle sets.
 
 At the similarity s a symbol differs with the probability 1 - s, so the chance that a linked
-pair is beyond 15 of 32 is under 3e-6 at s = 0.85 and about 1e-4 at s = 0.8.
+pair is beyond 15 of 32 is 3.5e-6 at s = 0.85 and 1.4e-4 at s = 0.8.
 
 Groups of near copies would give all pairs within a bucket. Instead, the members of a bucket
 are first compared with its smallest member, and those within the threshold are joined into
