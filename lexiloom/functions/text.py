@@ -212,15 +212,18 @@ def extra_aliases(name: Column, category: Column) -> Column:
 
 
 def is_looping(s: Column) -> Column:
-    """A long text whose last characters come back again and again near its end."""
-    tail = F.right(s, F.lit(1200))
+    """A long text whose last characters come back again and again near its end; null for null."""
 
-    def again(size: int) -> Column:
-        end = F.right(s, F.lit(size))
-        places = F.sequence(F.lit(1), F.greatest(F.length(tail) - size + 1, F.lit(1)))
-        return F.size(F.filter(places, lambda i: F.substr(tail, i, F.lit(size)) == end)) >= max(3, 600 // size)
+    def again(tail: Column, size: int) -> Column:
+        # A look-ahead takes no characters, so occurrences may overlap; one pass of the tail for each size.
+        end = F.replace(F.right(tail, F.lit(size)), F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+        return F.regexp_count(tail, F.concat(F.lit(r"(?=\Q"), end, F.lit(r"\E)"))) >= max(3, 600 // size)
 
-    return (F.length(s) >= 1500) & (again(40) | again(80) | again(160))
+    def of(x: Column) -> Column:
+        looping = let(F.right(x, F.lit(1200)), lambda tail: again(tail, 40) | again(tail, 80) | again(tail, 160))
+        return F.when(x.isNotNull(), F.when(F.length(x) >= 1500, looping).otherwise(False))
+
+    return let(s, of)  # once: inside a lambda an expression is worked out for each element
 
 
 #: Characters of a chunk, how far beyond it a sentence may go, and words of a piece of a longer one.
