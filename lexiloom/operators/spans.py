@@ -17,12 +17,22 @@ def clean_phrase(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[\x{200B}-\x{200D}\x{FEFF}]", ""), r"[\s-]+", " "))
 
 
+#: Rows of a vocabulary that are broadcast, counted first; beyond it both sides of a join are shuffled by key.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A side to join with: broadcast if it is counted to be small, else merged. What Spark guesses of exploded or made rows is far too little or far too much."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(id, text) and (entry, phrase) -> (id, entry, phrase, start, end): where lexicon phrases stand in texts.
 
     Latin phrases count at the edges of words, Indic ones anywhere; a hyphen and a space are one.
     Repeats of a phrase don't overlap. Texts and phrases meet on the first word of a Latin phrase
-    and on up to three first characters of an Indic one: equi-joins, no nested loop.
+    and on up to three first characters of an Indic one: equi-joins, no nested loop. A small lexicon
+    is broadcast, the texts never are.
     """
     told = lexicon.select("entry", clean_phrase(F.col("phrase")).alias("phrase")).where("phrase <> ''").distinct()
     told = told.withColumn("indic", told["phrase"].rlike(r"[\x{0900}-\x{09FF}]"))
@@ -32,11 +42,13 @@ def lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     low = F.lower("text")
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     flat = F.translate(low, "-\n\t", "   ")
-    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.array(*[F.substr(flat, i, F.lit(k)) for k in (1, 2, 3)])))
-    latin = texts.select("id", F.explode(words).alias("key")).join(told.where("not indic").withColumn("key", F.regexp_extract("phrase", r"[\p{L}\p{N}]+", 0)), "key")
+    # Look-aheads take no characters: one pass for each length, none for each place.
+    starts = F.concat(*[F.regexp_extract_all(flat, F.lit(f"(?s)(?=({'.' * k}))"), F.lit(1)) for k in (1, 2, 3)])
+    told = told.withColumn("key", F.when(F.col("indic"), F.left("phrase", F.lit(3))).otherwise(F.regexp_extract("phrase", r"[\p{L}\p{N}]+", 0)))
+    latin = texts.select("id", F.explode(words).alias("key")).join(small_side(told.where("not indic")), "key")
     able = texts.where(F.col("text").rlike(r"[\x{0900}-\x{09FF}]"))
-    indic = able.select("id", F.explode(F.array_distinct(F.filter(starts, lambda x: x.rlike(r"[\x{0900}-\x{09FF}]")))).alias("key")).join(told.where("indic").withColumn("key", F.left("phrase", F.lit(3))), "key")
-    pairs = latin.unionByName(indic).select("id", "entry", "phrase", "pattern").distinct().join(texts.select("id", low.alias("low")), "id")
+    indic = able.select("id", F.explode(F.array_distinct(starts)).alias("key")).join(small_side(told.where("indic")), "key")
+    pairs = latin.unionByName(indic).select("id", "entry", "phrase", "pattern").distinct().hint("merge").join(texts.select("id", low.alias("low")), "id")
     # Between the parts that a phrase cuts a text into are the hits.
     found = pairs.select("id", "entry", "phrase", F.expr("regexp_extract_all(low, pattern, 0)").alias("hits"), F.expr("split(low, pattern, -1)").alias("rest")).where(F.size("hits") > 0)
     lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
@@ -48,8 +60,10 @@ def lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def lexicon_terms(hits: DataFrame, lexicon: DataFrame, terms: DataFrame) -> DataFrame:
     """Hits (id, entry, …) with the term (id, name, category) that an entry names, where there is one."""
-    named = lexicon.select("entry", F.col("term").alias("t_id")).distinct().join(terms.select(F.col("id").alias("t_id"), "name", "category"), "t_id", "left")
-    return hits.join(named, "entry", "left").withColumnRenamed("t_id", "term")
+    wanted = lexicon.select("entry", F.col("term").alias("t_id")).distinct()
+    own = terms.select(F.col("id").alias("t_id"), "name", "category").join(small_side(wanted.select("t_id").distinct()), "t_id", "left_semi")
+    named = wanted.hint("merge").join(own, "t_id", "left")  # the vocabulary without what no entry names
+    return hits.join(small_side(named), "entry", "left").withColumnRenamed("t_id", "term")
 
 
 def only_denied(denied: DataFrame, positive: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,3 +24,15 @@ def test_a_span_is_inside_another_by_letters(spark):
     d = spark.createDataFrame(rows, "id int, heard string, score double, kind string")
     inside = lambda a, b: a[0] == b[0] and a[3] != "exact" and a[1] and b[3] != "overlap" and b[2] >= a[2] and len(b[1]) > len(a[1]) and a[1] in b[1]
     assert sorted(map(tuple, matching.suppress_contained(d).collect())) == sorted(a for a in rows if not any(inside(a, b) for b in rows))
+
+
+def test_texts_are_not_broadcast_to_a_lexicon(spark):
+    from lexiloom.operators import spans
+
+    texts = spark.range(50).select("id", F.concat(F.lit("the right eye চোখ "), F.col("id").cast("string")).alias("text"))
+    lexicon = spark.createDataFrame([("e1", "right eye", "T1"), ("e2", "চোখ", "T2")], "entry string, phrase string, term string")
+    hits = spans.lexicon_hits(texts, lexicon)
+    assert hits.count() == 100 and "BuildLeft" not in plan(hits)
+    terms = spark.range(1000).select(F.concat(F.lit("T"), "id").alias("id"), F.lit("n").alias("name"), F.lit("c").alias("category"))
+    told = spans.lexicon_terms(hits, lexicon, terms)
+    assert "BuildLeft" not in plan(told) and {(r.entry, r.term, r.name) for r in told.collect()} == {("e1", "T1", "n"), ("e2", "T2", "n")}
