@@ -33,10 +33,10 @@ def matched_facts(facts: DataFrame, rows: DataFrame) -> DataFrame:
     """Facts (case, fact, sections, patterns, eye) with rows (case, section, text, eye): whether one row has it all.
 
     A row's eye must be the fact's; BE stands for either, and a fact for both eyes is also met
-    by a row for each.
+    by a row for each. Facts and rows grow with the cases: both are shuffled, whatever Spark guesses of their size.
     """
     f = facts.withColumn("section", F.explode("sections"))
-    both = f.join(rows.select("case", "section", "text", F.col("eye").alias("row_eye")), ["case", "section"])
+    both = f.hint("merge").join(rows.select("case", "section", "text", F.col("eye").alias("row_eye")), ["case", "section"])
     both = both.where(F.forall("patterns", lambda p: F.regexp_like(F.lower("text"), p)))
     eye = F.coalesce("eye", F.lit(""))
     own = (eye == "") | (F.col("row_eye") == eye) | (eye.isin("RE", "LE") & (F.col("row_eye") == "BE"))
@@ -44,7 +44,7 @@ def matched_facts(facts: DataFrame, rows: DataFrame) -> DataFrame:
         F.max(own.cast("int")).alias("own"), F.max((F.col("row_eye") == "RE").cast("int")).alias("re"), F.max((F.col("row_eye") == "LE").cast("int")).alias("le"), F.first("eye").alias("_eye")
     )
     hit = hit.select("case", "fact", ((F.col("own") == 1) | ((F.col("_eye") == "BE") & (F.col("re") == 1) & (F.col("le") == 1))).alias("hit"))
-    return facts.join(hit, ["case", "fact"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return facts.hint("merge").join(hit, ["case", "fact"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def violations(forbid: DataFrame, rows: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def violations(forbid: DataFrame, rows: DataFrame) -> DataFrame:
     f = forbid.withColumn("section", F.explode("sections"))
     r = rows.select(F.col("case").alias("r_case"), F.col("section").alias("r_section"), "text")
     on = (F.col("case") == F.col("r_case")) & (F.col("section") == F.col("r_section")) & F.regexp_like(F.lower("text"), F.col("pattern"))
-    return f.join(r, on, "left_semi").select("case", "label").distinct()
+    return f.hint("merge").join(r, on, "left_semi").select("case", "label").distinct()
 
 
 def score_cases(found: DataFrame, broken: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def score_cases(found: DataFrame, broken: DataFrame) -> DataFrame:
         F.sum(F.col("hit").cast("long")).alias("hit"), F.count("*").alias("facts"), F.sum((F.col("critical") & F.col("hit")).cast("long")).alias("critical_hit"), F.sum(F.col("critical").cast("long")).alias("critical")
     )
     bad = broken.groupBy("case").agg(F.count("*").alias("violations"))
-    return own.join(bad, "case", "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
+    return own.hint("merge").join(bad, "case", "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
 
 
 def summarise(scores: DataFrame, keys: list[str]) -> DataFrame:

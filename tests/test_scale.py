@@ -36,3 +36,14 @@ def test_texts_are_not_broadcast_to_a_lexicon(spark):
     terms = spark.range(1000).select(F.concat(F.lit("T"), "id").alias("id"), F.lit("n").alias("name"), F.lit("c").alias("category"))
     told = spans.lexicon_terms(hits, lexicon, terms)
     assert "BuildLeft" not in plan(told) and {(r.entry, r.term, r.name) for r in told.collect()} == {("e1", "T1", "n"), ("e2", "T2", "n")}
+
+
+def test_facts_and_rows_are_not_broadcast(spark):
+    from lexiloom.operators import evaluation
+
+    case = spark.range(20).withColumnRenamed("id", "case")
+    rows = case.select("case", F.lit("advice").alias("section"), F.lit("wash").alias("text"), F.lit("RE").alias("eye"))
+    facts = case.select("case", F.lit("w").alias("fact"), F.array(F.lit("advice")).alias("sections"), F.array(F.lit("wash")).alias("patterns"), F.lit("").alias("eye"), F.lit(True).alias("critical"))
+    forbid = case.where("case < 5").select("case", F.lit("x").alias("label"), F.array(F.lit("advice")).alias("sections"), F.lit("was").alias("pattern"))
+    scores = evaluation.score_cases(evaluation.matched_facts(facts, rows), evaluation.violations(forbid, rows))
+    assert "Broadcast" not in plan(scores) and {(r.case, r.hit, r.violations) for r in scores.collect()} == {(k, 1, int(k < 5)) for k in range(20)}
