@@ -47,3 +47,15 @@ def test_facts_and_rows_are_not_broadcast(spark):
     forbid = case.where("case < 5").select("case", F.lit("x").alias("label"), F.array(F.lit("advice")).alias("sections"), F.lit("was").alias("pattern"))
     scores = evaluation.score_cases(evaluation.matched_facts(facts, rows), evaluation.violations(forbid, rows))
     assert "Broadcast" not in plan(scores) and {(r.case, r.hit, r.violations) for r in scores.collect()} == {(k, 1, int(k < 5)) for k in range(20)}
+
+
+def test_texts_are_not_broadcast_to_terms(spark):
+    from lexiloom.operators import matching
+
+    texts = spark.range(50).select("id", F.split(F.lit("a red kite flew over the old stone bridge at home"), " ").alias("toks"))
+    phrases = spark.createDataFrame([("t1", "red kite", 2), ("t2", "red kite", 2), ("t3", "green kite", 2)], "term string, norm string, n int")
+    exact = matching.exact_matches(texts, phrases)
+    assert exact.count() == 100 and "BuildLeft" not in plan(exact)
+    words = ["kite", "flew", "stone", "bridge", "home"]
+    over = matching.overlap_matches(texts, spark.createDataFrame([("t1", words), ("t2", words), ("t3", ["none", "such", "words"])], "term string, content array<string>"))
+    assert {(r.term, r.k, r.best) for r in over.collect()} == {("t1", 5, 5), ("t2", 5, 5)} and over.count() == 100 and "BuildLeft" not in plan(over)
