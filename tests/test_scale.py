@@ -59,3 +59,15 @@ def test_texts_are_not_broadcast_to_terms(spark):
     words = ["kite", "flew", "stone", "bridge", "home"]
     over = matching.overlap_matches(texts, spark.createDataFrame([("t1", words), ("t2", words), ("t3", ["none", "such", "words"])], "term string, content array<string>"))
     assert {(r.term, r.k, r.best) for r in over.collect()} == {("t1", 5, 5), ("t2", 5, 5)} and over.count() == 100 and "BuildLeft" not in plan(over)
+
+
+def test_loops_of_long_texts_take_one_pass():
+    import time
+
+    from lexiloom.functions import scans
+
+    plain = [str(i * 7919 % 3001) for i in range(20_000)]
+    looped = plain[:50] + ["a", "b"] * 4 + plain[50:90] + ["c"] * 5
+    begin = time.process_time()
+    assert [scans.looped_words(plain) for _ in range(20)] == [scans.looped_words(plain)] * 20
+    assert time.process_time() - begin < 3 and scans.looped_words(looped) == 6 + 4
