@@ -48,7 +48,7 @@ def normalize_text(s: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def _normalize_any(s: pd.Series) -> pd.Series:
-    return s.map(normalize_text, na_action="ignore")
+    return s if s.isna().all() else s.map(normalize_text, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -80,7 +80,7 @@ def normalize_native_ascii(s: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _normalize_native_any(s: pd.Series) -> pd.Series:
-    return s.map(normalize_native_text, na_action="ignore")
+    return s if s.isna().all() else s.map(normalize_native_text, na_action="ignore")
 
 
 def normalize_native(s: Column) -> Column:

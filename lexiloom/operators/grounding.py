@@ -104,7 +104,7 @@ def repair_merge(items: DataFrame, repaired: DataFrame) -> DataFrame:
 def empty_sections(visits: DataFrame, items: DataFrame) -> DataFrame:
     """(visit, text): sections that were spoken of and have no item."""
     said = F.array_compact(F.array(F.when(F.col("text").rlike("(?i)pain|itch|red|water|blur|complain|trouble"), "chief_complaints"), F.when(F.col("text").rlike("(?i)vision|pressure|slit|fundus|6/[0-9]"), "examination")))
-    return visits.select("visit", F.explode(said).alias("section")).join(items.select("visit", "section").distinct(), ["visit", "section"], "left_anti")
+    return visits.select("visit", F.explode(said).alias("section")).hint("merge").join(items.select("visit", "section").distinct(), ["visit", "section"], "left_anti")
 
 
 def example_scores(wanted: DataFrame, approved: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def clean_phrase(s: Column) -> Column:
 BROADCAST_ROWS = 100_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A side to join with: broadcast if it is counted to be small, else merged. What Spark guesses of exploded or made rows is far too little or far too much."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
 def lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -239,7 +239,9 @@ select visit, idx, array_to_string(gaps, ',') as missing from m where len(gaps)
 
 def coverage_of_items(spark, sf_dir):
     items, visits = scenes.draft(spark, sf_dir)
-    d = items.where("name <> ''").join(visits, "visit").withColumns({"own": X.normalize(F.col("name")), "lines": X.normalize(F.col("text"))})
+    d = R.Draft(items, visits, lambda x: x)
+    d.look(d.of_texts(lines=X.normalize(F.col("heard"))))
+    d = d.items.where("name <> ''").withColumn("own", X.normalize(F.col("name")))
     return d.select("visit", "section", "idx", G.covered(F.col("own"), F.col("lines")).alias("covered"), G.same_quote(F.col("evidence"), F.col("name")).alias("same"))
 
 

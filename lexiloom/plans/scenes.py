@@ -82,6 +82,8 @@ _ITEMS: tuple[dict[str, str], ...] = (
 )
 ITEMS = tuple(tuple(x.get(f, "") for f in FIELDS) for x in _ITEMS)
 PER_VISIT = 8
+#: Visits of a part, at least, until there are as many parts as a shuffle has.
+PART_VISITS = 4_000
 ATTRS = FIELDS[5:]
 
 
@@ -90,8 +92,13 @@ def _array(rows) -> F.Column:
 
 
 def draft(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Items (visit, section, idx, kb_id, name, eye, evidence, attrs) and visits (visit, text)."""
+    """Items (visit, section, idx, kb_id, name, eye, evidence, attrs) and visits (visit, text), both by visit in as many parts.
+
+    A file of few row groups would otherwise be few tasks, however many items are made of its rows.
+    """
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("visit"))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), c.count() // PART_VISITS + 1)
+    c = c.repartition(parts, "visit")
     said = F.array(*[F.lit(x) for x in HEARD])
     n, m = len(HEARD), len(ITEMS)
     visits = c.select("visit", F.concat_ws(" ", F.get(said, (F.col("visit") % n).cast("int")), F.get(said, ((F.col("visit") * 7 + 3) % n).cast("int"))).alias("text"))

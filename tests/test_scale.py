@@ -71,3 +71,18 @@ def test_loops_of_long_texts_take_one_pass():
     begin = time.process_time()
     assert [scans.looped_words(plain) for _ in range(20)] == [scans.looped_words(plain)] * 20
     assert time.process_time() - begin < 3 and scans.looped_words(looped) == 6 + 4
+
+
+def test_drafts_are_made_in_parts_and_texts_are_read_once(spark, monkeypatch):
+    from lexiloom.operators import rules
+    from lexiloom.plans import scenes
+
+    monkeypatch.setattr(scenes, "PART_VISITS", 40)
+    items, visits = scenes.draft(spark, "/root/testdata/sf0.001")
+    assert items.rdd.getNumPartitions() == visits.rdd.getNumPartitions() == 4
+    d = rules.Draft(items, visits, lambda x: x)
+    texts = d.of_texts(n=F.length("heard"))
+    said = {r.text for r in visits.select("text").distinct().collect()}
+    assert sorted(r.heard for r in texts.collect()) == sorted({*said, ""}) and len(said) < visits.count()
+    d.look(texts)
+    assert d.items.where("n = length(heard)").count() == items.count()
