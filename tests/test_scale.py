@@ -86,3 +86,24 @@ def test_drafts_are_made_in_parts_and_texts_are_read_once(spark, monkeypatch):
     assert sorted(r.heard for r in texts.collect()) == sorted({*said, ""}) and len(said) < visits.count()
     d.look(texts)
     assert d.items.where("n = length(heard)").count() == items.count()
+
+
+def test_alignments_leave_a_worker_in_slices_and_counts_alone_for_rates(spark):
+    from lexiloom.functions import scans
+
+    texts = ["", None, "a b c", "a x c d", "one two " * 9_000, "one three two " * 9]
+    pairs = [(i, j, texts[i], texts[j]) for i in range(6) for j in range(6) if not (i == j == 4)]
+    d = spark.createDataFrame(pairs, "i int, j int, ref string, hyp string").coalesce(1)
+    w = lambda s: (s or "").split()
+    rows = scans.aligned_rows(d, "ref", "hyp")
+    for r in rows.collect():
+        assert [tuple(x) for x in r.al] == scans.align(w(texts[r.i]), w(texts[r.j]))
+    for r in d.select("i", "j", scans.change_counts("ref", "hyp").alias("c")).collect():
+        ops = [x[0] for x in scans.align(w(texts[r.i]), w(texts[r.j]))]
+        assert (r.c.subs, r.c.dels, r.c.inss) == tuple(map(ops.count, ("sub", "del", "ins"))) and r.c.distance == sum(r.c) - r.c.distance
+
+
+def test_pairs_of_one_document_are_spread(spark):
+    from lexiloom.plans import catalog
+
+    assert "REPARTITION_BY_NUM" in plan(catalog.copy_pairs(spark, "/root/testdata/sf0.001"))
