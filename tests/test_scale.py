@@ -107,3 +107,12 @@ def test_pairs_of_one_document_are_spread(spark):
     from lexiloom.plans import catalog
 
     assert "REPARTITION_BY_NUM" in plan(catalog.copy_pairs(spark, "/root/testdata/sf0.001"))
+
+
+def test_words_are_not_copied_for_each_number(spark):
+    from lexiloom.operators import quality
+
+    texts = spark.createDataFrame([(1, ["12", "mmhg", "7", "6/9", "x"]), (2, ["5"])], "id int, toks array<string>")
+    hits = quality.keyword_hits(texts, spark.createDataFrame([("c", "k", "x")], "category string, key string, form string"))
+    assert "posexplode" not in plan(hits)
+    assert {tuple(r) for r in hits.collect()} == {(1, "c", "k", 1), (1, "measurement", "pressure", 1), (1, "number", "digits", 1), (1, "measurement", "fraction", 1), (2, "number", "digits", 1)}
