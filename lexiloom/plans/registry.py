@@ -24,6 +24,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(d: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by keys: a table of one file or one row group is read in one task, which must not do all the work."""
+    return d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 _PLAIN = r"""trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), '''', ''),
  '([0-9])\.([0-9])', '\1<dot>\2', 'g'), '([a-z0-9])/([a-z0-9])', '\1<sl>\2', 'g'), '([a-z0-9]):([a-z0-9])', '\1<co>\2', 'g'), '[^a-z0-9%+<>]+', ' ', 'g'),
  '<dot>', '.'), '<sl>', '/'), '<co>', ':'), '[<> ]+', ' ', 'g'))"""

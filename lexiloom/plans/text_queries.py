@@ -12,7 +12,7 @@ from ..operators import quality as Q
 from ..operators import review
 from ..operators import rules as R
 from ..sources import files, models, sinks
-from .registry import sound_sql, plain, query, read
+from .registry import sound_sql, plain, query, read, spread
 
 
 @query(r"select doc_id, regexp_matches(text, '[\x{0900}-\x{09FF}]') as indic, len(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'))::int as tokens, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')[1] as first from documents")
@@ -76,8 +76,9 @@ w as (select id, name, list_concat([name, head, case when regexp_matches(tail, '
 select distinct id, name, unnest(list_filter(vs, lambda p: p is not null and length(p) >= 2)) as variant from w""")
 def name_variants(spark, sf_dir):
     kinds = F.array(F.concat("p_name", F.lit(" ("), F.upper(F.left("p_type", F.lit(3))), F.lit(")")), F.concat("p_name", F.lit(" ("), F.lower("p_type"), F.lit(")")), F.concat("p_name", F.lit(" / "), "p_type"))
-    d = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(kinds).alias("name"))
-    return d.select("id", "name", F.explode(X.name_variants(F.col("name"))).alias("variant")).distinct()
+    p = spread(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type"), "id")
+    d = p.select("id", F.explode(kinds).alias("name")).distinct()  # variants of a name are distinct
+    return d.select("id", "name", F.explode(X.name_variants(F.col("name"))).alias("variant"))
 
 
 _GENERIC = ", ".join(f"'{w}'" for w in X.GENERIC)

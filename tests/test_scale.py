@@ -116,3 +116,14 @@ def test_words_are_not_copied_for_each_number(spark):
     hits = quality.keyword_hits(texts, spark.createDataFrame([("c", "k", "x")], "category string, key string, form string"))
     assert "posexplode" not in plan(hits)
     assert {tuple(r) for r in hits.collect()} == {(1, "c", "k", 1), (1, "measurement", "pressure", 1), (1, "number", "digits", 1), (1, "measurement", "fraction", 1), (2, "number", "digits", 1)}
+
+
+def test_names_are_made_distinct_and_not_their_variants(spark, tmp_path):
+    from lexiloom.plans import text_queries
+
+    rows = [(1, "green pen (tip)", "SMALL BOX"), (1, "green pen (tip)", "SMALL BOX"), (1, "green pen (tip)", "SMALL TIN"), (2, "red pen / ink", "LARGE TIN")]
+    spark.createDataFrame(rows, "p_partkey int, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    d = text_queries.name_variants(spark, str(tmp_path))
+    got = [tuple(r) for r in d.collect()]
+    assert len(got) == len(set(got)) and {r[0] for r in got} == {1, 2} and (1, "green pen (tip) (SMA)", "green pen (tip)") in got
+    assert "REPARTITION_BY_NUM" in plan(d) and not any("variant" in line for line in plan(d).splitlines() if "Aggregate" in line)
