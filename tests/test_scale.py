@@ -127,3 +127,24 @@ def test_names_are_made_distinct_and_not_their_variants(spark, tmp_path):
     got = [tuple(r) for r in d.collect()]
     assert len(got) == len(set(got)) and {r[0] for r in got} == {1, 2} and (1, "green pen (tip) (SMA)", "green pen (tip)") in got
     assert "REPARTITION_BY_NUM" in plan(d) and not any("variant" in line for line in plan(d).splitlines() if "Aggregate" in line)
+
+
+def test_windows_before_a_content_word_are_enough(spark):
+    import random
+
+    from lexiloom.operators import matching
+    from lexiloom.plans import catalog
+
+    r = random.Random(5)
+    texts = [(k, [r.choice("abcdefghij") * 3 for _ in range(r.randint(0, 60))]) for k in range(60)]
+    needs = [("t1", ["aaa", "bbb", "ccc"]), ("t2", ["aaa", "bbb", "ccc"]), ("t3", ["jjj", "iii", "hhh", "ggg", "fff"])]
+    want = set()
+    for k, toks in texts:
+        for term, c in needs:
+            best = max((len(set(toks[i : i + max(3 * len(c), 12)]) & set(c)) for i in range(0, len(toks), 2)), default=0)
+            if best * 10 >= len(c) * 6:
+                want.add((k, term, len(c), best))
+    m = matching.overlap_matches(spark.createDataFrame(texts, "id int, toks array<string>"), spark.createDataFrame(needs, "term string, content array<string>"))
+    assert sorted(tuple(x)[:4] for x in m.collect()) == sorted(want) and "array_intersect(slice" in plan(m)
+    p = plan(catalog.overlap_coverage(spark, "/root/testdata/sf0.001"))
+    assert "REPARTITION_BY_NUM" in p and "sequence(" not in p
