@@ -221,9 +221,7 @@ sp as (select distinct gr.id, ph.norm, gr.i as s, gr.i + gr.n as e from gr join
 def bench_spans(spark, sf_dir) -> DataFrame:
     """Spans (id, heard, start, end) of all runs of 3 to 5 words that some item of the benchmark has."""
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), X.words(X.normalize_ascii(F.col("text"))).alias("toks"))
-    ph = M.ngrams(b, 3, 5).select(F.col("gram").alias("heard")).distinct()
-    g = M.ngrams(docs_toks(spark, sf_dir), 3, 5)
-    return g.join(ph.select("heard"), F.col("gram") == F.col("heard")).select("id", "heard", F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end")).distinct()
+    return M.phrase_spans(docs_toks(spark, sf_dir), M.ngrams(b, 3, 5).select(F.col("gram").alias("heard")), 3, 5)
 
 
 @query(f"with {_SPANS} select id as doc_id, norm as heard, s::int as \"start\", e::int as \"end\" from sp a where not exists (select 1 from sp b where b.id = a.id and b.s <= a.s and b.e >= a.e and b.e - b.s > a.e - a.s)")

@@ -148,3 +148,16 @@ def test_windows_before_a_content_word_are_enough(spark):
     assert sorted(tuple(x)[:4] for x in m.collect()) == sorted(want) and "array_intersect(slice" in plan(m)
     p = plan(catalog.overlap_coverage(spark, "/root/testdata/sf0.001"))
     assert "REPARTITION_BY_NUM" in p and "sequence(" not in p
+
+
+def test_phrases_are_found_by_their_first_words(spark):
+    import random
+
+    from lexiloom.operators import matching
+
+    r = random.Random(7)
+    texts = [(k, [r.choice("abc") for _ in range(r.randint(0, 30))]) for k in range(40)]
+    phrases = {" ".join(r.choice("abc") for _ in range(r.randint(3, 5))) for _ in range(25)}
+    want = {(k, " ".join(t[i : i + n]), i, i + n) for k, t in texts for n in (3, 4, 5) for i in range(len(t) - n + 1) if " ".join(t[i : i + n]) in phrases}
+    got = matching.phrase_spans(spark.createDataFrame(texts, "id int, toks array<string>"), spark.createDataFrame([(p,) for p in phrases], "heard string"), 3, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
