@@ -368,8 +368,9 @@ def evidence_supported(spark, sf_dir):
     key = lambda c: F.transform(R.evidence_tokens(c), R.evidence_key)
     ev = read(spark, sf_dir, "benchmark").select("item_id", key(F.col("text")).alias("ks")).select("item_id", F.size("ks").cast("long").alias("words"), F.explode("ks").alias("k"))
     ev = ev.groupBy("item_id", "words", "k").agg(F.count("*").alias("times"))
-    tr = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(key(F.col("text")))).alias("k"))
-    m = tr.join(ev, "k").groupBy("doc_id", "item_id", "words").agg(F.sum("times").alias("hit"))
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    tr = d.select("doc_id", F.explode(F.array_distinct(key(F.col("text")))).alias("k")).join(S.small_side(ev.select("k").distinct()), "k", "left_semi").distinct()
+    m = tr.join(S.small_side(ev), "k").groupBy("doc_id", "item_id", "words").agg(F.sum("times").alias("hit"))
     return m.where("hit * 10 >= words * 6").select("doc_id", "item_id", "hit", "words")
 
 

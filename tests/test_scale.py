@@ -175,3 +175,12 @@ def test_the_earliest_word_of_a_term_is_its_best_match(spark):
     assert sorted(map(tuple, m.where("term is not null").collect())) == sorted(map(tuple, want.collect()))
     assert m.where("term is null").count() == m.where("term is null").select("id").distinct().count() > 0
     assert [line for line in plan(m).splitlines() if "Window" in line and "id#" in line.split("Window", 1)[1]] == []
+
+
+def test_evidence_counts_a_word_of_a_document_once(spark, tmp_path):
+    from lexiloom.plans import catalog
+
+    spark.createDataFrame([(1, "one two three"), (1, "two three four"), (2, "one"), (3, None)], "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "one two two five")], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = catalog.evidence_supported(spark, str(tmp_path))
+    assert [tuple(r) for r in d.collect()] == [(1, 7, 3, 4)] and "REPARTITION_BY_NUM" in plan(d)
