@@ -73,11 +73,13 @@ def members(toks: str, words: list[str]) -> Column:
 with {DT}, w as (select id, unnest(toks) as t from dt), f(lang, word) as (values {T.values((k, w) for k, ws in T.FUNCTION_WORDS.items() for w in ws)})
 select d.lang, count(*) as words, count(f.word) as function_words from w join documents d on d.doc_id = w.id left join f on f.lang = d.lang and f.word = w.t group by d.lang""")
 def function_word_rate(spark, sf_dir):
-    d = docs_toks(spark, sf_dir).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
-    hit = F.lit(None)
-    for lang, ws in T.FUNCTION_WORDS.items():
-        hit = F.when(F.col("lang") == lang, members("toks", ws)).otherwise(hit)
-    return d.select("lang", F.size("toks").alias("n"), hit.alias("h")).where("n > 0").groupBy("lang").agg(F.sum("n").alias("words"), F.sum("h").alias("function_words"))
+    """Only counts of a text are joined with its language, not its words."""
+    d = docs_toks(spark, sf_dir).select("id", F.size("toks").alias("n"), *[members("toks", ws).alias(lang) for lang, ws in T.FUNCTION_WORDS.items()])
+    d = d.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    hit = F.lit(0)
+    for lang in T.FUNCTION_WORDS:
+        hit = F.when(F.col("lang") == lang, F.col(lang)).otherwise(hit)
+    return d.groupBy("lang").agg(F.sum("n").alias("words"), F.sum(hit).alias("function_words")).where("words > 0")
 
 
 @query(f"""

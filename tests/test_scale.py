@@ -191,3 +191,25 @@ def test_word_pairs_are_counted_in_parts(spark):
 
     d = catalog.token_ngrams_topk(spark, "/root/testdata/sf0.001")
     assert "REPARTITION_BY_NUM" in plan(d) and "slice(" not in plan(d)
+
+
+def test_counts_of_words_are_joined_and_not_words(spark, tmp_path):
+    from lexiloom.plans import catalog
+
+    rows = [(1, "The cat and the dog", "en"), (1, "a", "de"), (2, "der Hund", None), (3, "...", "fr"), (4, None, "es"), (None, "the", "en")]
+    spark.createDataFrame(rows, "doc_id int, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = catalog.function_word_rate(spark, str(tmp_path))
+    assert {tuple(r) for r in d.collect()} == {("en", 6, 4), ("de", 6, 0), (None, 2, 0)}
+    assert "REPARTITION_BY_NUM" in plan(d)
+
+
+def test_normalising_with_a_plain_class_is_the_same(spark):
+    rows = [(chr(i) + "a" + chr(i) + chr(i) + "b",) for i in [*range(0x300), 0x2019, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x10FFFF]] + [("a <b>  <<c 1.2.3/4:d <dot>e'f - g",), ("",), (None,)]
+    x = F.regexp_replace(F.lower("t"), "'", "")
+    for sign, name in ((r"(\d)\.(\d)", "dot"), (r"([a-z0-9])/([a-z0-9])", "sl"), (r"([a-z0-9]):([a-z0-9])", "co")):
+        x = F.regexp_replace(x, sign, f"$1<{name}>$2")
+    x = F.regexp_replace(x, r"[^a-z0-9%+<>]+", " ")
+    for name, sign in (("<dot>", "."), ("<sl>", "/"), ("<co>", ":")):
+        x = F.replace(x, F.lit(name), F.lit(sign))
+    want = F.trim(F.regexp_replace(F.translate(x, "<>", "  "), " +", " "))
+    assert spark.createDataFrame(rows, "t string").where(~want.eqNullSafe(X.normalize_ascii(F.col("t")))).count() == 0
