@@ -1,8 +1,8 @@
 """A vocabulary as a graph: surfaces name terms, and a term may name another one, its generic, by a surface.
 
 Every term has one standing: the generic at the end of its chain. Chains are followed by doubling:
-each round joins what is reached so far with itself, so that a chain of n links takes log n rounds, each written
-out. Of terms that name each other in a circle the first in the vocabulary's order stands for all.
+each round joins what is reached so far with itself, so that a longest chain of n links takes log n rounds and one more, each
+written out. Of terms that name each other in a circle the first in the vocabulary's order stands for all.
 """
 
 from __future__ import annotations
@@ -46,13 +46,14 @@ def generics(links: DataFrame, names: DataFrame, save: Callable[[DataFrame], Dat
     # ``low``: the first term in order among those passed; of a place in a circle, of the whole circle once the steps go round it.
     d = save(d.select("id", "to", F.struct("ord", "id").alias("low")))
     one = d.select(F.col("id").alias("to"), (F.col("to") == F.col("id")).alias("last"))
-    size = d.where("to <> id").count()
-    steps = 1
-    while steps <= size:
+    reached, open_ = d.select("to").distinct().count(), True
+    while open_:
         far = d.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        d = save(d.join(far, "to").select("id", F.col("to2").alias("to"), F.least("low", "low2").alias("low")))
-        steps *= 2
-    # After more steps than there are links, ``to`` stands still or lies in a circle.
+        d = save(d.join(far, "to").select("id", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")))
+        now = d.agg(F.countDistinct("to").alias("n"), F.coalesce(F.max("moved"), F.lit(False)).alias("moved")).first()
+        reached, open_ = now.n, now.moved or now.n < reached
+    # Twice the steps reach as many terms, so the steps only move terms within their circles: ``to`` stands still or lies in
+    # one. No ``low`` sank, so none will: each is at most that of its ``to``.
     end = d.select(F.col("id").alias("to"), F.col("low.id").alias("first")).join(one, "to")
     return d.select("id", "to").join(end, "to").select("id", F.when(F.col("last"), F.col("to")).otherwise(F.col("first")).alias("standing"))
 

@@ -213,3 +213,40 @@ def test_normalising_with_a_plain_class_is_the_same(spark):
         x = F.replace(x, F.lit(name), F.lit(sign))
     want = F.trim(F.regexp_replace(F.translate(x, "<>", "  "), " +", " "))
     assert spark.createDataFrame(rows, "t string").where(~want.eqNullSafe(X.normalize_ascii(F.col("t")))).count() == 0
+
+
+def test_chains_end_as_soon_as_nothing_moves(spark):
+    from lexiloom.operators import rules, term_graph
+
+    up = {k: k + 1 for k in range(1, 6)} | {k: k // 3 for k in range(30, 90)} | {7: 8, 8: 9, 9: 7, 10: 7, 11: 10, 12: 11, 13: 13}
+    ids = range(1, 90)
+    rows = [(k, "c", f"term {k}", f"Term {up[k]}" if k in up else None, k * 7 % 89) for k in ids]
+    v = spark.createDataFrame(rows, "id int, category string, name string, generic string, ord int").withColumn("aliases", F.array().cast("array<string>"))
+    rounds = []
+
+    def save(d):
+        rounds.append(1)
+        return rules.checkpointed(d)
+
+    def stands(k):
+        seen = []
+        while k not in seen:
+            seen.append(k)
+            k = up.get(k, k)
+        return min(seen[seen.index(k) :], key=lambda x: x * 7 % 89)
+
+    got = {r.id: r.standing for r in term_graph.generics(v, term_graph.surfaces(v), save).collect()}
+    assert got == {k: stands(k) for k in ids} and len(rounds) <= 6
+
+
+def test_a_part_and_number_of_lines_is_grounded_once(spark, tmp_path):
+    from lexiloom.plans import report_queries
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    rows = [(1, 1, 5), (2, 1, 5), (3, 4, 5), (4, None, 5), (5, 2, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    d = report_queries.grounded_lines(spark, str(tmp_path))
+    got = {r.l_orderkey: (r.l_linenumber, r.term, r.how) for r in d.collect()}
+    assert set(got) == {1, 2, 3, 4} and d.count() == 4 and got[1] == got[2] and got[3][2] == "id"
+    assert any("keys=[l_partkey" in line and "l_linenumber" in line for line in plan(d).splitlines() if "HashAggregate" in line)
