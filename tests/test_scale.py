@@ -250,3 +250,26 @@ def test_a_part_and_number_of_lines_is_grounded_once(spark, tmp_path):
     got = {r.l_orderkey: (r.l_linenumber, r.term, r.how) for r in d.collect()}
     assert set(got) == {1, 2, 3, 4} and d.count() == 4 and got[1] == got[2] and got[3][2] == "id"
     assert any("keys=[l_partkey" in line and "l_linenumber" in line for line in plan(d).splitlines() if "HashAggregate" in line)
+
+
+def test_an_analysis_works_out_what_is_asked_for(spark, monkeypatch):
+    """Quality needs no matches; and visits that come out of a shuffle by visit are still dealt out to all tasks."""
+    from lexiloom.plans import analyze, fixtures, tables
+
+    def unasked(*_):
+        raise AssertionError("matches were not asked for")
+
+    monkeypatch.setattr(analyze, "match_terms", unasked)
+    visits = fixtures.visits(spark).groupBy("visit").agg(*[F.first(c).alias(c) for c in fixtures.visits(spark).columns if c != "visit"])
+    got = analyze.analyze(visits, fixtures.terms(spark), tables.table(spark, tables.KEYWORDS, "category, key, form"), {"en": tables.FUNCTION_WORDS["en"]})
+    assert {r.id: r.tier for r in got.quality.collect()}["v1"] == "high"
+    assert got._texts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_heard_span_is_probed_by_few_keys(spark):
+    """Eight places for a length and three edits, and none where no known form has such a length."""
+    from lexiloom.operators import segments
+
+    d = spark.createDataFrame([("thesmallringbond", 44), ("x" * 40, 0)], "s string, n int")
+    rows = d.select("n", F.size(segments.probe_keys("w", F.col("s"), {(3, n) for n in range(13, 20)})).alias("keys")).collect()
+    assert all(r.keys == r.n for r in rows)
