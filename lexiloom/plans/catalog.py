@@ -414,7 +414,7 @@ _ONE_BYTE = "translate({0}, 'áàâäãéèêëíìîïóòôöõúùûüñçß
 select doc_id, ref_id, levenshtein({_ONE_BYTE.format('h')}, {_ONE_BYTE.format('r')})::int as errors, length(r)::int as chars from s""")
 def cer_chars(spark, sf_dir):
     p = copy_pairs(spark, sf_dir).select("doc_id", "ref_id", X.char_seq(F.col("hyp")).alias("h"), X.char_seq(F.col("ref")).alias("r"))
-    return p.select("doc_id", "ref_id", X.edit_distance(F.col("h"), F.col("r")).alias("errors"), F.length("r").alias("chars"))
+    return X.with_edit_distance(p, "h", "r", "errors").select("doc_id", "ref_id", "errors", F.length("r").alias("chars"))
 
 
 @query()

@@ -293,3 +293,19 @@ def test_rules_leave_one_copy_of_the_items(spark, monkeypatch):
     left = [f for f in files if Path(f).exists()]
     assert len(files) > 15 and len(left) <= 3  # the items, the distinct texts and what they deny
     assert items.count() and audit.count()
+
+
+def test_far_texts_are_compared_by_rows_of_bits(spark):
+    """Long texts that are far apart: the same distance as the whole table's, with no table of their cells."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abcdéচ𝒳", k=n))
+    rows = [("", ""), ("", "ab"), (None, "a"), ("a" * 900, "b" * 700)] + [(text(rng.randint(0, 900)), text(rng.randint(0, 900))) for _ in range(40)]
+    d = spark.createDataFrame(rows, "h string, r string")
+    got = X.with_edit_distance(d, "h", "r", "n").withColumn("want", F.levenshtein("h", "r")).collect()
+    assert [r.n for r in got] == [r.want for r in got] and sum(r.want is None for r in got) == 1
+    began = time.perf_counter()
+    X.far_distance(text(60_000), text(60_000))  # 3,600 million cells
+    assert time.perf_counter() - began < 10
